@@ -1,45 +1,38 @@
-"""Schemas of the stored tables and of the pack files."""
+"""Schemas of the stored tables and of the pack files, as DDL text (usable by every reader)."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-PACK_MANIFEST = struct(
+PACK_MANIFEST = (
     "packId string, version string, title string, description string, generatedAt string, sourcePolicy string, "
     "files struct<sources string, policies string, aggregates string>"
 )
-PACK_SOURCE = struct(
+PACK_SOURCE = (
     "name string, level string, jurisdictionName string, baseUrl string, sourceType string, accessMethod string, "
     "frequency string, complianceNote string"
 )
-PACK_POLICY = struct(
+PACK_POLICY = (
     "externalId string, title string, program string, level string, issuer string, jurisdictionName string, "
     "category string, amountType string, rate double, amountValue double, capAmount double, effectiveFrom string, "
     "effectiveTo string, sourceUrl string, notes string, fundingSource string, "
     "evidence array<struct<fieldName string, quote string, confidence double>>"
 )
-PACK_AGGREGATE = struct(
+PACK_AGGREGATE = (
     "jurisdictionName string, program string, metricType string, amountYuan double, countValue double, unit string, "
     "asOfDate string, sourceUrl string, quote string"
 )
-EXAMPLE_RECORD = struct(
+EXAMPLE_RECORD = (
     "externalId string, title string, fundingSource string, category string, province string, city string, "
     "district string, ruleText string, rate double, capAmount double, capUnit string, effectiveFrom string, "
     "effectiveTo string, endNote string, officialFileName string, docNo string, notes string"
 )
 
-SOURCES = struct(
+SOURCES = (
     "id string, name string, level string, jurisdiction_code string, jurisdiction_name string, category string, "
     "keywords string, base_url string, listing_url string, source_type string, access_method string, frequency string, "
     "enabled boolean, compliance_note string, interval_minutes int, last_run_status string, last_error string, "
     "last_fetched_at timestamp, next_fetch_at timestamp, created_by string, created_at timestamp, updated_at timestamp"
 )
-CONTRIBUTIONS = struct(
+CONTRIBUTIONS = (
     "id string, user_id string, status string, title string, program string, policy_level string, issuer string, "
     "funding_source string, official_file_name string, doc_no string, description string, end_note string, "
     "document_type string, jurisdiction_code string, jurisdiction_name string, jurisdiction_city string, "
@@ -50,13 +43,13 @@ CONTRIBUTIONS = struct(
     "dedup_key string, duplicate_of string, document_id string, reviewer_id string, reviewed_at timestamp, "
     "created_at timestamp, updated_at timestamp"
 )
-DOCUMENTS = struct(
+DOCUMENTS = (
     "id string, source_id string, contribution_id string, url string, canonical_url string, title string, "
     "mime_type string, byte_size bigint, content_hash string, raw_path string, extracted_text string, "
     "extracted_json string, status string, error string, fetched_by string, fetched_at timestamp, parsed_at timestamp, "
     "created_at timestamp"
 )
-POLICIES = struct(
+POLICIES = (
     "id string, contribution_id string, title string, official_file_name string, doc_no string, program string, "
     "policy_level string, issuer string, funding_source string, description string, end_note string, "
     "document_type string, verification_status string, verified_at timestamp, verified_by string, "
@@ -64,33 +57,33 @@ POLICIES = struct(
     "status string, effective_from string, effective_to string, source_url string, created_at timestamp, "
     "updated_at timestamp"
 )
-SUBSIDY_RULES = struct(
+SUBSIDY_RULES = (
     "id string, policy_id string, category string, amount_type string, rate double, fixed_amount double, "
     "cap_amount double, cap_unit string, rule_text string, rule_type string, threshold_amount double, "
     "discount_amount double, per_user_limit int, stackable boolean, conditions_text string, conditions_json string, "
     "created_at timestamp"
 )
-EVIDENCE = struct(
+EVIDENCE = (
     "id string, policy_id string, document_id string, field_name string, quote string, page_number int, "
     "confidence double, created_at timestamp"
 )
-EVENTS = struct(
+EVENTS = (
     "id string, entity_type string, entity_id string, actor_id string, action string, detail string, created_at timestamp"
 )
-AGGREGATES = struct(
+AGGREGATES = (
     "id string, jurisdiction_code string, jurisdiction_name string, program string, metric_type string, "
     "amount_yuan double, count_value double, unit string, period_start string, period_end string, as_of_date string, "
     "source_url string, quote string, created_at timestamp"
 )
-IMPORT_RUNS = struct(
+IMPORT_RUNS = (
     "id string, pack_id string, pack_version string, pack_path string, summary_json string, dry_run boolean, created_at timestamp"
 )
-USERS = struct("id string, username string, display_name string, role string, status string, created_at timestamp, updated_at timestamp")
-INVITES = struct(
+USERS = ("id string, username string, display_name string, role string, status string, created_at timestamp, updated_at timestamp")
+INVITES = (
     "id string, code string, role string, note string, expires_at string, used_by string, used_at timestamp, "
     "disabled boolean, created_by string, created_at timestamp"
 )
-COMMENTS = struct("id string, contribution_id string, user_id string, body string, created_at timestamp")
+COMMENTS = ("id string, contribution_id string, user_id string, body string, created_at timestamp")
 
 # Allowed values, required columns, unique keys and parents of each table.
 CONSTRAINTS = {
