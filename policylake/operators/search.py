@@ -69,8 +69,10 @@ def evidence_match(evidence: DataFrame, q: str) -> DataFrame:
 
 
 def policy_rules(policies: DataFrame, rules: DataFrame) -> DataFrame:
-    """policies left join rules on the policy id; the key of the rule side is dropped."""
-    return policies.join(rules.withColumnRenamed("policy_id", "_pid"), policies["id"] == F.col("_pid"), "left").drop("_pid")
+    """policies left join rules on the policy id; rule columns that collide get the prefix ``rule_``."""
+    clash = {c for c in rules.columns if c in policies.columns}
+    side = rules.select(*[F.col(c).alias({"policy_id": "_pid"}.get(c, f"rule_{c}" if c in clash else c)) for c in rules.columns])
+    return policies.join(side, F.col("id") == F.col("_pid"), "left").drop("_pid")
 
 
 def first_evidence(evidence: DataFrame) -> DataFrame:
@@ -115,7 +117,10 @@ def search_policies(policies: DataFrame, rules: DataFrame, evidence: DataFrame,
         joined = joined.join(hits, "id", "left").filter(
             text_match(("title", "issuer", "program", "source_url"), q.strip()) | F.col("evidence_hit").isNotNull()
         ).drop("evidence_hit")
-    top = newest(joined, [F.col("updated_at").desc_nulls_last(), F.col("id").asc()], n)
+    order = [F.col("updated_at").desc_nulls_last(), F.col("id").asc()]
+    if "rule_id" in joined.columns:
+        order.append(F.col("rule_id").asc())
+    top = newest(joined, order, n)
     snippets = first_evidence(evidence).withColumnRenamed("policy_id", "id")
     return top.join(snippets, "id", "left")
 
