@@ -307,8 +307,9 @@ SELECT order_key, line_no, part_key, supp_key, rate, coalesce(cap, best) AS cap_
   CASE WHEN {any_contains('text', R.TIER_WORDS)} THEN 'tiered' WHEN rate IS NOT NULL THEN 'percent' WHEN len(reds) > 0 THEN 'tiered' WHEN cap IS NOT NULL OR fixed IS NOT NULL THEN 'fixed' ELSE 'unknown' END AS amount_type
 FROM a""")
 def amount_extract(spark, d):
-    e = X.extract_fields(notices(spark, d, "order_key", "line_no", "part_key", "supp_key", "text"))
-    return e.select("order_key", "line_no", "part_key", "supp_key", "rate", "cap_amount", "amount_value", "rule_text", "amount_type")
+    names = ("rate", "cap_amount", "amount_value", "rule_text", "amount_type")
+    e = X.extract_fields(notices(spark, d, "order_key", "line_no", "part_key", "supp_key", "text"), fields=names)
+    return e.select("order_key", "line_no", "part_key", "supp_key", *names)
 
 
 _END_LABEL, _ = sql_first_keyword("text", R.END_NOTE_RULES, 40, 50)
@@ -321,7 +322,8 @@ SELECT order_key, line_no, part_key, supp_key, CASE WHEN rule_text IS NOT NULL T
   CASE WHEN contains(text, '每人每类可补贴') THEN CAST(regexp_extract(text, '每人每类可补贴(\\d+)件', 1) AS INTEGER) END AS per_user_limit,
   CASE WHEN contains(text, '不可叠加') THEN false WHEN contains(text, '可叠加') THEN true END AS stackable, {_END_LABEL} AS end_note FROM a""")
 def rule_struct(spark, d):
-    e = X.extract_fields(notices(spark, d, "order_key", "line_no", "part_key", "supp_key", "text"))
+    names = ("rule_type", "threshold_amount", "discount_amount", "per_user_limit", "stackable", "end_note")
+    e = X.extract_fields(notices(spark, d, "order_key", "line_no", "part_key", "supp_key", "text"), fields=names)
     return e.select("order_key", "line_no", "part_key", "supp_key", "rule_type", "threshold_amount", "discount_amount", "per_user_limit", "stackable", "end_note")
 
 
@@ -380,7 +382,7 @@ WITH {cte('notices')}, {_AMOUNTS}, cells AS (
   UNION ALL SELECT order_key, line_no, part_key, 'funding_source', {sql_compact('(' + _FUND_QUOTE + ')', 180)}, 0.72 FROM a)
 SELECT order_key, line_no, part_key, field_name, quote, CAST(confidence AS DOUBLE) AS confidence FROM cells WHERE quote IS NOT NULL""")
 def evidence_unpivot(spark, d):
-    e = X.extract_cells(notices(spark, d, "order_key", "line_no", "part_key", "text"))
+    e = X.extract_cells(notices(spark, d, "order_key", "line_no", "part_key", "text"), fields=EVIDENCE_FIELDS)
     return X.evidence_rows(e, ["order_key", "line_no", "part_key"], EVIDENCE_FIELDS).drop("page_number")
 
 
@@ -446,7 +448,8 @@ _NOTICE_IN = (f"{cte('notices')}, {_AMOUNTS}, with_title AS (SELECT a.*, {_NOTIC
 
 @query("notice_relevance", f"WITH {_NOTICE_IN}, {_sql_relevance(V.DEFAULT, 'scored_in', _NOTICE_FIELDS, 'order_key, line_no, part_key, supp_key')} SELECT * FROM relevance")
 def notice_relevance(spark, d):
-    e = X.extract_fields(notices(spark, d, "order_key", "line_no", "part_key", "supp_key", "text"))
+    names = ("title", "document_type", "doc_no", "issuer", "funding_source", "category", "rate", "amount_value", "cap_amount", "rule_text", "effective_from", "effective_to")
+    e = X.extract_fields(notices(spark, d, "order_key", "line_no", "part_key", "supp_key", "text"), fields=names)
     return V.score_relevance(e, "text", "title").select(*_relevance_columns("order_key", "line_no", "part_key", "supp_key"))
 
 

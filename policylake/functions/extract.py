@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from policylake import rules as R
 from policylake.functions import text as T
-from policylake.functions.text import NUMBER, col, contains_any, fmt_date, let
+from policylake.functions.text import NUMBER, col, contains_any, fmt_date, has_word, let
 
 S = r"[\s\x{A0}\x{3000}]*"
 HAN = r"[\x{4E00}-\x{9FFF}]"
@@ -80,7 +80,7 @@ def infer_title(text: Column, heading: Column, og_title: Column, title: Column)
     def from_lines(lines: Column) -> Column:
         cleaned = F.transform(F.slice(lines, 1, 30), T.clean_text)
         fits = lambda x: F.char_length(x).between(6, 100)
-        named = F.get(F.filter(cleaned, lambda x: fits(x) & contains_any(x, R.TITLE_LINE_WORDS)), 0)
+        named = F.get(F.filter(cleaned, lambda x: fits(x) & has_word(x, R.TITLE_LINE_WORDS)), 0)
         plain = F.get(F.filter(F.slice(cleaned, 1, 20), fits), 0)
         return let(F.coalesce(named, plain), lambda t: F.when(t.isNotNull(), F.struct(t.alias("value"), t.alias("raw"))))
 
@@ -93,10 +93,10 @@ def classify_title(title: Column | str) -> Column:
     """Document class from the title alone."""
     t = F.coalesce(col(title), F.lit(""))
     return (
-        F.when(contains_any(t, R.NEWS_TITLE_WORDS), "news")
-        .when(contains_any(t, R.INTERPRETATION_TITLE_WORDS), "interpretation")
-        .when(contains_any(t, R.IMPLEMENTATION_TITLE_WORDS), "implementation")
-        .when(contains_any(t, R.POLICY_TITLE_WORDS), "policy")
+        F.when(has_word(t, R.NEWS_TITLE_WORDS), "news")
+        .when(has_word(t, R.INTERPRETATION_TITLE_WORDS), "interpretation")
+        .when(has_word(t, R.IMPLEMENTATION_TITLE_WORDS), "implementation")
+        .when(has_word(t, R.POLICY_TITLE_WORDS), "policy")
         .when(t.rlike(LISTING_TITLE), "listing")
         .otherwise("unknown")
     )
@@ -153,7 +153,7 @@ def jurisdiction(text: Column, title: Column, provinces: Sequence[str] = R.PROVI
     ordered = [R.Rule(p, (p,)) for p in sorted(provinces, key=len, reverse=True)]
     title = F.coalesce(title, F.lit(""))
     find = lambda c: T.first_keyword_match(c, ordered, 20, 45)
-    national = F.when(contains_any(title, R.NATIONAL_TITLE_WORDS), F.struct(F.lit(R.NATIONAL).alias("value"), title.alias("quote")))
+    national = F.when(has_word(title, R.NATIONAL_TITLE_WORDS), F.struct(F.lit(R.NATIONAL).alias("value"), title.alias("quote")))
     region = let(group(text, REGION), lambda r: F.when(r.isNotNull(), F.struct(r.alias("value"), r.alias("quote"))))
     hit = F.coalesce(find(title), find(F.substring(text, 1, 8000)), find(text), national, region)
     return let(hit, lambda h: cell(h["value"], 0.68, h["quote"]))
@@ -173,10 +173,14 @@ def city_district(text: Column, title: Column) -> Column:
 
 def categories(text: Column, rule_set: Sequence[R.Rule] = R.CATEGORY_RULES, before: int = 35, after: int = 45) -> Column:
     """``struct<labels array, quote>`` of all matching labels; the quote is the first label's."""
-    labels = [F.when(contains_any(text, rule.keywords), F.lit(rule.label)) for rule in rule_set]
-    found = F.array_compact(F.array(*labels))
-    quote = T.first_keyword_match(text, rule_set, before, after)
-    return F.struct(found.alias("labels"), quote["quote"].alias("quote"))
+    def build(hits: Column) -> Column:
+        first = F.get(hits, 0)["keyword"]
+        at = F.position(first, text)
+        return F.struct(F.transform(hits, lambda h: h["label"]).alias("labels"), _window(text, at, F.char_length(first), before, after).alias("quote"))
+
+    first_of = lambda r: F.aggregate(r["keywords"], F.lit(None).cast("string"), lambda a, k: F.coalesce(a, F.when(text.contains(k), k)))
+    tried = F.transform(F.expr(R.rules_literal(rule_set)), lambda r: F.struct(r["label"].alias("label"), first_of(r).alias("keyword")))
+    return let(F.filter(tried, lambda h: h["keyword"].isNotNull()), build)
 
 
 def reductions(text: Column) -> Column:
@@ -191,12 +195,12 @@ def max_discount(rule_text: Column) -> Column:
 def percentage(text: Column) -> Column:
     def build(m: Column) -> Column:
         value = number(F.coalesce(group(m, RATE_PREFIX), group(m, RATE_SUFFIX)))
-        return F.when(~contains_any(m, R.RATE_EXCLUDED), cell(value, 0.88, m))
+        return F.when(~has_word(m, R.RATE_EXCLUDED), cell(value, 0.88, m))
     return let(F.coalesce(group(text, RATE_PREFIX, 0), group(text, RATE_SUFFIX, 0)), lambda m: F.when(m.isNotNull(), build(m)))
 
 
 def cap_amount(text: Column) -> Column:
-    return let(group(text, CAP, 0), lambda m: F.when(~contains_any(m, R.CAP_EXCLUDED), cell(number(group(m, CAP)), 0.9, m)))
+    return let(group(text, CAP, 0), lambda m: F.when(~has_word(m, R.CAP_EXCLUDED), cell(number(group(m, CAP)), 0.9, m)))
 
 
 def fixed_amount(text: Column) -> Column:
@@ -263,7 +267,7 @@ def effective_dates(text: Column) -> Column:
 def conditions(text: Column, condition_words: Sequence[str] = R.CONDITION_WORDS, limit: int = 8) -> Column:
     """First sentences of 12 to 220 characters holding a condition word."""
     sentences = F.transform(F.split(text, r"[。；\n]"), T.clean_text)
-    kept = F.filter(sentences, lambda s: F.char_length(s).between(12, 220) & contains_any(s, condition_words))
+    kept = F.filter(sentences, lambda s: F.char_length(s).between(12, 220) & has_word(s, condition_words))
     return F.slice(kept, 1, limit)
 
 
@@ -280,8 +284,9 @@ LIST_FIELDS = R.words("categories conditions")
 
 
 def extract_cells(df: DataFrame, text: str = "text", heading: Column | None = None, og_title: Column | None = None,
-                  title: Column | None = None, published: Column | None = None, prefix: str = "f_") -> DataFrame:
-    """Adds one cell column per field, named ``<prefix><field>``."""
+                  title: Column | None = None, published: Column | None = None, prefix: str = "f_",
+                  fields: Sequence[str] | None = None) -> DataFrame:
+    """Adds one cell column per (wanted) field, named ``<prefix><field>``."""
     none = F.lit(None).cast("string")
     t = F.col(text)
     df = df.withColumns({
@@ -305,37 +310,38 @@ def extract_cells(df: DataFrame, text: str = "text", heading: Column | None = No
     geo_quote = F.coalesce(geo["city"], geo["district"])
     joined = lambda arr, sep: F.when(F.size(arr) > 0, F.array_join(arr, sep))
     cells = {
-        "title": cell(ttl["value"], 0.82, ttl["raw"]),
-        "official_file_name": cell(ttl["value"], 0.8, ttl["raw"]),
-        "document_type": cell(classify_document(ttl["value"], t), 0.82, ttl["raw"]),
-        "doc_no": doc_number(t),
-        "issuer": issuer(t),
-        "funding_source": funding_source(t),
-        "published_at": published_at(t, published if published is not None else none),
-        "jurisdiction_name": jurisdiction(t, ttl["value"]),
-        "jurisdiction_city": cell(geo["city"], 0.62, geo_quote),
-        "jurisdiction_district": cell(geo["district"], 0.62, geo_quote),
-        "category": cell(joined(cats["labels"], "、"), 0.78, cats["quote"]),
-        "categories": cell(F.when(F.size(cats["labels"]) > 0, cats["labels"]), 0.68, cats["quote"]),
-        "program": program(t),
-        "rule_text": cell(rule_text, 0.88, red_quote),
-        "amount_type": amount_type(t, rule_text.isNotNull(), red_quote, rate, F.col("_cap_all"), fixed),
-        "discount_amount": F.when(rule_text.isNotNull(), cell(number(group(rule_text, REDUCTION_DISCOUNT)), 0.9, rule_text)),
-        "cap_amount": F.col("_cap_all"),
-        "rate": rate,
-        "amount_value": fixed,
-        "rule_type": structured_rule_type(rule_text, rate, fixed),
-        "threshold_amount": cell(number(group(rule_text, REDUCTION_THRESHOLD)), 0.9, rule_text),
-        "per_user_limit": per_user_limit(t),
-        "stackable": stackable(t),
-        "cap_unit": cap_unit(t),
-        "end_note": end_note(t),
-        "effective_from": F.col("_dates")["from"],
-        "effective_to": F.col("_dates")["to"],
-        "conditions": cell(F.when(F.size(cond) > 0, cond), 0.62, first_cond),
-        "conditions_text": cell(joined(cond, "；"), 0.62, first_cond),
+        "title": lambda: cell(ttl["value"], 0.82, ttl["raw"]),
+        "official_file_name": lambda: cell(ttl["value"], 0.8, ttl["raw"]),
+        "document_type": lambda: cell(classify_document(ttl["value"], t), 0.82, ttl["raw"]),
+        "doc_no": lambda: doc_number(t),
+        "issuer": lambda: issuer(t),
+        "funding_source": lambda: funding_source(t),
+        "published_at": lambda: published_at(t, published if published is not None else none),
+        "jurisdiction_name": lambda: jurisdiction(t, ttl["value"]),
+        "jurisdiction_city": lambda: cell(geo["city"], 0.62, geo_quote),
+        "jurisdiction_district": lambda: cell(geo["district"], 0.62, geo_quote),
+        "category": lambda: cell(joined(cats["labels"], "、"), 0.78, cats["quote"]),
+        "categories": lambda: cell(F.when(F.size(cats["labels"]) > 0, cats["labels"]), 0.68, cats["quote"]),
+        "program": lambda: program(t),
+        "rule_text": lambda: cell(rule_text, 0.88, red_quote),
+        "amount_type": lambda: amount_type(t, rule_text.isNotNull(), red_quote, rate, F.col("_cap_all"), fixed),
+        "discount_amount": lambda: F.when(rule_text.isNotNull(), cell(number(group(rule_text, REDUCTION_DISCOUNT)), 0.9, rule_text)),
+        "cap_amount": lambda: F.col("_cap_all"),
+        "rate": lambda: rate,
+        "amount_value": lambda: fixed,
+        "rule_type": lambda: structured_rule_type(rule_text, rate, fixed),
+        "threshold_amount": lambda: cell(number(group(rule_text, REDUCTION_THRESHOLD)), 0.9, rule_text),
+        "per_user_limit": lambda: per_user_limit(t),
+        "stackable": lambda: stackable(t),
+        "cap_unit": lambda: cap_unit(t),
+        "end_note": lambda: end_note(t),
+        "effective_from": lambda: F.col("_dates")["from"],
+        "effective_to": lambda: F.col("_dates")["to"],
+        "conditions": lambda: cell(F.when(F.size(cond) > 0, cond), 0.62, first_cond),
+        "conditions_text": lambda: cell(joined(cond, "；"), 0.62, first_cond),
     }
-    df = df.withColumns({prefix + name: c for name, c in cells.items()})
+    wanted = FIELDS + LIST_FIELDS if fields is None else fields
+    df = df.withColumns({prefix + name: cells[name]() for name in wanted})
     return df.drop("_title", "_red", "_rate", "_cap", "_fixed", "_dates", "_cats", "_cond", "_geo", "_rule_text", "_red_quote", "_cap_all")
 
 
@@ -365,12 +371,15 @@ def evidence_rows(df: DataFrame, key: str | Sequence[str], fields: Sequence[str]
     return df.select(*keys, F.explode(evidence_array(prefix, fields)).alias("e")).select(*keys, "e.*")
 
 
-def extract_fields(df: DataFrame, text: str = "text", keep_cells: bool = False, **meta: Column) -> DataFrame:
-    """Adds ``fields``, ``evidence`` and the plain value of each field as its own column."""
-    out = extract_cells(df, text, **meta)
-    values = {name: F.col("f_" + name)["value"] for name in FIELDS + LIST_FIELDS}
-    out = out.withColumns({"fields": field_map(), "evidence": evidence_array(), **values})
-    return out if keep_cells else out.drop(*["f_" + n for n in FIELDS + LIST_FIELDS])
+def extract_fields(df: DataFrame, text: str = "text", fields: Sequence[str] | None = None, **meta: Column) -> DataFrame:
+    """Adds the plain value of each field as its own column, plus ``fields`` (map of cells) and
+    ``evidence`` (array of quotes) when all fields are wanted."""
+    wanted = FIELDS + LIST_FIELDS if fields is None else fields
+    out = extract_cells(df, text, fields=wanted, **meta)
+    columns = {name: F.col("f_" + name)["value"] for name in wanted}
+    if fields is None:
+        columns.update(fields=field_map(), evidence=evidence_array())
+    return out.withColumns(columns).drop(*["f_" + n for n in wanted])
 
 
 def envelope(df: DataFrame, text: str = "text", error: str | None = None, max_chars: int = 500_000) -> DataFrame:

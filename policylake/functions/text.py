@@ -33,10 +33,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def contains_any(c: Column, items: Sequence[str]) -> Column:
-    """True when any literal word occurs; null only for a null input."""
+    """True when any literal word occurs in a long text: byte search per word, stops at a hit."""
     return reduce(lambda a, b: a | b, [c.contains(F.lit(w)) for w in items])
 
 
+def has_word(c: Column, items: Sequence[str]) -> Column:
+    """Same for short strings such as titles: one regular expression."""
+    return c.rlike(R.any_of(items))
+
+
+def words_in(c: Column, items: Sequence[str]) -> Column:
+    """The words that occur, in vocabulary order."""
+    return F.filter(F.expr(R.array_literal(items)), lambda w: c.contains(w))
+
+
+def first_value(c: Column, pairs: Sequence[tuple[str, str]]) -> Column:
+    """Value of the first pair whose key occurs in ``c``; null without one."""
+    start = F.lit(None).cast("string")
+    return F.aggregate(F.expr(R.pairs_literal(pairs)), start, lambda acc, p: F.coalesce(acc, F.when(c.contains(p["key"]), p["value"])))
+
+
 def strip(c: Column | str) -> Column:
     """Trim all Unicode white space from both ends."""
     return F.btrim(col(c), F.lit(WHITESPACE))
@@ -290,20 +306,23 @@ def coverage(numerator: Column, denominator: Column) -> Column:
 def first_keyword_match(text: Column, rule_set: Sequence[R.Rule], before: int, after: int) -> Column:
     """First rule, then first keyword, that occurs: ``struct<value, quote>`` or null.
 
-    The winning keyword is found with one ``contains`` per keyword; the quote window is cut once.
+    The rules are one constant in the plan; keywords are tried in order until the first hit and
+    the quote window is cut once.
     """
-    branches = [(rule.label, kw) for rule in rule_set for kw in rule.keywords]
-    hit = None
-    for label, kw in branches:
-        picked = F.struct(F.lit(label).alias("value"), F.lit(kw).alias("keyword"))
-        hit = F.when(text.contains(kw), picked) if hit is None else hit.when(text.contains(kw), picked)
+    start = F.lit(None).cast("struct<value:string,keyword:string>")
+
+    def try_rule(acc: Column, rule: Column) -> Column:
+        found = F.aggregate(rule["keywords"], F.lit(None).cast("string"), lambda a, k: F.coalesce(a, F.when(text.contains(k), k)))
+        picked = let(found, lambda k: F.when(k.isNotNull(), F.struct(rule["label"].alias("value"), k.alias("keyword"))))
+        return F.coalesce(acc, picked)
 
     def window(h: Column) -> Column:
         at = F.position(h["keyword"], text)
-        start = F.greatest(at - before, F.lit(1))
-        length = at - start + F.char_length(h["keyword"]) + after
-        return F.struct(h["value"].alias("value"), F.substr(text, start, length).alias("quote"))
+        start_at = F.greatest(at - before, F.lit(1))
+        length = at - start_at + F.char_length(h["keyword"]) + after
+        return F.struct(h["value"].alias("value"), F.substr(text, start_at, length).alias("quote"))
 
+    hit = F.aggregate(F.expr(R.rules_literal(rule_set)), start, try_rule)
     return let(hit, lambda h: F.when(h.isNotNull(), window(h)))
 
 

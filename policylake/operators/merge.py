@@ -17,11 +17,12 @@ from policylake.functions.extract import classify_title
 from policylake.functions.geo import corrected_jurisdiction, infer_geo
 from policylake.functions.keys import dedup_key, derived_id
 from policylake.functions.relevance import DEFAULT, Vocabulary, score_relevance
-from policylake.functions.text import NUMBER, REDUCTION_HINT, contains_any, first_text, policy_status, rule_type
+from policylake.functions.text import NUMBER, REDUCTION_HINT, first_text, has_word, policy_status, rule_type
 from policylake.functions.urls import normalize_url, url_host
 from policylake.operators.ordering import HOT_ROWS, first_per_key, skew_join
 from policylake.operators.search import first_by_title
 from policylake.operators.validation import split_valid, validate_contributions
+from policylake.session import materialize
 
 
 def merge_snapshot(current: DataFrame, changes: DataFrame, key: str | Sequence[str], rules: Mapping[str, str] | None = None,
@@ -278,10 +279,10 @@ def patch_contributions(contributions: DataFrame, patches: DataFrame, as_of: str
     ids = patches.select("id")
     patched = merge_snapshot(contributions, patches, "id", default="patch_if_present", insert=False).select(*contributions.columns)
     touched = patched.join(ids, "id", "left_semi")
-    valid, rejects = split_valid(validate_contributions(touched), ["id"])
+    valid, rejects = split_valid(materialize(validate_contributions(touched)), ["id"])
     valid = valid.withColumns({"dedup_key": F.nullif(dedup_key(*KEY_COLUMNS), F.lit("")), "updated_at": F.lit(as_of).cast("timestamp")})
     changes = valid.select(*contributions.columns)
-    merged = merge_snapshot(contributions, changes, "id", insert=False).select(*contributions.columns)
+    merged = materialize(merge_snapshot(contributions, changes, "id", insert=False).select(*contributions.columns))
     linked = mark_duplicates(merged.drop("duplicate_of"), hot_rows=hot_rows).select("id", "duplicate_of")
     linked = linked.join(changes.select("id"), "id", "left_semi")
     return merge_snapshot(merged, linked, "id", insert=False).select(*contributions.columns), rejects
@@ -329,7 +330,7 @@ def apply_policy_edits(policies: DataFrame, rules: DataFrame, contributions: Dat
         "updated_at": F.lit(as_of).cast("timestamp"), "contribution_id": p("contribution_id"), "_status": first_text(x("status"), p("status"), F.lit("active")),
     })
     df = df.withColumn("status", policy_status(F.col("effective_to"), as_of[:10], F.col("_status")))
-    valid, rejects = split_valid(validate_contributions(df), ["policy_id"])
+    valid, rejects = split_valid(materialize(validate_contributions(df)), ["policy_id"])
     edited = ["title", "official_file_name", "doc_no", "program", "policy_level", "issuer", "funding_source", "description", "end_note", "document_type",
               "verification_status", "jurisdiction_code", "jurisdiction_name", "jurisdiction_city", "jurisdiction_district", "status", "effective_from",
               "effective_to", "source_url", "updated_at"]
@@ -410,7 +411,7 @@ def prune_irrelevant(policies: DataFrame, contributions: DataFrame, as_of: str,
 def title_outcome(title: Column, pattern: str = R.LISTING_TITLE_PATTERN, old_years: Sequence[str] = ("2024", "2025"), current_year: str = "2026") -> Column:
     """``superseded`` for listing titles, ``expired`` for old years only, else null."""
     listing = title.rlike(pattern)
-    old = contains_any(title, old_years) & ~title.contains(current_year)
+    old = has_word(title, old_years) & ~title.contains(current_year)
     return F.when(listing, "superseded").when(old, "expired")
 
 

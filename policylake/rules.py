@@ -7,6 +7,7 @@ literal sets and never joined.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -355,6 +356,29 @@ LISTING_TITLE_PATTERN = (
 
 
 def any_of(items: Sequence[str]) -> str:
-    """Alternation of literal words (none of the vocabularies holds regex metacharacters
-    other than the dot of host names, which is escaped)."""
-    return "(?:" + "|".join(w.replace(".", r"\.") for w in items) + ")"
+    """Regex alternation of literal words."""
+    return "(?:" + "|".join(re.escape(w) for w in items) + ")"
+
+
+def _quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def array_literal(items: Sequence[str]) -> str:
+    """SQL array of words: one constant in the plan instead of one node per word."""
+    return "array(" + ", ".join(map(_quote, items)) + ")"
+
+
+def pairs_literal(pairs: Sequence[tuple[str, str]]) -> str:
+    """SQL array of ``struct<key, value>``."""
+    return "array(" + ", ".join(f"named_struct('key', {_quote(k)}, 'value', {_quote(v)})" for k, v in pairs) + ")"
+
+
+def rules_literal(rules: Sequence[Rule]) -> str:
+    """SQL array of ``struct<label, keywords array>``."""
+    return "array(" + ", ".join(f"named_struct('label', {_quote(label)}, 'keywords', {array_literal(kw)})" for label, kw in rules) + ")"
+
+
+def weights_literal(rules: Sequence[Weighted]) -> str:
+    """SQL array of ``struct<word, weight>``."""
+    return "array(" + ", ".join(f"named_struct('word', {_quote(w)}, 'weight', {weight})" for w, weight in rules) + ")"

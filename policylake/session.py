@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -10,6 +13,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",  # one stack trace less per expression
 }
 
 
@@ -23,11 +27,24 @@ def build_session(app: str = "policylake", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Shared checkpoint folder named by the cluster; ``fallback`` only where none is set."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """Shared folder named by the cluster in ``spark.checkpoint.dir``; a temporary one in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback was given")
-    return fallback
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="policylake-")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate table once and read it back.
+
+    For results that several outputs share and that are costly to derive: without it every
+    output would repeat the extraction. The table survives lost executors, keeps column pruning
+    and gives the following joins real sizes.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
