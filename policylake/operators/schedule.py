@@ -79,6 +79,9 @@ def polite_schedule(requests: DataFrame, key: str, ts: str, tie: str, gap_second
     return joined.withColumn(out, start).drop("_t", "_b", "_rn", "_slack", "_max", "_before", "_carried")
 
 
+NEVER = -(2**62)  # no window is open
+
+
 def _jump(times: np.ndarray, window: int) -> np.ndarray:
     """For each event as a window start: the reset time left behind when the block ends."""
     exits = times + window
@@ -106,7 +109,7 @@ def _entry_table(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     """Reset time at the start of each block of one key."""
     pdf = pdf.sort_values(["_block", "_entry"], kind="stable")
-    reset, blocks, resets = np.iinfo(np.int64).min, [], []
+    reset, blocks, resets = NEVER, [], []
     for block, rows in pdf.groupby("_block", sort=True):
         blocks.append(block)
         resets.append(reset)
@@ -120,7 +123,7 @@ def _windows(times: np.ndarray, reset: int, window: int) -> np.ndarray:
     """Start of the window of each (sorted) event, given the open reset time on entry."""
     starts = np.empty(len(times), dtype=np.int64)
     at = int(np.searchsorted(times, reset, side="left"))
-    starts[:at] = reset - window
+    starts[:at] = reset - window  # empty when no window is open
     while at < len(times):
         end = int(np.searchsorted(times, times[at] + window, side="left"))
         starts[at:end] = times[at]
