@@ -40,7 +40,8 @@ def recognise_pages(pages: DataFrame, url: str = "url", html: str = "html", voca
 
 def files_to_policies(files: DataFrame, existing: DataFrame, as_of: str, overrides: DataFrame | None = None) -> dict[str, DataFrame]:
     """Raw files to the four policy tables, duplicates, rejects and audit events."""
+    web = F.when(F.col("path").rlike("^https?://"), F.col("path"))  # an uploaded file has no URL
     docs = recognise(files).select(
-        F.col("content_hash").alias("id"), F.col("path").alias("url"), F.col("path").alias("canonical_url"), F.col("page_title").alias("document_title"),
+        F.col("content_hash").alias("id"), web.alias("url"), web.alias("canonical_url"), F.col("page_title").alias("document_title"),
         F.col("modificationTime").alias("created_at"), "*")
     return import_documents(docs, overrides, existing, as_of)
