@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from policylake.functions.extract import extract_fields, infer_title
+from policylake.functions.text import clean_text
 from policylake.functions.relevance import DEFAULT, Vocabulary, score_relevance
 from policylake.operators.imports import import_documents
 from policylake.operators.links import candidate_links
+from policylake.session import spread
 from policylake.sources.html import inner_text, page_links, page_titles
-from policylake.functions.text import clean_text
 from policylake.streaming.documents import recognise
 
 
 def scored_documents(documents: DataFrame, text: str = "text", vocabulary: Vocabulary = DEFAULT) -> DataFrame:
-    """Title and relevance of plain-text documents; scan, project, nothing shuffled."""
+    """Title and relevance of plain-text documents: scan and project, no exchange on a large input."""
     none = F.lit(None).cast("string")
-    titled = documents.withColumn("title", infer_title(F.col(text), none, none, none)["value"])
+    titled = spread(documents).withColumn("title", infer_title(F.col(text), none, none, none)["value"])
     return score_relevance(titled, text, "title", vocabulary)
 
 
@@ -30,7 +31,7 @@ def level_histogram(scored: DataFrame) -> DataFrame:
 
 def recognise_pages(pages: DataFrame, url: str = "url", html: str = "html", vocabulary: Vocabulary = DEFAULT) -> DataFrame:
     """Pages to extracted and scored documents with crawl candidates, wholly in the JVM."""
-    df = page_titles(pages, html).withColumnRenamed("title", "page_title")
+    df = page_titles(spread(pages), html).withColumnRenamed("title", "page_title")
     df = df.withColumn("text", clean_text(inner_text(F.col(html))))
     df = extract_fields(df, "text", heading=F.col("heading"), title=F.col("page_title"))
     df = df.withColumn("links", page_links(html)).drop(html)

@@ -48,3 +48,13 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for row-wise heavy work on an input with fewer splits than the cluster has cores.
+
+    Extraction costs far more than moving a row, so a small or unsplittable input is worth one
+    round-robin exchange. A large input already has more splits than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
