@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from policylake.functions.text import col, normalize_text, squeeze
+from policylake.functions.text import col, let, normalize_text, squeeze
 
 
 def content_hash(c: Column | str) -> Column:
@@ -17,7 +17,7 @@ def dedup_key(*parts: Column | str) -> Column:
     """sha256 of the non-blank parts, white space removed and lower-cased; '' below two parts."""
     cleaned = F.array(*[F.lower(squeeze(normalize_text(p))) for p in parts])
     kept = F.filter(cleaned, lambda x: x != "")
-    return F.when(F.size(kept) < 2, "").otherwise(F.sha2(F.array_join(kept, "|"), 256))
+    return let(kept, lambda k: F.when(F.size(k) < 2, "").otherwise(F.sha2(F.array_join(k, "|"), 256)))
 
 
 def derived_id(*parts: Column | str) -> Column:

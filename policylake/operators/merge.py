@@ -97,14 +97,16 @@ def mark_duplicates(df: DataFrame, key: str = "dedup_key", order: str = "created
     """Adds the earliest *other* row with the same key: the first row points at the second.
 
     First and second row per key come from two mergeable aggregates (minimum, then minimum above
-    it) over keys that repeat; the lookup back is salted for keys with very many rows.
+    it) over keys that repeat; the lookup back is salted for keys with very many rows. The narrow
+    key table is written once, since all of these steps read it.
     """
-    keyed = df.filter(F.coalesce(F.col(key), F.lit("")) != "").select(key, F.struct(F.col(order).alias("at"), F.col(id_col).alias("id")).alias("_s"))
+    narrow = materialize(df.select(key, order, id_col)).filter(F.coalesce(F.col(key), F.lit("")) != "")
+    keyed = narrow.select(key, F.struct(F.col(order).alias("at"), F.col(id_col).alias("id")).alias("_s"))
     firsts = keyed.groupBy(key).agg(F.min("_s").alias("_first"), F.count("*").alias("_n")).filter(F.col("_n") > 1).drop("_n")
     rest = skew_join(keyed, firsts, [key], "inner", ["_s"], hot_rows).filter(F.col("_s") > F.col("_first"))
     pairs = rest.groupBy(key).agg(F.first("_first").alias("_first"), F.min("_s").alias("_second"))
     facts = pairs.select(key, F.col("_first.id").alias("_id1"), F.col("_second.id").alias("_id2"))
-    joined = skew_join(df, facts, [key], "left", [id_col], hot_rows)
+    joined = skew_join(df, facts, [key], "left", [id_col], hot_rows, keys_from=narrow)
     return joined.withColumn(out, F.when(F.col(id_col) == F.col("_id1"), F.col("_id2")).otherwise(F.col("_id1"))).select(*[c for c in df.columns if c != out], out)
 
 

@@ -37,16 +37,17 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column], ke
 
 
 def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", spread: Sequence[str] = (),
-              hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+              hot_rows: int = HOT_ROWS, salts: int = SALTS, keys_from: DataFrame | None = None) -> DataFrame:
     """Join a fact side to a side with at most one row per key, with hot keys salted.
 
     Keys with more than ``hot_rows`` rows are counted first; there can be at most
     ``rows / hot_rows`` of them, which bounds the broadcast. Their rows are spread over ``salts``
     values of a hash of ``spread`` (deterministic, so a lost task recomputes the same rows) and
-    the one matching row is repeated per salt. All other keys join as usual.
+    the one matching row is repeated per salt. All other keys join as usual. ``keys_from`` is a
+    cheaper frame with the same keys to count (by default ``big`` itself).
     """
     on = list(on)
-    hot = big.groupBy(*on).count().filter(F.col("count") > hot_rows).select(*on, F.lit(True).alias("_hot"))
+    hot = (big if keys_from is None else keys_from).groupBy(*on).count().filter(F.col("count") > hot_rows).select(*on, F.lit(True).alias("_hot"))
     spread_by = [F.col(c) for c in (spread or [c for c in big.columns if c not in on])]
     left = big.join(F.broadcast(hot), on, "left")
     left = left.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
