@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from policylake.functions.text import col, let, normalize_text, squeeze
+from policylake.functions.text import col, let, squeeze, straight_quotes
 
 
 def content_hash(c: Column | str) -> Column:
@@ -15,7 +15,8 @@ def content_hash(c: Column | str) -> Column:
 
 def dedup_key(*parts: Column | str) -> Column:
     """sha256 of the non-blank parts, white space removed and lower-cased; '' below two parts."""
-    cleaned = F.array(*[F.lower(squeeze(normalize_text(p))) for p in parts])
+    # removing all white space makes the trimming and collapsing of normalize_text redundant
+    cleaned = F.array(*[F.lower(squeeze(straight_quotes(p))) for p in parts])
     kept = F.filter(cleaned, lambda x: x != "")
     return let(kept, lambda k: F.when(F.size(k) < 2, "").otherwise(F.sha2(F.array_join(k, "|"), 256)))
 

@@ -85,7 +85,11 @@ def clean_title(c: Column | str) -> Column:
 def normalize_text(c: Column | str) -> Column:
     """White space runs to one space, curly quotes to straight, trim; null becomes ''."""
     out = F.regexp_replace(F.coalesce(col(c), F.lit("")), WS + "+", " ")
-    return strip(F.translate(out, "“”‘’", "\"\"''"))
+    return strip(straight_quotes(out))
+
+
+def straight_quotes(c: Column | str) -> Column:
+    return F.translate(col(c), "“”‘’", "\"\"''")
 
 
 def squeeze(c: Column | str) -> Column:
