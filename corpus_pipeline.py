@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from policylake.llm import mixing, quality, queries, simhash, tokens
+from policylake.llm import decontaminate, mixing, quality, queries, simhash, tokens
 from policylake.session import materialize
 
 #: Two stages learn from or hash the whole corpus, which SQL can't express: tested against brute force.
@@ -23,6 +23,10 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return simhash.keep_one(docs)
 
 
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, replica=None, order=None)
 
@@ -36,6 +40,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("quality rules", quality_rules),
     ("simhash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
     ("source mixing", source_mixing),
     ("token output", token_output),
 ]
