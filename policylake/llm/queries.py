@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylake.llm import decontaminate, mixing, quality, shards, simhash, tokens, urls
+from policylake.llm import decontaminate, mixing, quality, repeats, shards, simhash, tokens, urls
 from policylake.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,9 @@ SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.v, 'allow') AS verdict FROM
 @query("op8_url_filters", URL_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
+
+
+@query("op10_substring_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
