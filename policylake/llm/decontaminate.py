@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from policylake.llm.words import ALNUM, per_document, split_words, word_keys
+from policylake.llm.parts import numbers, varints
+from policylake.llm.words import ALNUM, by_bytes, per_document, split_words, word_keys
 from policylake.session import materialize
 
 WINDOW = 13
@@ -32,24 +33,9 @@ SHARE = 20  # a document is contaminated from one hit word in so many on
 BLOCK_BYTES = 8 << 20
 
 
-def varints(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the numbers, 7 bits each, and where each begins."""
-    sizes = 1 + sum((numbers >= 1 << (7 * k)).astype(np.int64) for k in range(1, 5))
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    out = np.zeros(int(begins[-1]), np.uint8)
-    for k in range(5):
-        at = np.flatnonzero(sizes > k)
-        out[begins[at] + k] = ((numbers[at] >> (7 * k)) & 127) | np.where(sizes[at] > k + 1, 128, 0)
-    return out, begins
-
-
 def places(postings: bytes) -> np.ndarray:
-    """The ascending places that ``varints`` of their differences hold."""
-    raw = np.frombuffer(postings, np.uint8)
-    last = np.flatnonzero(raw < 128)
-    first = np.concatenate([[0], last[:-1] + 1])
-    shift = np.arange(len(raw)) - np.repeat(first, last - first + 1)
-    return np.cumsum(np.add.reduceat((raw & 127).astype(np.int64) << (7 * shift), first))
+    """The ascending places whose differences a posting list holds."""
+    return np.cumsum(numbers(postings))
 
 
 def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -59,20 +45,11 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", block_b
     """
     kind = docs.schema[id].dataType.simpleString()
 
-    def blocks(batches):
-        for batch in batches:
-            ends = np.cumsum(batch.column(2).to_numpy().astype(np.int64))
-            at = 0
-            while at < batch.num_rows:
-                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block_bytes)))
-                yield batch.slice(at, upto - at)
-                at = upto
-
     def task(batches):
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
-        for batch in blocks(batches):
+        for batch in (block for whole in batches for block in by_bytes(whole, 1, block_bytes)):
             words = split_words(batch.column(1), ALNUM)
             keys, counts = word_keys(words), words.counts()
             order = np.argsort(keys, kind="stable")
@@ -94,12 +71,12 @@ def build_index(docs: DataFrame, id: str = "doc_id", text: str = "text", block_b
             yield pa.RecordBatch.from_arrays([
                 pa.array([block]), pa.nulls(1, pa.binary()), pa.array([len(words)]), pa.nulls(1, pa.binary()),
                 pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0)),
-                pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(3)), pa.array([counts.tolist()], pa.list_(pa.int64()))], names)
+                pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(2)), pa.array([counts.tolist()], pa.list_(pa.int64()))], names)
             block += 1
 
     names = ["block", "term", "n", "postings", "doc_ids", "hashes", "counts"]
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(id).alias("_id"), body.alias("_text"), F.octet_length(body).alias("_size"), F.xxhash64(body).alias("_hash"))
+    rows = docs.select(F.col(id).alias("_id"), body.alias("_text"), F.xxhash64(body).alias("_hash"))
     return rows.mapInArrow(task, f"block bigint, term binary, n bigint, postings binary, doc_ids array<{kind}>, hashes array<bigint>, counts array<bigint>")
 
 

@@ -49,11 +49,28 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
 
 
-def pack_places(places: np.ndarray) -> bytes:
-    """Ascending places below 2**32, as differences in byte planes."""
-    return np.diff(places.astype(np.int64), prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def unpack_places(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64))
+def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of numbers below 2**56, 7 bits each, and where each begins."""
+    sizes = np.ones(len(values), np.int64)
+    for k in range(1, 8):
+        more = values >= 1 << (7 * k)
+        if not more.any():
+            break
+        sizes += more
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.zeros(int(begins[-1]), np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        at = np.flatnonzero(sizes > k)
+        out[begins[at] + k] = ((values[at] >> (7 * k)) & 127) | np.where(sizes[at] > k + 1, 128, 0)
+    return out, begins
+
+
+def numbers(blob: bytes) -> np.ndarray:
+    """The numbers that ``varints`` packed."""
+    raw = np.frombuffer(blob, np.uint8)
+    last = np.flatnonzero(raw < 128)
+    if len(last) == len(raw):
+        return raw.astype(np.int64)
+    first = np.concatenate([[0], last[:-1] + 1])
+    shift = np.arange(len(raw)) - np.repeat(first, last - first + 1)
+    return np.add.reduceat((raw & 127).astype(np.int64) << (7 * shift), first)

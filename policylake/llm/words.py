@@ -139,3 +139,14 @@ def per_document(mask: np.ndarray, first: np.ndarray) -> np.ndarray:
     """How many words of each document the mask holds."""
     total = np.concatenate([[0], np.cumsum(mask)])
     return total[first[1:]] - total[first[:-1]]
+
+
+def by_bytes(rows, column: int | str, limit: int = 2 << 20):
+    """Slices of a batch or table whose texts have about ``limit`` bytes at most, or one row."""
+    sizes = np.diff(flat(rows.column(column))[1])
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < rows.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        yield rows.slice(at, upto - at)
+        at = upto
