@@ -67,6 +67,8 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
         alpha: float = 0.5, repeat: float = 1.0, seed: int = 1, replica: str | None = "replica", order: str | None = "shuffle_key") -> DataFrame:
     """The columns of ``docs``, ``replica`` (from 0) and ``order`` (sorted within partitions), shuffled.
 
+    The two take the place of columns of the same name; without a name they are left out.
+
     The rates are a written table of one row a source, so the planner sees its size: it broadcasts a
     small one and joins a large one by source, splitting hot sources.
     """
@@ -78,5 +80,5 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     copies = drawn.select("_row", "_hash", count.alias("_count")).filter("_count > 0").select("_row", "_hash", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("_replica"))
     dealt = copies.withColumn("_order", F.md5(F.concat_ws("|", "_hash", "_replica")))
     mixed = dealt.repartition("_order").sortWithinPartitions("_order")
-    extra = [F.col(c).alias(name) for c, name in (("_replica", replica), ("_order", order)) if name]
-    return mixed.select("_row.*", *extra)
+    extra = {name: F.col(c) for c, name in (("_replica", replica), ("_order", order)) if name}
+    return mixed.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in extra], *[c.alias(name) for name, c in extra.items()])

@@ -16,6 +16,7 @@ are; an empty table gives no chunk; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from policylake.llm.words import flat
+from policylake.llm.words import by_bytes, flat
 
 SAMPLE = 256
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
@@ -99,6 +100,7 @@ class Encoder:
     PLAIN = re.compile(rb"(?<=[A-Za-z0-9])(?=[!-&(-,./:;=?@\[-`{}~])|(?<=[!-&(-,./:;=?@\[-`{}~])(?=[A-Za-z0-9])")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -106,22 +108,22 @@ class Encoder:
         self.pieces: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
-    def _learn(self, pieces: set[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         cuts = {p: self.PLAIN.sub(b" ", p).lower().split(b" ") if b"<|" not in p else [p] for p in pieces}
-        new = list({x for parts in cuts.values() for x in parts} - self.parts.keys())
+        new = list({x: None for parts in cuts.values() for x in parts if x not in self.parts})
         found = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in new], add_special_tokens=False)
         self.parts.update((x, np.array(e.ids, self.id_type).tobytes()) for x, e in zip(new, found))
         self.pieces.update((p, b"".join([self.parts[x] for x in parts])) for p, parts in cuts.items())
 
-    def encode(self, text: bytes) -> bytes:
-        """Ids of a text in UTF-8, as bytes."""
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts in UTF-8, as bytes; new pieces of all of them are encoded in one call."""
         if len(self.pieces) > self.REMEMBER or len(self.parts) > self.REMEMBER:
             self.pieces, self.parts = {}, {}
-        words = text.split()
-        new = set(words) - self.pieces.keys()
+        split = [text.split() for text in texts]
+        new = list({w: None for words in split for w in words if w not in self.pieces})
         if new:
             self._learn(new)
-        return b"".join(map(self.pieces.__getitem__, words))
+        return [b"".join(map(self.pieces.__getitem__, words)) for words in split]
 
 
 _ENCODERS: dict[str, Encoder] = {}  # one in each Python worker
@@ -165,12 +167,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id",
             columns += [one(x, pa.binary()) for x in (bounds.low, bounds.high, bounds.samples, b"".join(pieces))]
             return pa.RecordBatch.from_arrays(columns, ["part", "seq", "id_bytes", "n_docs", "n_tokens", "doc_ids", "size", "width", "low", "high", "samples", "ids"])
 
-        for batch in batches:
+        for batch in (few for whole in batches for few in by_bytes(whole, 1)):
             names_type = batch.column(0).type
             data, offsets = flat(batch.column(1))
             raw = data.tobytes()
-            for name, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                ids = known.encode(raw[a:b]) + end
+            texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            for name, ids in zip(batch.column(0).to_pylist(), known.encode_many(texts)):
+                ids += end
                 if pieces and size + len(ids) > chunk_tokens * known.id_type.itemsize:
                     yield chunk()
                     names, pieces, size, seq = [], [], 0, seq + 1

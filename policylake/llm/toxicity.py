@@ -71,7 +71,7 @@ class Model:
         documents, numbers, words, _ = text_features(column)
         known = np.flatnonzero((self.weights != 0)[numbers])
         pairs = np.unique(documents[known] << BITS | numbers[known])  # present or not
-        return np.bincount(pairs >> BITS, self.weights[pairs & ((1 << BITS) - 1)], len(words))
+        return np.bincount(pairs >> BITS, self.weights[pairs & ((1 << BITS) - 1)], len(words)).astype(np.float64)
 
     def above(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > k) for each threshold k."""
