@@ -17,8 +17,8 @@ are; an empty table gives no chunk; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from policylake.llm.words import by_bytes, flat
+from policylake.llm.words import LOWER, by_bytes, flat
 
 SAMPLE = 256
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
@@ -88,42 +88,59 @@ class EliasFano:
         return ((words[first >> 3] >> (first & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
 
 
+_LETTER, _POINT = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = True
+_POINT[[*b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = True  # not the apostrophe, nor what special tokens are made of
+
+
 class Encoder:
-    """A tokenizers file with a memory of white-space separated pieces.
+    """A tokenizers file with a memory of text pieces.
 
     The tokenizer drops white space and encodes what stands between on its own, so a text's ids are
-    those of its pieces in order. Where a letter or digit meets plain punctuation a piece is cut
-    again, as the tokenizer cuts there too. ``REMEMBER`` pieces are kept, then the memory starts anew.
+    those of its pieces in order. Where a letter or digit meets plain punctuation a space is put in,
+    as the tokenizer cuts there too. Texts with what may be a special token are encoded whole.
+    ``REMEMBER`` pieces are kept, then the memory starts anew.
     """
 
-    REMEMBER = 300_000
-    PLAIN = re.compile(rb"(?<=[A-Za-z0-9])(?=[!-&(-,./:;=?@\[-`{}~])|(?<=[!-&(-,./:;=?@\[-`{}~])(?=[A-Za-z0-9])")
+    REMEMBER = 600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.id_type = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.id_type = np.dtype("<u2" if self.code == "H" else "<u4")
         self.pieces: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        cuts = {p: self.PLAIN.sub(b" ", p).lower().split(b" ") if b"<|" not in p else [p] for p in pieces}
-        new = list({x: None for parts in cuts.values() for x in parts if x not in self.parts})
-        found = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in new], add_special_tokens=False)
-        self.parts.update((x, np.array(e.ids, self.id_type).tobytes()) for x, e in zip(new, found))
-        self.pieces.update((p, b"".join([self.parts[x] for x in parts])) for p, parts in cuts.items())
-
-    def encode_many(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of texts in UTF-8, as bytes; new pieces of all of them are encoded in one call."""
-        if len(self.pieces) > self.REMEMBER or len(self.parts) > self.REMEMBER:
-            self.pieces, self.parts = {}, {}
-        split = [text.split() for text in texts]
+
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in texts], add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() for e in found]
+
+    def encode_column(self, column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+        """Ids of each text, as bytes; new pieces of all of them are encoded in one call."""
+        if len(self.pieces) > self.REMEMBER:
+            self.pieces = {}
+        data, offsets = flat(column)
+        lower = LOWER[data]
+        cut = np.zeros(len(data) + 1, bool)  # a space comes before this byte
+        if len(data):
+            cut[1:-1] = _LETTER[lower[:-1]] & _POINT[lower[1:]] | _POINT[lower[:-1]] & _LETTER[lower[1:]]
+        shift = np.cumsum(cut, dtype=np.int32)
+        spaced = np.full(len(data) + int(shift[-1]), 0x20, np.uint8)
+        spaced[np.arange(len(data), dtype=np.int32) + shift[:-1]] = lower
+        bounds = (offsets + shift[offsets]).tolist()
+        raw = spaced.tobytes()
+        split = [raw[a:b].split() for a, b in zip(bounds[:-1], bounds[1:])]
         new = list({w: None for words in split for w in words if w not in self.pieces})
-        if new:
-            self._learn(new)
-        return [b"".join(map(self.pieces.__getitem__, words)) for words in split]
+        self.pieces.update(zip(new, self._ids(new)))
+        out = [b"".join(map(self.pieces.__getitem__, words)) for words in split]
+        if b"<|" in raw:
+            whole = data.tobytes()
+            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                if b"<|" in whole[a:b]:
+                    out[i] = self._ids([whole[a:b]])[0]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}  # one in each Python worker
@@ -169,10 +186,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id",
 
         for batch in (few for whole in batches for few in by_bytes(whole, 1)):
             names_type = batch.column(0).type
-            data, offsets = flat(batch.column(1))
-            raw = data.tobytes()
-            texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            for name, ids in zip(batch.column(0).to_pylist(), known.encode_many(texts)):
+            for name, ids in zip(batch.column(0).to_pylist(), known.encode_column(batch.column(1))):
                 ids += end
                 if pieces and size + len(ids) > chunk_tokens * known.id_type.itemsize:
                     yield chunk()
