@@ -467,11 +467,16 @@ def publish_evidence(spark, d):
     return merge.evidence_or_fallback(c, ids, AS_OF).select("policy_id", "field_name", "quote")
 
 
+# Written as a reviewer works: one action after the other, each against the status that the ones before have left.
 _ACTIONS = f"""acts AS (SELECT {S('user_id')} AS contribution_id, CASE event_type WHEN 'view' THEN 'start_review' WHEN 'click' THEN 'request_changes' WHEN 'purchase' THEN 'approve' WHEN 'signup' THEN 'reject' ELSE 'archive' END AS action,
- CASE WHEN value > 20 THEN 'please fix' ELSE ' ' END AS comment, ts, event_id FROM events),
-last_act AS (SELECT a.*, c.status, row_number() OVER (PARTITION BY contribution_id ORDER BY ts DESC, event_id DESC) AS rn FROM acts a LEFT JOIN contributions c ON c.id = a.contribution_id),
-judged AS (SELECT *, CASE WHEN status IS NULL THEN 'not found' WHEN action = 'archive' THEN 'action not allowed' WHEN action = 'request_changes' AND trim(comment) = '' THEN 'comment required'
- WHEN action = 'approve' AND status NOT IN ('draft', 'changes_requested', 'submitted', 'in_review') THEN 'state cannot be submitted' END AS reason FROM last_act WHERE rn = 1)"""
+ CASE WHEN value > 20 THEN 'please fix' ELSE ' ' END AS comment, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+steps AS (SELECT id AS contribution_id, status, CAST(0 AS BIGINT) AS n, CAST(NULL AS TIMESTAMP) AS ts, CAST(NULL AS VARCHAR) AS action, CAST(NULL AS VARCHAR) AS reason FROM contributions
+ UNION ALL
+ SELECT contribution_id, CASE WHEN reason IS NOT NULL THEN status WHEN action = 'start_review' THEN 'in_review' WHEN action = 'request_changes' THEN 'changes_requested' WHEN action = 'approve' THEN 'approved' ELSE 'rejected' END,
+  n, CASE WHEN reason IS NULL THEN now ELSE ts END, action, reason
+ FROM (SELECT s.contribution_id, s.status, a.n, s.ts, a.ts AS now, a.action, CASE WHEN a.action = 'archive' THEN 'action not allowed' WHEN a.action = 'request_changes' AND trim(a.comment) = '' THEN 'comment required'
+   WHEN a.action = 'approve' AND s.status NOT IN ('draft', 'changes_requested', 'submitted', 'in_review') THEN 'state cannot be submitted' END AS reason
+  FROM steps s JOIN acts a ON a.contribution_id = s.contribution_id AND a.n = s.n + 1))"""
 
 
 def _review(spark, d):
@@ -485,13 +490,14 @@ def _review(spark, d):
 
 
 @query("review_transitions", f"""
-WITH {cte('contributions')}, {_ACTIONS} SELECT c.id, CASE WHEN j.action IS NULL THEN c.status WHEN j.action = 'start_review' THEN 'in_review' WHEN j.action = 'request_changes' THEN 'changes_requested' WHEN j.action = 'approve' THEN 'approved' ELSE 'rejected' END AS status,
- CASE WHEN j.action IS NOT NULL THEN 'r1' END AS reviewer_id, CAST(j.ts AS VARCHAR) AS reviewed_at FROM contributions c LEFT JOIN (SELECT * FROM judged WHERE reason IS NULL) j ON j.contribution_id = c.id""")
+WITH RECURSIVE {cte('contributions')}, {_ACTIONS} SELECT contribution_id AS id, arg_max(status, n) AS status, CASE WHEN max(ts) IS NOT NULL THEN 'r1' END AS reviewer_id, CAST(max(ts) AS VARCHAR) AS reviewed_at FROM steps GROUP BY contribution_id""")
 def review_transitions(spark, d):
     return _review(spark, d)[0].select("id", "status", "reviewer_id", F.col("reviewed_at").cast("string").alias("reviewed_at"))
 
 
-@query("review_rejects", f"WITH {cte('contributions')}, {_ACTIONS} SELECT contribution_id, action, reason FROM judged WHERE reason IS NOT NULL")
+@query("review_rejects", f"""
+WITH RECURSIVE {cte('contributions')}, {_ACTIONS} SELECT contribution_id, action, reason FROM steps WHERE reason IS NOT NULL
+UNION ALL SELECT contribution_id, action, 'not found' FROM acts WHERE contribution_id NOT IN (SELECT id FROM contributions)""")
 def review_rejects(spark, d):
     return _review(spark, d)[1]
 
@@ -723,8 +729,8 @@ def due_sources(spark, d):
 
 
 @query("record_runs", f"""
-WITH {cte('sources')}, r AS (SELECT {S('user_id')} AS id, max_by(event_type, ts) AS kind, max(ts) AS at FROM events GROUP BY 1)
-SELECT s.id, CASE WHEN r.kind <> 'error' THEN CAST(r.at AS VARCHAR) END AS last_fetched_at, CAST(r.at + to_minutes(CASE WHEN s.interval_minutes IS NOT NULL THEN s.interval_minutes WHEN frequency = 'daily' THEN 1440 WHEN frequency = 'monthly' THEN 43200 ELSE 10080 END) AS VARCHAR) AS next_fetch_at,
+WITH {cte('sources')}, r AS (SELECT {S('user_id')} AS id, max_by(event_type, ts) AS kind, max(ts) AS at, max(ts) FILTER (event_type <> 'error') AS ok_at FROM events GROUP BY 1)
+SELECT s.id, CAST(r.ok_at AS VARCHAR) AS last_fetched_at, CAST(r.at + to_minutes(CASE WHEN s.interval_minutes IS NOT NULL THEN s.interval_minutes WHEN frequency = 'daily' THEN 1440 WHEN frequency = 'monthly' THEN 43200 ELSE 10080 END) AS VARCHAR) AS next_fetch_at,
  CASE WHEN r.kind = 'error' THEN 'failed' WHEN r.kind IS NOT NULL THEN 'success' END AS last_run_status, CASE WHEN r.kind = 'error' THEN 'error' END AS last_error FROM sources s LEFT JOIN r ON r.id = s.id""")
 def record_runs(spark, d):
     none = lambda kind: F.lit(None).cast(kind)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from policylake import rules as R
@@ -214,40 +214,47 @@ TRANSITIONS = {"start_review": "in_review", "request_changes": "changes_requeste
 
 
 def apply_reviews(contributions: DataFrame, actions: DataFrame, conflicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Contributions after the last action of each (``contribution_id, action, comment, actor_id, at, id``), and rejects.
+    """Contributions after all their actions (``contribution_id, action, comment, actor_id, at, id``), and rejects.
 
-    Rejected are unknown ids, unknown actions, change requests without a comment, approvals from
-    a closed state and approvals of rows in ``conflicts``.
+    Actions apply one after the other by ``at`` and ``id``, and a refused one changes nothing.
+    Refused are unknown ids, unknown actions, change requests without a comment, approvals from a
+    closed state and approvals of rows in ``conflicts``. Only approvals depend on the state: it is
+    that of the last other action, or approved if an approval came after it.
     """
-    last = actions.groupBy("contribution_id").agg(F.max_by(F.struct("action", "comment", "actor_id", "at"), F.struct("at", "id")).alias("_a"))
-    last = last.select("contribution_id", F.col("_a.action").alias("_action"), F.col("_a.comment").alias("_comment"), F.col("_a.actor_id").alias("_actor"), F.col("_a.at").alias("_at"))
     state = contributions.select(F.col("id").alias("contribution_id"), F.col("status").alias("_status"))
-    judged = last.join(state, "contribution_id", "left")
+    judged = actions.join(state, "contribution_id", "left")
     if conflicts is not None:
-        judged = judged.join(conflicts.select(F.col("id").alias("contribution_id"), F.lit(True).alias("_conflict")), "contribution_id", "left")
+        judged = judged.join(conflicts.select(F.col("id").alias("contribution_id"), F.lit(True).alias("_conflict")).distinct(), "contribution_id", "left")
     else:
         judged = judged.withColumn("_conflict", F.lit(None).cast("boolean"))
-    reason = (
+    action, approve = F.col("action"), F.col("action") == "approve"
+    alone = (
         F.when(F.col("_status").isNull(), "not found")
-        .when(~F.col("_action").isin(*TRANSITIONS), "action not allowed")
-        .when((F.col("_action") == "request_changes") & (F.coalesce(F.trim("_comment"), F.lit("")) == ""), "comment required")
-        .when((F.col("_action") == "approve") & ~F.col("_status").isin(*R.SUBMITTABLE_STATUSES), "state cannot be submitted")
-        .when((F.col("_action") == "approve") & F.coalesce("_conflict", F.lit(False)), "duplicate already published")
+        .when(~F.coalesce(action.isin(*TRANSITIONS), F.lit(False)), "action not allowed")
+        .when((action == "request_changes") & (F.coalesce(F.trim("comment"), F.lit("")) == ""), "comment required")
     )
-    judged = judged.withColumn("_reason", reason)
-    target = None
-    for action, status in TRANSITIONS.items():
-        target = F.when(F.col("_action") == action, status) if target is None else target.when(F.col("_action") == action, status)
-    changes = judged.filter(F.col("_reason").isNull()).select(
-        F.col("contribution_id").alias("id"), target.alias("status"), F.col("_actor").alias("reviewer_id"), F.col("_at").alias("reviewed_at"), F.col("_at").alias("updated_at"))
+    target = F.coalesce(*[F.when(action == name, status) for name, status in TRANSITIONS.items()])
+    judged = judged.withColumns({"_alone": alone, "_target": target})
+    before = Window.partitionBy("contribution_id").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    counts = F.col("_alone").isNull()
+    judged = judged.withColumns({
+        "_state": F.coalesce(F.last(F.when(counts & ~approve, F.col("_target")), ignorenulls=True).over(before), F.col("_status")),
+        "_again": F.coalesce(F.last(F.when(counts, approve), ignorenulls=True).over(before), F.lit(False)),
+    })
+    closed = ~F.col("_state").isin(*R.SUBMITTABLE_STATUSES)
+    conflict = F.coalesce("_conflict", F.lit(False))
+    late = F.when(approve & closed, "state cannot be submitted").when(approve & conflict, "duplicate already published").when(approve & F.col("_again"), "state cannot be submitted")
+    judged = judged.withColumn("_reason", F.coalesce("_alone", late))
+    valid = judged.filter(F.col("_reason").isNull())
+    last = valid.groupBy("contribution_id").agg(F.max_by(F.struct("_target", "actor_id", "at"), F.struct("at", "id")).alias("_a"))
+    changes = last.select(F.col("contribution_id").alias("id"), F.col("_a._target").alias("status"), F.col("_a.actor_id").alias("reviewer_id"), F.col("_a.at").alias("reviewed_at"), F.col("_a.at").alias("updated_at"))
     merged = merge_snapshot(contributions, changes, "id", insert=False).select(*contributions.columns)
-    rejects = judged.filter(F.col("_reason").isNotNull()).select("contribution_id", F.col("_action").alias("action"), F.col("_reason").alias("reason"))
-    return merged, rejects
+    return merged, judged.filter(F.col("_reason").isNotNull()).select("contribution_id", "action", F.col("_reason").alias("reason"))
 
 
 def verify_policies(policies: DataFrame, actions: DataFrame) -> DataFrame:
     """Set verified, by whom and when for ``policy_id, actor_id, at`` (the last action counts)."""
-    last = actions.groupBy("policy_id").agg(F.max_by("actor_id", "at").alias("verified_by"), F.max("at").alias("verified_at"))
+    last = actions.groupBy("policy_id").agg(F.max(F.struct("at", "actor_id")).alias("_a")).select("policy_id", F.col("_a.actor_id").alias("verified_by"), F.col("_a.at").alias("verified_at"))
     changes = last.select(F.col("policy_id").alias("id"), F.lit("verified").alias("verification_status"), "verified_at", "verified_by", F.col("verified_at").alias("updated_at"))
     return merge_snapshot(policies, changes, "id", insert=False).select(*policies.columns)
 

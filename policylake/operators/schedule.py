@@ -27,7 +27,7 @@ def next_fetch_at(now: Column, interval: Column, frequency: Column) -> Column:
     return now + F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"), F.lit(0))
 
 
-def due_sources(sources: DataFrame, as_of: str | Column, n: int | None = 3) -> DataFrame:
+def due_sources(sources: DataFrame, as_of: str | Column, n: int | None = None) -> DataFrame:
     """Enabled, scheduled, not manual sources with a listing URL whose time has come, oldest first."""
     now = F.lit(as_of).cast("timestamp") if isinstance(as_of, str) else as_of
     c = F.col
@@ -38,16 +38,16 @@ def due_sources(sources: DataFrame, as_of: str | Column, n: int | None = 3) -> D
 
 
 def record_runs(sources: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Last-run columns from ``source_id, ok, error, at`` (the latest outcome per source counts).
+    """Last-run columns from ``source_id, ok, error, at``.
 
-    Success sets the fetch time, next fetch, status and clears the error; failure sets next
-    fetch, status and error only.
+    The latest outcome per source sets next fetch, status and error; the latest success sets the
+    fetch time, also when failures follow it. One partial aggregate gives both.
     """
-    last = outcomes.groupBy("source_id").agg(F.max_by(F.struct("ok", "error", "at"), F.struct("at", "ok")).alias("_r")).withColumnRenamed("source_id", "id")
+    last = outcomes.groupBy(F.col("source_id").alias("id")).agg(F.max_by(F.struct("ok", "error", "at"), F.struct("at", "ok", "error")).alias("_r"), F.max(F.when(F.col("ok"), F.col("at"))).alias("_ok_at"))
     side = sources.select("id", "interval_minutes", "frequency", F.col("last_fetched_at").alias("_last")).join(last, "id")
     at, ok = F.col("_r.at"), F.col("_r.ok")
     changes = side.select(
-        "id", F.when(ok, at).otherwise(F.col("_last")).alias("last_fetched_at"), next_fetch_at(at, F.col("interval_minutes"), F.col("frequency")).alias("next_fetch_at"),
+        "id", F.coalesce("_ok_at", "_last").alias("last_fetched_at"), next_fetch_at(at, F.col("interval_minutes"), F.col("frequency")).alias("next_fetch_at"),
         F.when(ok, "success").otherwise("failed").alias("last_run_status"), F.when(~ok, F.col("_r.error")).alias("last_error"), at.alias("updated_at"))
     return merge_snapshot(sources, changes, "id", insert=False).select(*sources.columns)
 
