@@ -147,9 +147,10 @@ def matches(index: DataFrame, sought: DataFrame, slack: int = 0) -> DataFrame:
     ranked = materialize(ranked_windows(index, sought))
     found = materialize(candidates(index, ranked, slack))
     asked = found.join(ranked, "window").select("block", "window", "starts", "order", "items")
-    need = materialize(asked.select("block", F.explode(F.slice("order", 3, 1 << 20)).alias("t")).select("block", "t.term").distinct())
-    lists = index.filter("term IS NOT NULL").join(need, ["block", "term"]).select("block", "term", "postings", F.lit(None).cast("array<bigint>").alias("counts"))
-    docs = index.filter("term IS NULL").join(found.select("block").distinct(), "block", "left_semi").select("block", "term", "postings", "counts")
+    sought_terms = materialize(ranked.select(F.explode("order.term").alias("term")).distinct())
+    lists = index.filter("term IS NOT NULL").join(sought_terms, "term").select("block", "term", "postings", F.lit(None).cast("array<bigint>").alias("counts"))
+    docs = index.filter("term IS NULL").select("block", "term", "postings", "counts")
+    rows = lists.union(docs).join(found.select("block").distinct(), "block", "left_semi")
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         postings, counts = {}, []
@@ -157,7 +158,7 @@ def matches(index: DataFrame, sought: DataFrame, slack: int = 0) -> DataFrame:
             if row["term"] is None:
                 counts = row["counts"]
             else:
-                postings[row["term"]] = places(row["postings"])
+                postings[row["term"]] = row["postings"]
         first = np.concatenate([[0], np.cumsum(np.array(counts, np.int64) + 1)])  # with the gaps
         hit = np.zeros(int(first[-1]) + 1, np.int64)
         items: dict[int, set] = {}
@@ -169,7 +170,12 @@ def matches(index: DataFrame, sought: DataFrame, slack: int = 0) -> DataFrame:
             doc = np.searchsorted(first, lead, side="right") - 1
             good = np.ones(len(starts), bool)
             for t in order[2:]:
-                good &= _meet(starts, postings.get(t["term"], np.empty(0, np.int64)) - t["off"], slack)
+                if not good.any():
+                    break
+                found = postings.get(t["term"])
+                if isinstance(found, bytes):  # opened where it is asked for
+                    found = postings[t["term"]] = places(found)
+                good &= _meet(starts, np.empty(0, np.int64) if found is None else found - t["off"], slack)
             low = np.maximum(starts - slack, first[doc])
             high = np.minimum(starts + size + slack, first[doc + 1] - 1)
             if not slack:
@@ -187,7 +193,7 @@ def matches(index: DataFrame, sought: DataFrame, slack: int = 0) -> DataFrame:
         return pa.table({"block": pa.array([block] * len(at), pa.int64()), "ord": pa.array(at, pa.int64()), "n_hit": pa.array([int(words[d]) for d in at], pa.int64()), "items": pa.array([sorted(items[d]) for d in at], pa.list_(pa.string())),
                          "spans": pa.array([[{"first": a, "words": b} for a, b in sorted(spans[d])] for d in at], span)})
 
-    cogrouped = asked.groupBy("block").cogroup(lists.union(docs).groupBy("block"))
+    cogrouped = asked.groupBy("block").cogroup(rows.groupBy("block"))
     return cogrouped.applyInArrow(task, "block bigint, ord bigint, n_hit bigint, items array<string>, spans array<struct<first:bigint,words:bigint>>")
 
 
