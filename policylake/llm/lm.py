@@ -15,12 +15,14 @@ they come and come back; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from policylake.llm.parts import PART_BYTES, in_order, in_parts, key_group, numbers, pack_sorted, part_count, unpack_sorted, varints
+from policylake.llm.parts import in_order, in_parts, key_group, numbers, pack_sorted, part_count, unpack_sorted, varints
 from policylake.llm.words import sequence_keys, split_words, window_starts, word_keys
 
 ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
@@ -42,7 +44,7 @@ class _Part:
         for row in replies.to_pylist() if replies is not None else []:
             blobs.setdefault(row["n"], []).append((row["grp"], row["totals"]))
         for n, found in blobs.items():
-            self.answers[n] = np.concatenate([numbers(b) for _, b in sorted(found)])
+            self.answers[n] = np.concatenate([numbers(zlib.decompress(b)) for _, b in sorted(found)])
         self.counts: dict[int, np.ndarray] = {}  # of the n-gram that begins at each word; 0 if it wasn't asked for
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,14 +104,14 @@ def count_table(table: pa.Table) -> pa.Table:
     totals = np.empty(len(every), np.int64)
     totals[order] = np.repeat(np.add.reduceat(counts[order], first), np.diff(np.concatenate([first, [len(every)]])))
     ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).tolist()
-    return pa.table({c: table[c] for c in ("part", "grp", "n")} | {"totals": pa.array([varints(totals[a:b])[0].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())})
+    return pa.table({c: table[c] for c in ("part", "grp", "n")} | {"totals": pa.array([zlib.compress(varints(totals[a:b])[0].tobytes(), 1) for a, b in zip(ends, ends[1:])], pa.binary())})
 
 
-def backoff_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, part_bytes: int = PART_BYTES) -> DataFrame:
+def backoff_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, part_bytes: int = 8 << 20) -> DataFrame:
     """``id, n_words, log_score, mean_score`` of every row, under the counts of all rows."""
     kind = docs.schema[id].dataType.simpleString()
     parts = part_count(docs, text, part_bytes)
-    groups = max(1, parts // 2)
+    groups = parts
     dealt = in_parts(docs, id, text, parts)
 
     def first(table: pa.Table) -> pa.Table:
