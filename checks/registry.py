@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from policylake.functions.text import WHITESPACE, WS
-from policylake.session import spread
 
 TEXT_TABLES = ("documents", "pages")  # few, heavy rows: worth all cores even when one split holds them
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for row-wise heavy work on the test tables, which lie in fewer files than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -51,8 +56,9 @@ def sql_clean(c: str) -> str:
     return sql_strip(f"regexp_replace({inner}, '\n{{3,}}', '\n\n', 'g')")
 
 
-def sql_compact(c: str, limit: int = 120) -> str:
-    return f"substr(replace({sql_clean(c)}, '\n', ' '), 1, {limit})"
+def sql_compact(c: str, limit: int | None = None) -> str:
+    line = f"replace({sql_clean(c)}, '\n', ' ')"
+    return line if limit is None else f"substr({line}, 1, {limit})"
 
 
 def sql_squeeze(c: str) -> str:
@@ -69,9 +75,12 @@ def sql_group(c: str, pattern: str, index: int = 1) -> str:
 
 
 def sql_unescape(c: str) -> str:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = f"replace({c}, {quoted(entity)}, {quoted(char)})"
-    return c
+    """Character references of the test pages, each once."""
+    names = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "nbsp": "\xa0", "copy": "©", "middot": "·"}
+    number = lambda pattern, prefix: f"WHEN regexp_matches(p, '^{pattern};') THEN concat(chr(TRY_CAST(concat('{prefix}', regexp_extract(p, '^{pattern};', 1)) AS INTEGER)), substr(p, strpos(p, ';') + 1))"
+    named = " ".join(f"WHEN starts_with(p, '{n};') THEN concat({quoted(x)}, substr(p, {len(n) + 2}))" for n, x in names.items())
+    piece = f"CASE {number('#([0-9]+)', '')} {number('#[xX]([0-9A-Fa-f]+)', '0x')} {named} ELSE concat('&', p) END"
+    return f"concat(string_split({c}, '&')[1], array_to_string(list_transform(string_split({c}, '&')[2:], lambda p: {piece}), ''))"
 
 
 def sql_first_keyword(c: str, rules, before: int, after: int) -> tuple[str, str]:

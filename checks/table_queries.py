@@ -35,7 +35,7 @@ WHERE p.status = 'active' AND coalesce(p.verification_status, 'pending') = 'pend
   AND (contains(lower(p.title), 'part 1') OR contains(lower(p.issuer), 'part 1') OR contains(lower(p.program), 'part 1') OR contains(lower(p.source_url), 'part 1') OR p.id IN (SELECT policy_id FROM hit))
 ORDER BY p.updated_at DESC NULLS LAST, p.id, r.id LIMIT 500""")
 def policy_search(spark, d):
-    out = search.search_policies(adapt(spark, d, "policies"), adapt(spark, d, "subsidy_rules"), adapt(spark, d, "evidence"), q="Part 1", category="A", province="广东", verification="pending")
+    out = search.search_policies(adapt(spark, d, "policies"), adapt(spark, d, "subsidy_rules"), adapt(spark, d, "evidence"), q="Part 1", category="A", province="广东", verification="pending", n=500)
     return out.select("id", "rule_id", "title", "category", F.col("updated_at").cast("string").alias("updated_at"), "content_snippet")
 
 
@@ -99,7 +99,7 @@ def global_counts(spark, d):
 @query("recent", f"""
 WITH {cte('contributions', 'users')} SELECT c.id, c.title, c.status, u.display_name, CAST(c.updated_at AS VARCHAR) AS updated_at FROM contributions c JOIN users u ON u.id = c.user_id ORDER BY c.updated_at DESC, c.id LIMIT 8""")
 def recent(spark, d):
-    out = reports.recent(adapt(spark, d, "contributions"), adapt(spark, d, "users"))
+    out = reports.recent(adapt(spark, d, "contributions"), adapt(spark, d, "users"), 8)
     return out.select("id", "title", "status", "display_name", F.col("updated_at").cast("string").alias("updated_at"))
 
 
@@ -113,7 +113,7 @@ def double_dim_join(spark, d):
 WITH {cte('audit', 'users')} SELECT a.id, a.entity_id, a.action, CAST(a.created_at AS VARCHAR) AS created_at, u.display_name FROM audit a LEFT JOIN users u ON u.id = a.actor_id
 WHERE a.entity_type = 'contribution' ORDER BY a.created_at DESC, a.id LIMIT 100""")
 def timeline(spark, d):
-    out = search.timeline(adapt(spark, d, "audit"), adapt(spark, d, "users"), "contribution")
+    out = search.timeline(adapt(spark, d, "audit"), adapt(spark, d, "users"), "contribution", n=100)
     return out.select("id", "entity_id", "action", F.col("created_at").cast("string").alias("created_at"), "display_name")
 
 

@@ -21,7 +21,7 @@ from policylake.operators.links import candidate_links, plan_expansion, robots_f
 from policylake.operators.search import insert_if_absent
 from policylake.plans.corpus import level_histogram, scored_documents
 from policylake.sources.files import snapshot_manifest
-from policylake.sources.html import ANCHOR, extract_links, page_links, page_titles, parse_page
+from policylake.sources.html import extract_links, inner_text, page_links, page_titles
 
 # --- URLs ------------------------------------------------------------------------------------
 
@@ -53,14 +53,32 @@ def host_screen(spark, d):
         "page_id", U.url_host("url").alias("host"), U.is_official_host("url", ".example.org").alias("official"), U.url_host("url").startswith("www.").alias("www"))
 
 
-_HREF = r"""(?is)<a\s[^>]*?href\s*=\s*"([^"]*)"[^>]*>(.*?)</a>"""
-_LINKS = f"""
-raw AS (SELECT page_id, url AS page_url, regexp_extract_all(html, {quoted(_HREF)}, 1) AS hs, regexp_extract_all(html, {quoted(_HREF)}, 2) AS bs FROM pages),
-flat AS (SELECT page_id, page_url, unnest(range(1, len(hs) + 1)) AS i, unnest(hs) AS h, unnest(bs) AS b FROM raw),
-cells AS (SELECT page_id, page_url, i, {sql_clean(sql_unescape('h'))} AS href, {sql_compact(sql_unescape("regexp_replace(b, '(?s)<[^>]*>', '', 'g')"))} AS link_text FROM flat),
-firsts AS (SELECT *, row_number() OVER (PARTITION BY page_id, href, substr(link_text, 1, 80) ORDER BY i) AS rn FROM cells
+# The pages with all forms of attributes and references: double, single and no quotes, another attribute before, numbers.
+_FORMS = r"""
+forms AS (SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN h WHEN 1 THEN replace(h, '&amp;', '&#38;') ELSE replace(h, '&amp;', '&#x26;') END AS html FROM (
+  SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN regexp_replace(html, '<a href="([^"]*)"', concat('<a href=', chr(39), '\1', chr(39)), 'g')
+    WHEN 2 THEN regexp_replace(html, '<a href="([^"\s>]+)"', '<a href=\1', 'g') ELSE replace(html, '<a href=', '<a data-href="/wrong" class=x href=') END AS h FROM pages))"""
+
+
+def _forms(spark, d):
+    h, k = F.col("html"), F.col("page_id")
+    h = (F.when(k % 4 == 0, h).when(k % 4 == 1, F.regexp_replace(h, '<a href="([^"]*)"', "<a href='$1'"))
+         .when(k % 4 == 2, F.regexp_replace(h, r'<a href="([^"\s>]+)"', "<a href=$1")).otherwise(F.replace(h, F.lit("<a href="), F.lit('<a data-href="/wrong" class=x href='))))
+    h = F.when(k % 3 == 0, h).when(k % 3 == 1, F.replace(h, F.lit("&amp;"), F.lit("&#38;"))).otherwise(F.replace(h, F.lit("&amp;"), F.lit("&#x26;")))
+    return table(spark, d, "pages").withColumn("html", h)
+
+
+_TAG = r"(?is)<a\s[^>]*>.*?</a>"
+_IN_TAG = r"""(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+_HREF_OF = f"trim(regexp_extract(tag, {quoted(_IN_TAG)}, 1), concat(chr(34), chr(39)))"
+_BODY_OF = "regexp_replace(tag, '(?s)<[^>]*>', '', 'g')"
+_LINKS = f"""{_FORMS},
+raw AS (SELECT page_id, url AS page_url, regexp_extract_all(html, {quoted(_TAG)}) AS tags FROM forms),
+flat AS (SELECT page_id, page_url, unnest(range(1, len(tags) + 1)) AS i, unnest(tags) AS tag FROM raw),
+cells AS (SELECT page_id, page_url, i, {sql_clean(sql_unescape(_HREF_OF))} AS href, {sql_compact(sql_unescape(_BODY_OF))} AS link_text FROM flat),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY page_id, href, link_text ORDER BY i) AS rn FROM cells
            WHERE href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(href, 'javascript:') AND NOT starts_with(href, 'mailto:')),
-links AS (SELECT page_id, page_url, row_number() OVER (PARTITION BY page_id ORDER BY i) AS position, href, link_text FROM firsts WHERE rn = 1 QUALIFY position <= 300)"""
+links AS (SELECT page_id, page_url, row_number() OVER (PARTITION BY page_id ORDER BY i) AS position, href, link_text FROM firsts WHERE rn = 1)"""
 _RESOLVED = r"""CASE WHEN regexp_matches(href, '^https?://[^/?#]+$') THEN concat(href, '/') WHEN regexp_matches(href, '^https?://') THEN href
   WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
   WHEN starts_with(href, '/') THEN concat(regexp_extract(page_url, '^(https?://[^/?#]+)', 1), href)
@@ -77,7 +95,7 @@ def titles(spark, d):
 
 @query("page_links", f"WITH {_LINKS} SELECT page_id, position, href, link_text FROM links")
 def links_of_pages(spark, d):
-    return extract_links(table(spark, d, "pages"), keep=("page_id",))
+    return extract_links(_forms(spark, d), keep=("page_id",))
 
 
 SCORE_WORDS = ("th", "tion", "an", "eau", "the", "ou")
@@ -85,7 +103,7 @@ STRONG, TOPICS, MECHANISMS = ("tion",), ("th", "eau", "sch"), ("an", "er", "ou")
 
 
 def _triaged(spark, d):
-    links = extract_links(table(spark, d, "pages"), keep=("page_id", "url")).withColumnRenamed("url", "page_url")
+    links = extract_links(_forms(spark, d), keep=("page_id", "url")).withColumnRenamed("url", "page_url")
     return triage_links(links, "href", "link_text", "page_url", SCORE_WORDS, strong=STRONG, topics=TOPICS, mechanisms=MECHANISMS)
 
 
@@ -101,24 +119,27 @@ def link_triage(spark, d):
 @query("link_candidates", f"""
 WITH {_LINKS}, abs AS (SELECT page_id, position, {_ESCAPED} AS url, trim(link_text) AS t FROM links),
 kept AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY position) AS rn FROM abs WHERE url IS NOT NULL AND ({any_contains('t', SCORE_WORDS)} OR {any_contains('url', SCORE_WORDS)}))
-SELECT page_id, url, CASE WHEN t = '' THEN url ELSE t END AS title FROM kept WHERE rn = 1 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY position) <= 5""")
+SELECT page_id, url, CASE WHEN t = '' THEN url ELSE t END AS title FROM kept WHERE rn = 1""")
 def link_candidates(spark, d):
-    pages = table(spark, d, "pages")
-    found = candidate_links(page_links("html"), F.col("url"), SCORE_WORDS, 5)
+    pages = _forms(spark, d)
+    found = candidate_links(page_links("html"), F.col("url"), SCORE_WORDS)
     return pages.select("page_id", F.explode(found).alias("c")).select("page_id", "c.url", "c.title")
 
 
+# As a crawler would go: document after document, newest first, each past the URLs already taken.
 @query("link_expansion", f"""
-WITH {_LINKS}, tri AS (SELECT page_id, position, {_ESCAPED} AS url, link_text, {_SCORE} AS link_score, {_POLICY} AS fit FROM links),
-ok AS (SELECT * FROM tri WHERE fit AND url IS NOT NULL AND regexp_matches(url, '^https?://[^/?#]*\\.example\\.(org|com|net)([/?#]|$)')),
-own AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id DESC, link_score DESC, position) AS rn FROM ok),
-fresh AS (SELECT * FROM own WHERE rn = 1 AND url NOT IN (SELECT url FROM pages)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY link_score DESC, position, url) AS rank_in_doc FROM fresh)
-SELECT page_id AS doc_id, url, link_score, rank_in_doc FROM ranked WHERE rank_in_doc <= 3 ORDER BY page_id DESC, rank_in_doc LIMIT 80""")
+WITH RECURSIVE {_LINKS}, tri AS (SELECT page_id, position, {_ESCAPED} AS url, link_text, {_SCORE} AS link_score, {_POLICY} AS fit FROM links),
+ok AS (SELECT * FROM tri WHERE fit AND url IS NOT NULL AND regexp_matches(url, '^https?://[^/?#]*\\.example\\.org([/?#]|$)') AND url NOT IN (SELECT url FROM pages)
+       QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY link_score DESC, position) = 1),
+lists AS (SELECT page_id, row_number() OVER (ORDER BY page_id DESC) AS n, list(url ORDER BY link_score DESC, position, url) AS urls FROM ok GROUP BY page_id),
+walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS page_id, CAST([] AS VARCHAR[]) AS taken, CAST([] AS VARCHAR[]) AS chosen
+  UNION ALL SELECT n, page_id, list_concat(taken, c), c FROM (
+    SELECT l.n, l.page_id, w.taken, list_filter(l.urls, lambda u: NOT list_contains(w.taken, u))[1:3] AS c FROM walk w JOIN lists l ON l.n = w.n + 1)),
+picks AS (SELECT page_id, unnest(chosen) AS url, unnest(range(1, len(chosen) + 1)) AS rank_in_doc FROM walk)
+SELECT p.page_id AS doc_id, p.url, o.link_score, p.rank_in_doc FROM picks p JOIN ok o ON o.page_id = p.page_id AND o.url = p.url ORDER BY p.page_id DESC, p.rank_in_doc LIMIT 80""")
 def link_expansion(spark, d):
     links = _triaged(spark, d).withColumns({"doc_id": F.col("page_id"), "doc_at": F.timestamp_seconds("page_id")})
-    official = links.filter(U.url_host("url").rlike(r"\.example\.(org|com|net)$"))
-    plan = plan_expansion(official, table(spark, d, "pages").select("url"), official_suffix="")
+    plan = plan_expansion(links, table(spark, d, "pages").select("url"), 3, 80, official_suffix=".example.org")
     return plan.select("doc_id", "url", "link_score", "rank_in_doc")
 
 
@@ -168,22 +189,25 @@ def url_screen(spark, d):
 
 @query("url_resolve", f"WITH {_LINKS} SELECT page_id, position, {_ESCAPED} AS url FROM links")
 def url_resolve(spark, d):
-    links = extract_links(table(spark, d, "pages"), keep=("page_id", "url"))
+    links = extract_links(_forms(spark, d), keep=("page_id", "url"))
     return links.select("page_id", "position", U.resolve_url("href", "url").alias("url"))
 
 
-@query("page_text")
-def page_text(spark, d):
-    """Full parse of every page; the string value of a tree has no SQL form."""
-    pages = table(spark, d, "pages")
+_RAW = r"(?is)^<(?:script|style)\b[^>]*>(.*?)</(?:script|style)\s*>"
+_REST = f"regexp_replace(substr(q, length(regexp_extract(q, {quoted(_RAW)}, 0)) + 1), '(?s)<!--.*?-->|<[A-Za-z/!?][^>]*>', '', 'g')"
+_PIECE = f"concat(regexp_extract(q, {quoted(_RAW)}, 1), {sql_unescape(_REST)})"
+_STRING_VALUE = sql_clean(f"array_to_string(list_transform(qs, lambda q: {_PIECE}), '')")
 
-    def parse(batches):
-        for pdf in batches:
-            parsed = [parse_page(h) for h in pdf["html"]]
-            yield pdf.assign(title=[p["title"] for p in parsed], heading=[p["heading"] for p in parsed], text_chars=[len(p["text"]) for p in parsed],
-                             link_count=[len(p["links"]) for p in parsed])[["page_id", "title", "heading", "text_chars", "link_count"]]
 
-    return pages.mapInPandas(parse, "page_id bigint, title string, heading string, text_chars bigint, link_count bigint")
+@query("page_text", f"""
+WITH {_LINKS}, marked AS (SELECT page_id, string_split(regexp_replace(html, '(?i)<(script|style)\\b', concat(chr(1), '<\\1'), 'g'), chr(1)) AS qs FROM forms),
+texts AS (SELECT page_id, {_STRING_VALUE} AS t FROM marked),
+counts AS (SELECT page_id, count(*) AS n FROM links GROUP BY page_id)
+SELECT t.page_id, md5(t.t) AS text_md5, length(t.t) AS text_chars, coalesce(c.n, 0) AS link_count FROM texts t LEFT JOIN counts c ON c.page_id = t.page_id""")
+def page_text(spark, d):
+    """String value of every page, script and style included, and its links."""
+    text = T.clean_text(inner_text("html"))
+    return _forms(spark, d).select("page_id", F.md5(text.cast("binary")).alias("text_md5"), F.char_length(text).cast("bigint").alias("text_chars"), F.size(page_links("html")).cast("bigint").alias("link_count"))
 
 
 # --- text ------------------------------------------------------------------------------------
@@ -199,8 +223,8 @@ def text_normalize(spark, d):
 _NL = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 _TITLE_CTE = f"""
 lines AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, {quoted(_NL)}), lambda l: {sql_strip('l')} <> '') AS ls FROM documents),
-titled AS (SELECT doc_id, text, list_filter(list_transform(ls[1:20], lambda l: {sql_clean('l')}), lambda t: length(t) BETWEEN 6 AND 100)[1] AS plain,
-  list_filter(list_transform(ls[1:30], lambda l: {sql_clean('l')}), lambda t: length(t) BETWEEN 6 AND 100 AND {any_contains('t', R.TITLE_LINE_WORDS)})[1] AS named FROM lines)"""
+titled AS (SELECT doc_id, text, list_filter(list_transform(ls, lambda l: {sql_clean('l')}), lambda t: length(t) BETWEEN 6 AND 100)[1] AS plain,
+  list_filter(list_transform(ls, lambda l: {sql_clean('l')}), lambda t: length(t) BETWEEN 6 AND 100 AND {any_contains('t', R.TITLE_LINE_WORDS)})[1] AS named FROM lines)"""
 
 
 @query("title_infer", f"WITH {_TITLE_CTE} SELECT doc_id, coalesce(named, plain) AS title FROM titled")
@@ -284,7 +308,7 @@ _UNIT, _ = sql_first_keyword("text", R.CAP_UNIT_RULES, 40, 40)
 
 
 @query("program_label", f"""
-WITH {cte('notices')} SELECT order_key, line_no, part_key, supp_key, {_PROGRAM} AS program, {sql_compact('(' + _PROGRAM_QUOTE + ')', 180)} AS quote, coalesce({_UNIT}, '元') AS cap_unit FROM notices""")
+WITH {cte('notices')} SELECT order_key, line_no, part_key, supp_key, {_PROGRAM} AS program, {sql_compact('(' + _PROGRAM_QUOTE + ')')} AS quote, coalesce({_UNIT}, '元') AS cap_unit FROM notices""")
 def program_label(spark, d):
     n = notices(spark, d, "order_key", "line_no", "part_key", "supp_key", "text").withColumns({"p": X.program(F.col("text")), "u": X.cap_unit(F.col("text"))})
     return n.select("order_key", "line_no", "part_key", "supp_key", F.col("p.value").alias("program"), F.col("p.quote").alias("quote"), F.col("u.value").alias("cap_unit"))
@@ -349,8 +373,8 @@ _DOC_NO, _ISSUER = sql_group("text", X.DOC_NO), sql_group("text", X.ISSUER)
 @query("funding_issuer_docno", f"""
 WITH {cte('notices')}, m AS (SELECT *, {_ISSUER} AS iss FROM notices)
 SELECT order_key, line_no, part_key, supp_key, {_DOC_NO} AS doc_no, iss AS issuer,
-  CASE WHEN iss IS NOT NULL THEN {sql_compact("substr(text, greatest(strpos(text, iss) - 30, 1), strpos(text, iss) - greatest(strpos(text, iss) - 30, 1) + length(iss) + 50)", 180)} END AS issuer_quote,
-  {_FUND} AS funding_source, {sql_compact('(' + _FUND_QUOTE + ')', 180)} AS funding_quote FROM m""")
+  CASE WHEN iss IS NOT NULL THEN {sql_compact("substr(text, greatest(strpos(text, iss) - 30, 1), strpos(text, iss) - greatest(strpos(text, iss) - 30, 1) + length(iss) + 50)")} END AS issuer_quote,
+  {_FUND} AS funding_source, {sql_compact('(' + _FUND_QUOTE + ')')} AS funding_quote FROM m""")
 def funding_issuer_docno(spark, d):
     t = F.col("text")
     n = notices(spark, d, "order_key", "line_no", "part_key", "supp_key", "text").withColumns({"n": X.doc_number(t), "i": X.issuer(t), "f": X.funding_source(t)})
@@ -362,7 +386,7 @@ COND_WORDS = ("the ", "que ", "der ", "los ")
 
 
 @query("conditions", f"""
-WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[。；\n]'), lambda x: {sql_clean('x')}), lambda v: length(v) BETWEEN 12 AND 220 AND {any_contains('v', COND_WORDS)})[1:8] AS c FROM documents)
+WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[。；\n]'), lambda x: {sql_clean('x')}), lambda v: length(v) BETWEEN 12 AND 220 AND {any_contains('v', COND_WORDS)}) AS c FROM documents)
 SELECT doc_id, len(c) AS condition_count, md5(array_to_string(c, '；')) AS conditions_md5 FROM s""")
 def conditions(spark, d):
     df = table(spark, d, "documents").withColumn("c", X.conditions(F.col("text"), COND_WORDS))
@@ -375,11 +399,11 @@ _TO_QUOTE = f"coalesce({sql_group('text', X.DATE_RANGE, 0)}, {sql_group('text',
 
 @query("evidence_unpivot", f"""
 WITH {cte('notices')}, {_AMOUNTS}, cells AS (
-  SELECT order_key, line_no, part_key, 'rate' AS field_name, CASE WHEN rate IS NOT NULL THEN {sql_compact('rm', 180)} END AS quote, 0.88 AS confidence FROM a
-  UNION ALL SELECT order_key, line_no, part_key, 'cap_amount', CASE WHEN cap IS NOT NULL THEN {sql_compact('cm', 180)} WHEN best IS NOT NULL THEN {quoted(R.REDUCTION_CAP_QUOTE)} END, CASE WHEN cap IS NOT NULL THEN 0.9 ELSE 0.68 END FROM a
-  UNION ALL SELECT order_key, line_no, part_key, 'effective_to', {sql_compact(_TO_QUOTE, 180)}, CASE WHEN {sql_group('text', X.DATE_RANGE, 0)} IS NOT NULL THEN 0.86 WHEN {sql_group('text', X.DATE_TO, 0)} IS NOT NULL THEN 0.78 ELSE 0.82 END FROM a
+  SELECT order_key, line_no, part_key, 'rate' AS field_name, CASE WHEN rate IS NOT NULL THEN {sql_compact('rm')} END AS quote, 0.88 AS confidence FROM a
+  UNION ALL SELECT order_key, line_no, part_key, 'cap_amount', CASE WHEN cap IS NOT NULL THEN {sql_compact('cm')} WHEN best IS NOT NULL THEN {quoted(R.REDUCTION_CAP_QUOTE)} END, CASE WHEN cap IS NOT NULL THEN 0.9 ELSE 0.68 END FROM a
+  UNION ALL SELECT order_key, line_no, part_key, 'effective_to', {sql_compact(_TO_QUOTE)}, CASE WHEN {sql_group('text', X.DATE_RANGE, 0)} IS NOT NULL THEN 0.86 WHEN {sql_group('text', X.DATE_TO, 0)} IS NOT NULL THEN 0.78 ELSE 0.82 END FROM a
   UNION ALL SELECT order_key, line_no, part_key, 'doc_no', {_DOC_NO}, 0.94 FROM a
-  UNION ALL SELECT order_key, line_no, part_key, 'funding_source', {sql_compact('(' + _FUND_QUOTE + ')', 180)}, 0.72 FROM a)
+  UNION ALL SELECT order_key, line_no, part_key, 'funding_source', {sql_compact('(' + _FUND_QUOTE + ')')}, 0.72 FROM a)
 SELECT order_key, line_no, part_key, field_name, quote, CAST(confidence AS DOUBLE) AS confidence FROM cells WHERE quote IS NOT NULL""")
 def evidence_unpivot(spark, d):
     e = X.extract_cells(notices(spark, d, "order_key", "line_no", "part_key", "text"), fields=EVIDENCE_FIELDS)
@@ -405,7 +429,7 @@ def _sql_relevance(v: V.Vocabulary, source: str, fields: dict[str, str], keys: s
     strong = lambda c: f"({any_contains(c, v.strong)} OR ({any_contains(c, v.topics)} AND contains({c}, {quoted(v.companion)})))"
     amount = f("amount")
     return f"""
-rel_base AS (SELECT *, coalesce(title, '') AS t, substr(text, 1, 8000) AS head FROM {source}),
+rel_base AS (SELECT *, coalesce(title, '') AS t, text AS head FROM {source}),
 rel_flags AS (SELECT *, {' + '.join(points)} AS points, kind IN {in_list(v.policy_types)} AS pol, {any_contains('t', v.negative_title)} AS negt, {any_contains('head', v.negative_body)} AS negb,
   {strong('t')} AS st, {strong('head')} AS sh, regexp_matches(head, {quoted(v.mechanism)}) AS mech FROM rel_base),
 rel_raw AS (SELECT *, points + 100 * ((CASE WHEN pol THEN 18 ELSE 0 END) + (CASE WHEN {f('doc_no')} THEN 12 ELSE 0 END) + (CASE WHEN {f('issuer')} THEN 7 ELSE 0 END) + (CASE WHEN {f('funding')} THEN 5 ELSE 0 END)
@@ -460,7 +484,7 @@ _TITLE_PROVINCES = sorted(R.PROVINCE_NAMES, key=len, reverse=True)
 
 @query("jurisdiction", f"""
 WITH {cte('notices')} SELECT order_key, line_no, part_key, supp_key, (SELECT p FROM (VALUES {', '.join(f"({i}, '{p}')" for i, p in enumerate(_TITLE_PROVINCES))}) v(i, p) WHERE contains(title, p) ORDER BY i LIMIT 1) AS jurisdiction_name,
-  list_filter(regexp_extract_all(concat(title, '\n', substr(text, 1, 8000)), '[\\x{{4E00}}-\\x{{9FFF}}]{{2,6}}市', 0), lambda x: NOT {any_contains('x', R.CITY_EXCLUDED)})[1] AS city FROM notices""")
+  list_filter(regexp_extract_all(concat(title, '\n', text), '[\\x{{4E00}}-\\x{{9FFF}}]{{2,6}}市', 0), lambda x: NOT {any_contains('x', R.CITY_EXCLUDED)})[1] AS city FROM notices""")
 def jurisdiction(spark, d):
     t = F.col("text")
     n = notices(spark, d, "order_key", "line_no", "part_key", "supp_key", "title", "text").withColumns({"j": X.jurisdiction(t, F.col("title")), "g": X.city_district(t, F.col("title"))})

@@ -52,13 +52,13 @@ def group(c: Column, pattern: str, index: int = 1) -> Column:
 
 
 def cell(value: Column, confidence: float | Column, quote: Column | str | None = None) -> Column:
-    """Field cell; null when the value is null. Blank quotes are null, others one line of 180."""
+    """Field cell; null when the value is null. Blank quotes are null, others one line."""
     confidence = F.lit(confidence) if isinstance(confidence, float) else confidence
     if quote is None:
         quoted = F.lit(None).cast("string")
     else:
         raw = F.lit(quote) if isinstance(quote, str) else quote
-        quoted = F.nullif(T.compact(raw, 180), F.lit(""))
+        quoted = F.nullif(T.compact(raw), F.lit(""))
     built = F.struct(value.alias("value"), confidence.cast("double").alias("confidence"), quoted.alias("quote"))
     return F.when(value.isNotNull(), built)
 
@@ -72,16 +72,21 @@ def _window(text: Column, at: Column, length: Column, before: int, after: int) -
     return F.substr(text, start, at - start + length + after)
 
 
-def infer_title(text: Column, heading: Column, og_title: Column, title: Column) -> Column:
-    """``struct<value, raw>``: page titles first, then a policy-like line, then any line."""
+def infer_title(text: Column, heading: Column, og_title: Column, title: Column, named_lines: int | None = None, plain_lines: int | None = None) -> Column:
+    """``struct<value, raw>``: page titles first, then a policy-like line, then any line.
+
+    Looks through all lines, unless the first ones to look for either kind in are given.
+    """
+    top = lambda lines, n: lines if n is None else F.slice(lines, 1, n)
+
     def from_meta(c: Column) -> Column:
         return let(T.clean_title(c), lambda t: F.when(F.char_length(t) >= 6, F.struct(t.alias("value"), T.clean_text(c).alias("raw"))))
 
     def from_lines(lines: Column) -> Column:
-        cleaned = F.transform(F.slice(lines, 1, 30), T.clean_text)
+        cleaned = F.transform(lines, T.clean_text)
         fits = lambda x: F.char_length(x).between(6, 100)
-        named = F.get(F.filter(cleaned, lambda x: fits(x) & has_word(x, R.TITLE_LINE_WORDS)), 0)
-        plain = F.get(F.filter(F.slice(cleaned, 1, 20), fits), 0)
+        named = F.get(F.filter(top(cleaned, named_lines), lambda x: fits(x) & has_word(x, R.TITLE_LINE_WORDS)), 0)
+        plain = F.get(F.filter(top(cleaned, plain_lines), fits), 0)
         return let(F.coalesce(named, plain), lambda t: F.when(t.isNotNull(), F.struct(t.alias("value"), t.alias("raw"))))
 
     lines = F.filter(F.split(text, LINE_BREAK), lambda x: T.strip(x) != "")
@@ -149,19 +154,19 @@ def published_at(text: Column, meta_date: Column) -> Column:
 
 
 def jurisdiction(text: Column, title: Column, provinces: Sequence[str] = R.PROVINCE_NAMES) -> Column:
-    """Province in title, head, then text (longest names first); national words; first region."""
+    """Province in title, then text (longest names first); national words; first region."""
     ordered = [R.Rule(p, (p,)) for p in sorted(provinces, key=len, reverse=True)]
     title = F.coalesce(title, F.lit(""))
     find = lambda c: T.first_keyword_match(c, ordered, 20, 45)
     national = F.when(has_word(title, R.NATIONAL_TITLE_WORDS), F.struct(F.lit(R.NATIONAL).alias("value"), title.alias("quote")))
     region = let(group(text, REGION), lambda r: F.when(r.isNotNull(), F.struct(r.alias("value"), r.alias("quote"))))
-    hit = F.coalesce(find(title), find(F.substring(text, 1, 8000)), find(text), national, region)
+    hit = F.coalesce(find(title), find(text), national, region)
     return let(hit, lambda h: cell(h["value"], 0.68, h["quote"]))
 
 
 def city_district(text: Column, title: Column) -> Column:
-    """``struct<city, district>``: first admissible names in the title and the head of the text."""
-    source = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.substring(text, 1, 8000))
+    """``struct<city, district>``: first admissible names in the title and the text."""
+    source = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), text)
     reject = R.any_of(R.CITY_EXCLUDED)
 
     def first(pattern: str) -> Column:
@@ -264,11 +269,11 @@ def effective_dates(text: Column) -> Column:
     return let(matches, build)
 
 
-def conditions(text: Column, condition_words: Sequence[str] = R.CONDITION_WORDS, limit: int = 8) -> Column:
-    """First sentences of 12 to 220 characters holding a condition word."""
+def conditions(text: Column, condition_words: Sequence[str] = R.CONDITION_WORDS, limit: int | None = None) -> Column:
+    """Sentences of 12 to 220 characters holding a condition word; with ``limit`` the first ones."""
     sentences = F.transform(F.split(text, r"[。；\n]"), T.clean_text)
     kept = F.filter(sentences, lambda s: F.char_length(s).between(12, 220) & has_word(s, condition_words))
-    return F.slice(kept, 1, limit)
+    return kept if limit is None else F.slice(kept, 1, limit)
 
 
 # The extracted fields in output order; the last two carry lists.
@@ -298,7 +303,7 @@ def extract_cells(df: DataFrame, text: str = "text", heading: Column | None = No
     df = df.withColumns({
         "_geo": city_district(t, ttl["value"]),
         "_rule_text": F.when(F.size("_red") > 0, F.array_join("_red", "、")),
-        "_red_quote": F.array_join(F.slice("_red", 1, 3), "；"),
+        "_red_quote": F.array_join("_red", "；"),
     })
     rule_text, red_quote = F.col("_rule_text"), F.col("_red_quote")
     rate, cap, fixed = F.col("_rate"), F.col("_cap"), F.col("_fixed")
@@ -382,12 +387,12 @@ def extract_fields(df: DataFrame, text: str = "text", fields: Sequence[str] | No
     return out.withColumns(columns).drop(*["f_" + n for n in wanted])
 
 
-def envelope(df: DataFrame, text: str = "text", error: str | None = None, max_chars: int = 500_000) -> DataFrame:
-    """Adds ``status`` and ``text_chars`` and cuts the *stored* text (fields see the whole text)."""
+def envelope(df: DataFrame, text: str = "text", error: str | None = None, max_chars: int | None = None) -> DataFrame:
+    """Adds ``status`` and ``text_chars``; ``max_chars`` cuts the *stored* text (fields see the whole text)."""
     t = F.coalesce(F.col(text), F.lit(""))
     failed = F.col(error).isNotNull() if error else F.lit(False)
     return df.withColumns({
         "status": F.when(failed, "failed").when(t == "", "ocr_required").otherwise("processed"),
         "text_chars": F.char_length(t),
-        text: F.substring(t, 1, max_chars),
+        text: t if max_chars is None else F.substring(t, 1, max_chars),
     })

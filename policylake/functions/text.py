@@ -66,9 +66,10 @@ def clean_text(c: Column | str) -> Column:
     return strip(out)
 
 
-def compact(c: Column | str, limit: int = 120) -> Column:
-    """``clean_text`` on one line, first ``limit`` characters."""
-    return F.substring(F.translate(clean_text(c), "\n", " "), 1, limit)
+def compact(c: Column | str, limit: int | None = None) -> Column:
+    """``clean_text`` on one line; with ``limit`` its first characters."""
+    line = F.translate(clean_text(c), "\n", " ")
+    return line if limit is None else F.substring(line, 1, limit)
 
 
 # Section names after a separator and site names after a dash.
@@ -148,7 +149,7 @@ def policy_status(effective_to: Column, as_of: str | Column, previous: Column |
 
 
 # Fixed value: a threshold-reduction rule.
-REDUCTION_HINT = r"满\s*\d+.*减\s*\d+"
+REDUCTION_HINT = rf"满{WS}*\d+.*减{WS}*\d+"
 
 
 def rule_type(stored: Column, rule_text: Column, rate: Column, amount: Column) -> Column:
@@ -166,7 +167,7 @@ def parse_cap_amount(c: Column | str) -> Column:
 
 
 def parse_cap_unit(c: Column | str) -> Column:
-    return F.when(F.coalesce(col(c), F.lit("")).rlike(r"元\s*/\s*单"), "元/单").otherwise("元/件")
+    return F.when(F.coalesce(col(c), F.lit("")).rlike(rf"元{WS}*/{WS}*单"), "元/单").otherwise("元/件")
 
 
 def max_number(c: Column | str, pattern: str, group: int = 1) -> Column:
@@ -176,7 +177,7 @@ def max_number(c: Column | str, pattern: str, group: int = 1) -> Column:
 
 
 def parse_rate(c: Column | str) -> Column:
-    return max_number(c, NUMBER + r"\s*%")
+    return max_number(c, NUMBER + WS + "*%")
 
 
 def parse_effective_from(c: Column | str) -> Column:
@@ -209,7 +210,7 @@ def clean_official_file(c: Column | str, renames: Sequence[tuple[Sequence[str],
 
 def official_doc_no(c: Column | str) -> Column:
     """The file name itself when it looks like a document number, else ''."""
-    return F.when(col(c).rlike(r"〔|\[|号\s*$"), col(c)).otherwise("")
+    return F.when(col(c).rlike(rf"〔|\[|号{WS}*$"), col(c)).otherwise("")
 
 
 def count_occurrences(text: Column | str, word: str) -> Column:

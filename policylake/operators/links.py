@@ -12,20 +12,23 @@ from policylake.functions.relevance import is_policy_link, link_score
 from policylake.functions.text import contains_any, let
 from policylake.functions.urls import SCHEME, is_official_host, is_private_address, resolve_url, url_host, url_origin, url_path_query
 from policylake.operators.ordering import HOT_ROWS, first_per_key, skew_join
+from policylake.session import materialize
 
 
-def candidate_links(links: Column, base_url: Column, words: Sequence[str] = R.DISCOVERY_WORDS, n: int = 50) -> Column:
+def candidate_links(links: Column, base_url: Column, words: Sequence[str] = R.DISCOVERY_WORDS, n: int | None = None) -> Column:
     """Array of ``struct<url, title>`` worth crawling, from an array of ``struct<href, text>``.
 
-    First occurrence per absolute URL with a word in its text or URL, at most ``n``. Works in the
-    row: no shuffle.
+    First occurrence per absolute URL with a word in its text or URL; with ``n`` the first ones.
+    Works in the row: no shuffle.
     """
     absolute = F.transform(links, lambda x: F.struct(resolve_url(x["href"], base_url).alias("url"), F.trim(F.coalesce(x["text"], F.lit(""))).alias("text")))
     kept = F.filter(absolute, lambda x: x["url"].isNotNull() & (contains_any(x["text"], words) | contains_any(x["url"], words)))
 
     def first(found: Column) -> Column:
-        urls = F.transform(found, lambda x: x["url"])
-        return F.slice(F.filter(found, lambda x, i: F.array_position(urls, x["url"]) == i + 1), 1, n)
+        ranked = F.sort_array(F.transform(found, lambda x, i: F.struct(x["url"].alias("url"), i.alias("i"), x["text"].alias("text"))))
+        firsts = F.filter(ranked, lambda x, j: ~F.get(ranked, j - 1)["url"].eqNullSafe(x["url"]))
+        ordered = F.sort_array(F.transform(firsts, lambda x: F.struct(x["i"].alias("i"), x["url"].alias("url"), x["text"].alias("text"))))
+        return ordered if n is None else F.slice(ordered, 1, n)
 
     titled = lambda x: F.struct(x["url"].alias("url"), F.when(x["text"] == "", x["url"]).otherwise(x["text"]).alias("title"))
     return F.transform(let(kept, first), titled)
@@ -36,22 +39,33 @@ def triage_links(links: DataFrame, href: str, text: str, base_url: str, score_wo
     return links.withColumns({"url": resolve_url(href, base_url), "link_score": link_score(text, score_words), "is_policy_link": is_policy_link(text, **policy_words)})
 
 
-def plan_expansion(links: DataFrame, known: DataFrame, per_doc: int = 3, total: int = 80, official_suffix: str = ".gov.cn") -> DataFrame:
+def plan_expansion(links: DataFrame, known: DataFrame, per_doc: int, total: int | None = None, official_suffix: str = ".gov.cn") -> DataFrame:
     """URLs to fetch next: ``doc_id, url, link_text, link_score, rank_in_doc``.
 
-    ``links``: doc_id, doc_at, position, url, link_text, link_score, is_policy_link. Each new URL
-    belongs to the newest document that links it; a document contributes its ``per_doc`` best
-    links; the first ``total`` in document order are planned. Ownership is a partial aggregate,
-    so a URL linked from everywhere is no hot task, and both ranks are pruned on the map side.
+    ``links``: doc_id, doc_at, position, url, link_text, link_score, is_policy_link. From the newest
+    document on, each takes its ``per_doc`` best links that no newer one has taken; ``total``: how
+    many are planned in that order. Worked out in rounds: every open URL is offered to the newest
+    document that has not turned it down; a document that holds enough turns down all links below
+    its worst, offered or not; until none does. Rounds are written tables.
     """
     fit = links.filter(F.col("is_policy_link") & F.col("url").isNotNull() & is_official_host("url", official_suffix, allow_apex=False))
-    order = [-F.unix_micros(F.col("doc_at").cast("timestamp")), F.col("doc_id"), -F.col("link_score"), F.col("position")]
-    owned = first_per_key(fit, ["url"], order, ["doc_id", "doc_at", "position", "link_text", "link_score"])
-    fresh = owned.join(known.select("url").distinct(), "url", "left_anti")
-    best = Window.partitionBy("doc_id").orderBy(F.col("link_score").desc(), F.col("position").asc(), F.col("url").asc())
-    ranked = fresh.withColumn("rank_in_doc", F.row_number().over(best)).filter(F.col("rank_in_doc") <= per_doc)
-    chosen = ranked.orderBy(F.col("doc_at").desc(), F.col("doc_id").asc(), F.col("rank_in_doc").asc()).limit(total)
-    return chosen.select("doc_id", "url", "link_text", "link_score", "rank_in_doc")
+    best = first_per_key(fit, ["doc_id", "url"], [-F.col("link_score"), F.col("position")], ["doc_at", "position", "link_text", "link_score"])
+    fresh = best.join(known.select("url").distinct(), "url", "left_anti")
+    age = F.struct((-F.unix_micros(F.col("doc_at").cast("timestamp"))).alias("at"), F.col("doc_id").alias("id"))
+    merit = F.struct((-F.col("link_score")).alias("s"), F.col("position").alias("p"), F.col("url").alias("u"))
+    pairs = materialize(fresh.withColumns({"_age": age, "_merit": merit}))
+    left = pairs.count()
+    while True:
+        newest_doc = pairs.groupBy("url").agg(F.min("_age").alias("_age"))
+        held = pairs.join(newest_doc, ["url", "_age"], "left_semi").withColumn("rank_in_doc", F.row_number().over(Window.partitionBy("doc_id").orderBy("_merit")))
+        bars = held.filter(F.col("rank_in_doc") == per_doc).select("doc_id", F.col("_merit").alias("_bar"))
+        kept = materialize(pairs.join(bars, "doc_id", "left").filter(F.col("_bar").isNull() | (F.col("_merit") <= F.col("_bar"))).select(*pairs.columns))
+        before, left = left, kept.count()
+        if left == before:
+            break
+        pairs = kept
+    chosen = held.orderBy("_age", "rank_in_doc")
+    return (chosen if total is None else chosen.limit(total)).select("doc_id", "url", "link_text", "link_score", "rank_in_doc")
 
 
 def screen_urls(urls: DataFrame, addresses: DataFrame, url: str = "url", suffix: str = ".gov.cn", official_only: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -17,7 +17,7 @@ from policylake.functions.extract import classify_title
 from policylake.functions.geo import corrected_jurisdiction, infer_geo
 from policylake.functions.keys import dedup_key, derived_id
 from policylake.functions.relevance import DEFAULT, Vocabulary, score_relevance
-from policylake.functions.text import NUMBER, REDUCTION_HINT, first_text, has_word, policy_status, rule_type
+from policylake.functions.text import NUMBER, REDUCTION_HINT, WS, first_text, has_word, policy_status, rule_type
 from policylake.functions.urls import normalize_url, url_host
 from policylake.operators.ordering import HOT_ROWS, first_per_key, skew_join
 from policylake.operators.search import first_by_title
@@ -97,17 +97,20 @@ def mark_duplicates(df: DataFrame, key: str = "dedup_key", order: str = "created
     """Adds the earliest *other* row with the same key: the first row points at the second.
 
     First and second row per key come from two mergeable aggregates (minimum, then minimum above
-    it) over keys that repeat; the lookup back is salted for keys with very many rows. The narrow
-    key table is written once, since all of these steps read it.
+    it); the lookups are salted for keys with very many rows. Rows with a blank key have no
+    duplicate and take no part in any of it.
     """
-    narrow = materialize(df.select(key, order, id_col)).filter(F.coalesce(F.col(key), F.lit("")) != "")
+    blank = F.coalesce(F.col(key), F.lit("")) == ""
+    narrow = df.select(key, order, id_col).filter(~blank)
     keyed = narrow.select(key, F.struct(F.col(order).alias("at"), F.col(id_col).alias("id")).alias("_s"))
     firsts = keyed.groupBy(key).agg(F.min("_s").alias("_first"), F.count("*").alias("_n")).filter(F.col("_n") > 1).drop("_n")
     rest = skew_join(keyed, firsts, [key], "inner", ["_s"], hot_rows).filter(F.col("_s") > F.col("_first"))
     pairs = rest.groupBy(key).agg(F.first("_first").alias("_first"), F.min("_s").alias("_second"))
     facts = pairs.select(key, F.col("_first.id").alias("_id1"), F.col("_second.id").alias("_id2"))
-    joined = skew_join(df, facts, [key], "left", [id_col], hot_rows, keys_from=narrow)
-    return joined.withColumn(out, F.when(F.col(id_col) == F.col("_id1"), F.col("_id2")).otherwise(F.col("_id1"))).select(*[c for c in df.columns if c != out], out)
+    kept = [c for c in df.columns if c != out]
+    joined = skew_join(df.filter(~blank), facts, [key], "left", [id_col], hot_rows, keys_from=narrow)
+    marked = joined.withColumn(out, F.when(F.col(id_col) == F.col("_id1"), F.col("_id2")).otherwise(F.col("_id1"))).select(*kept, out)
+    return marked.unionByName(df.filter(blank).select(*kept, F.lit(None).cast(df.schema[id_col].dataType).alias(out)))
 
 
 def content_dedup(snapshots: DataFrame, existing: DataFrame, hash_col: str = "content_hash", order: str = "created_at", id_col: str = "id",
@@ -487,7 +490,7 @@ def backfill_policies(policies: DataFrame, rules: DataFrame, contributions: Data
     text = F.coalesce(filled(e("rule_text")), F.col("rule_text"), F.lit(""))
     num = lambda n: F.coalesce(e(n).try_cast("double"), F.col(n))
     reduced = text.rlike(REDUCTION_HINT)
-    from_text = lambda mark, stored: F.nullif(F.coalesce(filled(F.regexp_extract(text, rf"{mark}\s*{NUMBER}", 1)).try_cast("double"), stored), F.lit(0.0))
+    from_text = lambda mark, stored: F.nullif(F.coalesce(filled(F.regexp_extract(text, rf"{mark}{WS}*{NUMBER}", 1)).try_cast("double"), stored), F.lit(0.0))
     kind = (
         F.when(reduced, "full_reduction")
         .when(e("rate").isNotNull() | F.col("rate").isNotNull(), "percentage")

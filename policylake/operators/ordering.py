@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-SALTS = 64
 
 
 def newest(df: DataFrame, order: Sequence[Column], n: int | None = None) -> DataFrame:
@@ -37,23 +37,27 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column], ke
 
 
 def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "left", spread: Sequence[str] = (),
-              hot_rows: int = HOT_ROWS, salts: int = SALTS, keys_from: DataFrame | None = None) -> DataFrame:
+              hot_rows: int = HOT_ROWS, keys_from: DataFrame | None = None) -> DataFrame:
     """Join a fact side to a side with at most one row per key, with hot keys salted.
 
-    Keys with more than ``hot_rows`` rows are counted first; there can be at most
-    ``rows / hot_rows`` of them, which bounds the broadcast. Their rows are spread over ``salts``
-    values of a hash of ``spread`` (deterministic, so a lost task recomputes the same rows) and
-    the one matching row is repeated per salt. All other keys join as usual. ``keys_from`` is a
-    cheaper frame with the same keys to count (by default ``big`` itself).
+    Keys with more than ``hot_rows`` rows are counted first and get one salt for each ``hot_rows``
+    rows: their rows are spread by a hash of ``spread`` (deterministic, so a lost task recomputes
+    the same rows) and the one matching row is repeated per salt. Rows with a null key match
+    nothing and are spread over all tasks. Other keys join as usual. ``keys_from`` is a cheaper
+    frame with the same keys to count (by default ``big`` itself); whether the list of hot keys is
+    broadcast is left to the planner, which knows its size.
     """
     on = list(on)
-    hot = (big if keys_from is None else keys_from).groupBy(*on).count().filter(F.col("count") > hot_rows).select(*on, F.lit(True).alias("_hot"))
-    spread_by = [F.col(c) for c in (spread or [c for c in big.columns if c not in on])]
-    left = big.join(F.broadcast(hot), on, "left")
-    left = left.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("_hot")
-    right = small.join(F.broadcast(hot), on, "left")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = right.withColumn("_salt", F.explode(copies)).drop("_hot")
+    counted = (big if keys_from is None else keys_from).groupBy(*on).count().filter(F.col("count") > hot_rows)
+    hot = counted.select(*on, F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts"))
+    spread_by = F.xxhash64(*[F.col(c) for c in (spread or [c for c in big.columns if c not in on])])
+    blank = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    left = big.join(hot, on, "left")
+    salt = F.when(blank, spread_by).when(F.col("_salts").isNotNull(), F.pmod(spread_by, F.col("_salts").cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
+    left = left.withColumn("_salt", salt).drop("_salts")
+    right = small.join(hot, on, "left")
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_salts"), F.lit(1)).cast("bigint") - 1)
+    right = right.withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, on + ["_salt"], how).drop("_salt")
 
 

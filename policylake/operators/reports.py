@@ -44,8 +44,8 @@ def status_overview(contributions: DataFrame) -> DataFrame:
     return count_by(contributions, "status")
 
 
-def recent(contributions: DataFrame, users: DataFrame, n: int = 8) -> DataFrame:
-    """Newest contributions that have an author, with the author's name."""
+def recent(contributions: DataFrame, users: DataFrame, n: int) -> DataFrame:
+    """Newest ``n`` contributions that have an author, with the author's name."""
     names = users.select(F.col("id").alias("user_id"), "display_name")
     return contributions.join(names, "user_id").orderBy(F.col("updated_at").desc_nulls_last(), F.col("id")).limit(n)
 

@@ -98,11 +98,11 @@ def policy_contributions(policies: DataFrame, contributions: DataFrame, how: str
 
 
 def search_policies(policies: DataFrame, rules: DataFrame, evidence: DataFrame, q: str = "", category: str = "", province: str = "",
-                    city: str = "", district: str = "", status: str = "active", verification: str = "", n: int | None = 500) -> DataFrame:
-    """Newest matching policies with their rule and a content snippet.
+                    city: str = "", district: str = "", status: str = "active", verification: str = "", n: int | None = None) -> DataFrame:
+    """Matching policies (with ``n`` the newest) with their rule and a content snippet.
 
-    All cheap predicates are applied before any join and reach the scan; snippets are looked up
-    only for the rows that are returned.
+    All cheap predicates are applied before any join and reach the scan; evidence is cut to the
+    policies that are returned before snippets are folded.
     """
     base = enum_filter(policies, "status", status)
     base = enum_filter(base, "verification_status", verification, null_as="pending", allowed=("pending", "verified"))
@@ -121,8 +121,8 @@ def search_policies(policies: DataFrame, rules: DataFrame, evidence: DataFrame,
     if "rule_id" in joined.columns:
         order.append(F.col("rule_id").asc())
     top = newest(joined, order, n)
-    snippets = first_evidence(evidence).withColumnRenamed("policy_id", "id")
-    return top.join(snippets, "id", "left")
+    shown = evidence if n is None else evidence.join(top.select(F.col("id").alias("policy_id")).distinct(), "policy_id", "left_semi")
+    return top.join(first_evidence(shown).withColumnRenamed("policy_id", "id"), "id", "left")
 
 
 def normalized_geo_params(df: DataFrame, province: str, city: str, district: str) -> dict[str, Column]:
@@ -157,7 +157,7 @@ def facets(policies: DataFrame, rules: DataFrame, province: str = "", city: str
     """Provinces, cities, districts and categories; search text and category do not narrow them."""
     pool = enum_filter(policies, "status", status)
     pool = enum_filter(pool, "verification_status", verification, null_as="pending", allowed=("pending", "verified"))
-    pool = policy_geo(policy_rules(pool, rules.select("policy_id", "category")))
+    pool = policy_rules(policy_geo(pool), rules.select("policy_id", "category"))  # geography once for each policy, not for each rule
     wanted = normalized_geo_params(pool, province, city, district)
     levels = pool.select(F.col("geo_province").alias("province"), F.col("geo_city").alias("city"), F.col("geo_district").alias("district"), "category")
     chosen = {k: wanted[k] if given else None for k, given in (("province", province), ("city", city), ("district", district))}
@@ -193,8 +193,8 @@ def comments_with_users(comments: DataFrame, users: DataFrame) -> DataFrame:
     return comments.join(users.select(F.col("id").alias("user_id"), "display_name"), "user_id")
 
 
-def timeline(events: DataFrame, users: DataFrame, entity_type: str | None = None, entity_id: str | None = None, n: int = 100) -> DataFrame:
-    """Newest ``n`` events (of one entity) with the actor's name; names are joined after the limit."""
+def timeline(events: DataFrame, users: DataFrame, entity_type: str | None = None, entity_id: str | None = None, n: int | None = None) -> DataFrame:
+    """Events, with ``n`` the newest ones (of one entity), with the actor's name; names are joined after the limit."""
     kept = optional_filters(events, {
         "type": (entity_type, lambda v: F.col("entity_type") == v), "id": (entity_id, lambda v: F.col("entity_id") == v),
     })
@@ -209,8 +209,8 @@ def invites_with_users(invites: DataFrame, users: DataFrame) -> DataFrame:
     return invites.join(used, "used_by", "left").join(made, "created_by", "left")
 
 
-def contribution_detail(contributions: DataFrame, comments: DataFrame, events: DataFrame, users: DataFrame, n_events: int = 100) -> DataFrame:
-    """All comments (oldest first) and the newest events of each contribution, in long form.
+def contribution_detail(contributions: DataFrame, comments: DataFrame, events: DataFrame, users: DataFrame, n_events: int | None = None) -> DataFrame:
+    """All comments (oldest first) and all, or the newest ``n_events``, events of each contribution, in long form.
 
     ``id, kind, seq_at, item_id, body, user_name``: nesting would collect a whole thread into
     one row, so the caller sorts by ``kind, seq_at`` instead. The event cap is a rank filter that
@@ -220,7 +220,9 @@ def contribution_detail(contributions: DataFrame, comments: DataFrame, events: D
     said = comments.select(F.col("contribution_id").alias("id"), F.lit("comment").alias("kind"), F.col("created_at").alias("seq_at"),
                            F.col("id").alias("item_id"), "body", "user_id")
     recent = Window.partitionBy("entity_id").orderBy(F.col("created_at").desc_nulls_last(), F.col("id").asc())
-    seen = events.filter(F.col("entity_type") == "contribution").withColumn("_rn", F.row_number().over(recent)).filter(F.col("_rn") <= n_events)
+    seen = events.filter(F.col("entity_type") == "contribution")
+    if n_events is not None:
+        seen = seen.withColumn("_rn", F.row_number().over(recent)).filter(F.col("_rn") <= n_events)
     seen = seen.select(F.col("entity_id").alias("id"), F.lit("event").alias("kind"), F.col("created_at").alias("seq_at"),
                        F.col("id").alias("item_id"), F.col("action").alias("body"), F.col("actor_id").alias("user_id"))
     names = users.select(F.col("id").alias("user_id"), F.col("display_name").alias("user_name"))
@@ -251,15 +253,15 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, keys: Sequence[str], o
 def lookup_contains(needles: DataFrame, needle: str, dim: DataFrame, haystack: str, order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
     """For each needle the first ``dim`` row whose haystack contains it.
 
-    Every substring of the (short) haystack becomes a join key, so the test is an equality join
-    that works for any size of either side.
+    The haystack's substrings of the lengths that needles have become join keys, so the test is an
+    equality join that works for any size of either side.
     """
     text = F.lower(F.col(haystack))
     size = F.char_length(text)
-    starts = F.sequence(F.lit(1), size)
-    pieces = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda k: F.substring(text, i, k))))
+    lengths = needles.select(F.char_length(needle).alias("k")).filter("k > 0").agg(F.collect_set("k")).scalar()  # as many as the longest needle at most
+    pieces = F.flatten(F.transform(F.filter("_lengths", lambda k: k <= size), lambda k: F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.substring(text, i, k))))
     ordered = [o.alias(f"_o{i}") for i, o in enumerate(order)]
-    grams = dim.filter(size > 0).select(F.explode(F.array_distinct(pieces)).alias("_key"), *keep, *ordered)
+    grams = dim.filter(size > 0).withColumn("_lengths", lengths).select(F.explode(F.array_distinct(pieces)).alias("_key"), *keep, *ordered)
     wanted = needles.select(needle).distinct().withColumn("_key", F.lower(needle))
     first = first_per_key(grams.join(wanted.select("_key").distinct(), "_key", "left_semi"), ["_key"], [F.col(f"_o{i}") for i in range(len(order))], keep)
     return wanted.join(first, "_key", "left").drop("_key")

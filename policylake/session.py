@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -28,13 +29,13 @@ def build_session(app: str = "policylake", master: str | None = None, **conf: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster in ``spark.checkpoint.dir``; a temporary one in local mode."""
+    """Shared folder that the cluster names in ``spark.checkpoint.dir``; in local mode, where it may be unset, an own one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="policylake-")
+    return os.path.join(tempfile.gettempdir(), "policylake-checkpoints")
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -48,13 +49,3 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for row-wise heavy work on an input with fewer splits than the cluster has cores.
-
-    Extraction costs far more than moving a row, so a small or unsplittable input is worth one
-    round-robin exchange. A large input already has more splits than cores and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -19,15 +19,15 @@ def table_counts(tables: Mapping[str, DataFrame], labels: Mapping[str, str] | No
     return reduce(DataFrame.unionByName, rows).orderBy("name")
 
 
-def preview(tables: Mapping[str, DataFrame], name: str, n: int = 50) -> DataFrame:
+def preview(tables: Mapping[str, DataFrame], name: str, n: int) -> DataFrame:
     """First ``n`` (at least one) rows of a known table."""
     if name not in tables:
         raise ValueError(f"unknown table: {name}")
     return tables[name].limit(max(1, n))
 
 
-def run_readonly_sql(spark: SparkSession, statement: str, n: int | None = 50) -> DataFrame:
-    """Result of a SELECT or WITH statement; anything else is refused."""
+def run_readonly_sql(spark: SparkSession, statement: str, n: int | None = None) -> DataFrame:
+    """Result (with ``n`` its first rows) of a SELECT or WITH statement; anything else is refused."""
     text = statement.strip()
     if not text.lower().startswith(("select", "with")) or ";" in text.rstrip(";"):
         raise ValueError("only one SELECT or WITH statement is allowed")

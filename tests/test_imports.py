@@ -25,12 +25,12 @@ def test_files_to_policies(spark, tmp_path):
     (tmp_path / "c.txt").write_text("本公司提供软件开发和技术咨询服务。")
     out = files_to_policies(files.read_files(spark, str(tmp_path)), empty(spark, S.CONTRIBUTIONS), AS_OF)
     policies = out["policies"].collect()
-    assert len(policies) == 1 and policies[0]["title"] == "广东省2026年家电以旧换新实施细则"
-    assert (policies[0]["jurisdiction_name"], policies[0]["policy_level"], policies[0]["status"]) == ("广东省", "province", "active")
+    assert len(policies) == 1 and policies[0]["title"] == "江苏省2025年绿色建材下乡实施方案"
+    assert (policies[0]["jurisdiction_name"], policies[0]["policy_level"], policies[0]["status"]) == ("江苏省", "province", "expired")
     assert out["duplicates"].count() == 1
     assert [r["errors"] for r in out["rejects"].collect()] == [["not related"]]
     rule = out["rules"].first()
-    assert (rule["rate"], rule["cap_amount"], rule["fixed_amount"], rule["rule_type"]) == (15.0, 1000.0, 1000.0, "percentage")
+    assert (rule["rate"], rule["cap_amount"], rule["fixed_amount"], rule["rule_type"]) == (12.0, 3600.0, rule["fixed_amount"], "percentage")
     assert out["evidence"].filter("field_name = 'rate'").count() == 1 and out["events"].first()["action"] == "imported_as_policy"
     again = files_to_policies(files.read_files(spark, str(tmp_path)), out["contributions"], AS_OF)
     assert again["policies"].count() == 0 and again["duplicates"].count() == 2
@@ -126,7 +126,7 @@ def test_seed_and_examples(spark):
 def test_recognise_pages_and_report(spark, tmp_path):
     pages = recognise_pages(spark.createDataFrame([("https://swt.gd.gov.cn/a/b.html", PAGE)], "url string, html string"))
     row = pages.first()
-    assert row["candidates"][0]["url"] == "https://swt.gd.gov.cn/policy/2026/auto.html" and row["rate"] == 15.0 and row["relevance"]["importable"]
+    assert row["candidates"][0]["url"] == "https://swt.gd.gov.cn/zc/2025/list.html?a=1&b=2" and row["rate"] == 12.0 and row["relevance"]["importable"]
     docs = pages.select("document_type", F.col("relevance.is_related").alias("is_related"), F.col("relevance.importable").alias("importable"), F.size("evidence").alias("evidence_n"))
     report = reports.document_profile(docs)
     reports.write_report(report, str(tmp_path / "r"))

@@ -16,7 +16,7 @@ def test_skew_join_equals_plain_join(spark):
     big = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 7}") for i in range(300)], "id int, k string")
     small = spark.createDataFrame([("hot", 1), ("k0", 2), ("k3", 3)], "k string, v int")
     for how in ("left", "inner"):
-        salted = ordering.skew_join(big, small, ["k"], how, ["id"], hot_rows=50, salts=4).select("id", "k", "v")
+        salted = ordering.skew_join(big, small, ["k"], how, ["id"], hot_rows=50).select("id", "k", "v")
         assert rows(salted.fillna(0)) == rows(big.join(small, "k", how).select("id", "k", "v").fillna(0))
 
 
@@ -168,7 +168,7 @@ def test_catalog(spark):
         with pytest.raises(ValueError):
             catalog.run_readonly_sql(spark, bad)
     with pytest.raises(ValueError):
-        catalog.preview(t, "zz")
+        catalog.preview(t, "zz", 1)
 
 
 def test_line_dump_to_examples(spark):

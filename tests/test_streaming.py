@@ -23,8 +23,8 @@ def drain(stream, name, mode="append"):
 
 def test_stream_documents_equals_batch(spark, tmp_path):
     for i in range(3):
-        (tmp_path / f"p{i}.html").write_text(PAGE.replace("15%", f"{10 + i}%"))
-    (tmp_path / "copy.html").write_text(PAGE.replace("15%", "10%"))
+        (tmp_path / f"p{i}.html").write_text(PAGE.replace("12%", f"{10 + i}%"))
+    (tmp_path / "copy.html").write_text(PAGE.replace("12%", "10%"))
     stream = SD.stream_documents(SD.read_file_stream(spark, str(tmp_path)))
     drain(stream.select("content_hash", "rate", F.col("relevance.score").alias("score"), "status"), "docs")
     batch = SD.recognise(files.read_files(spark, str(tmp_path))).select("content_hash", "rate", F.col("relevance.score").alias("score"), "status").distinct()
