@@ -163,7 +163,9 @@ def _judged(docs: DataFrame, text: Column, rules: Mapping[str, Rule], model: Mod
     rows = with_features(docs, text, True)
     failed = (f["n_words"] < MIN_WORDS) | (100 * f["n_repeat_words"] > MAX_REPEATED * f["n_words"])
     rows = rows.withColumns({"_failed": failed, "_good": model.posterior([rule.vote(f) for rule in rules.values()])})
-    return rows.withColumn("_kept", ~F.col("_failed") & (F.col("_good") >= threshold))
+    kept = ~F.col("_failed") & (F.col("_good") >= threshold)
+    # Not deterministic for the optimizer, so that a filter isn't pushed below, where each use of a feature would compute it anew.
+    return rows.withColumn("_kept", F.when(F.spark_partition_id() >= 0, kept))
 
 
 def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", rules: Mapping[str, Rule] = RULES, threshold: float = 0.5, model: Model | None = None) -> DataFrame:
