@@ -93,6 +93,14 @@ ADAPTERS: dict[str, tuple[str, dict[str, str]]] = {
         "id": f"concat('c', {S('l_orderkey')}, '-', {S('l_linenumber')}, '-', {S('l_partkey')})", "contribution_id": S("l_orderkey"), "user_id": S("l_suppkey"),
         "body": "concat(l_returnflag, l_linestatus)", "created_at": "l_shipdate",
     }),
+    "aggregates": ("orders", {
+        "jurisdiction_name": _case("o_custkey", PROVINCES), "program": "'goods'", "metric_type": _case("o_orderkey", ["driven_sales", "allocated_funds", "other"]), "amount_yuan": "o_totalprice",
+        "count_value": "CASE WHEN o_orderkey % 3 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(o_custkey AS DOUBLE) END", "unit": "'元'", "as_of_date": ORDER_DAY,
+        "source_url": f"concat('https://www.example.com/o/', {S('o_orderkey')})", "quote": "o_orderpriority",
+    }),
+    "import_runs": ("events", {
+        "pack_id": "event_type", "pack_version": "'1'", "pack_path": f"concat('packs/', {S('user_id')})", "summary_json": "props", "dry_run": "value > 50", "created_at": "ts",
+    }),
     "audit": ("events", {
         "id": S("event_id"), "entity_type": "CASE event_type WHEN 'view' THEN 'source' ELSE 'contribution' END", "entity_id": S("user_id"), "actor_id": S("event_id % 200"),
         "action": "event_type", "detail": "props", "created_at": "ts",

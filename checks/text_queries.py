@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -18,7 +17,6 @@ from policylake.functions import text as T
 from policylake.functions import urls as U
 from policylake.functions.keys import dedup_key
 from policylake.operators.links import candidate_links, plan_expansion, robots_filter, screen_urls, triage_links
-from policylake.operators.search import insert_if_absent
 from policylake.plans.corpus import level_histogram, scored_documents
 from policylake.sources.files import snapshot_manifest
 from policylake.sources.html import extract_links, inner_text, page_links, page_titles
@@ -484,11 +482,12 @@ _TITLE_PROVINCES = sorted(R.PROVINCE_NAMES, key=len, reverse=True)
 
 @query("jurisdiction", f"""
 WITH {cte('notices')} SELECT order_key, line_no, part_key, supp_key, (SELECT p FROM (VALUES {', '.join(f"({i}, '{p}')" for i, p in enumerate(_TITLE_PROVINCES))}) v(i, p) WHERE contains(title, p) ORDER BY i LIMIT 1) AS jurisdiction_name,
-  list_filter(regexp_extract_all(concat(title, '\n', text), '[\\x{{4E00}}-\\x{{9FFF}}]{{2,6}}市', 0), lambda x: NOT {any_contains('x', R.CITY_EXCLUDED)})[1] AS city FROM notices""")
+  list_filter(regexp_extract_all(concat(title, '\n', text), '[\\x{{4E00}}-\\x{{9FFF}}]{{2,6}}市', 0), lambda x: NOT {any_contains('x', R.CITY_EXCLUDED)})[1] AS city,
+  list_filter(regexp_extract_all(concat(title, '\n', text), '[\\x{{4E00}}-\\x{{9FFF}}]{{2,8}}(?:区|县|旗)', 0), lambda x: NOT {any_contains('x', R.CITY_EXCLUDED)})[1] AS district FROM notices""")
 def jurisdiction(spark, d):
     t = F.col("text")
     n = notices(spark, d, "order_key", "line_no", "part_key", "supp_key", "title", "text").withColumns({"j": X.jurisdiction(t, F.col("title")), "g": X.city_district(t, F.col("title"))})
-    return n.select("order_key", "line_no", "part_key", "supp_key", F.col("j.value").alias("jurisdiction_name"), F.col("g.city").alias("city"))
+    return n.select("order_key", "line_no", "part_key", "supp_key", F.col("j.value").alias("jurisdiction_name"), F.col("g.city").alias("city"), F.col("g.district").alias("district"))
 
 
 GEO_CITIES = ["", "", "广州市", "苏州市", "杭州市", "", "", "成都市"]
