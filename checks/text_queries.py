@@ -36,9 +36,16 @@ def _pruned(extra: str) -> str:
 _UTM = " OR starts_with(lower(split_part(p, '=', 1)), 'utm_')"
 
 
-@query("url_normalize", f"SELECT page_id, {_pruned('')} AS normalized, {_pruned(_UTM)} AS without_utm FROM pages")
+# What a URL parser makes of case, default port, dots, quotes, angles, braces, backslash and blanks.
+_ODD = ("HTTPS://A.gov.cn:443/d/../", "/x\"<y>\\z{`}/./é?q={1}'<&utm_x=1 2&p=\\#f")
+_ODD_NORMAL = ("https://a.gov.cn/", "/x%22%3Cy%3E/z%7B%60%7D/%C3%A9?q={1}%27%3C&utm_x=1%202&p=\\")
+
+
+@query("url_normalize", f"""SELECT page_id, {_pruned('')} AS normalized, {_pruned(_UTM)} AS without_utm,
+  concat({quoted(_ODD_NORMAL[0])}, CAST(page_id AS VARCHAR), {quoted(_ODD_NORMAL[1])}) AS odd FROM pages""")
 def url_normalize(spark, d):
-    return table(spark, d, "pages").select("page_id", U.normalize_url("url").alias("normalized"), U.normalize_url("url", True).alias("without_utm"))
+    odd = F.concat(F.lit(_ODD[0]), F.col("page_id").cast("string"), F.lit(_ODD[1]))
+    return table(spark, d, "pages").select("page_id", U.normalize_url("url").alias("normalized"), U.normalize_url("url", True).alias("without_utm"), U.normalize_url(odd).alias("odd"))
 
 
 _HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"

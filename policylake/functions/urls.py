@@ -43,12 +43,16 @@ def _authority(c: Column) -> Column:
     )
 
 
-def _percent_encode(c: Column) -> Column:
-    """Encode spaces and non-ASCII characters; everything else is kept."""
+# Characters that a URL parser escapes in a path and in a query.
+PATH_ESCAPED = r"""[^\x21-\x7E]|["<>`{}]"""
+QUERY_ESCAPED = r"""[^\x21-\x7E]|["<>']"""
+
+
+def _percent_encode(c: Column, escaped: str) -> Column:
+    """Escape the characters of a class; everything else is kept."""
     def one(ch: Column) -> Column:
-        return F.when(ch == " ", "%20").when(ch.rlike(r"[^\x00-\x7F]"), F.url_encode(ch)).otherwise(ch)
-    encoded = F.array_join(F.transform(F.split(c, ""), one), "")
-    return F.when(c.rlike(r"[^\x21-\x7E]"), encoded).otherwise(c)
+        return F.when(ch == " ", "%20").when(ch.rlike(escaped), F.url_encode(ch)).otherwise(ch)
+    return F.when(c.rlike(escaped), F.array_join(F.transform(F.split(c, ""), one), "")).otherwise(c)
 
 
 def _dot_segments(path: Column) -> Column:
@@ -68,16 +72,22 @@ def _dot_segments(path: Column) -> Column:
 
 
 def canonical_url(c: Column | str) -> Column:
-    """Serialised form of an absolute web URL (what a URL parser prints), null if not one."""
+    """Serialised form of an absolute web URL (what a URL parser prints), null if not one.
+
+    Tabs and line ends go, backslashes before the query are slashes. Every part is bound once.
+    """
+    def slashes(text: Column) -> Column:
+        before = F.regexp_extract(text, r"^[^?#]*", 0)
+        turned = let(before, lambda b: F.concat(F.replace(b, F.lit("\\"), F.lit("/")), F.substr(text, F.char_length(b) + 1)))
+        return F.when(text.contains("\\"), turned).otherwise(text)
+
     def build(text: Column) -> Column:
-        authority = F.regexp_extract(text, AUTHORITY, 1)
-        rest = F.substr(text, F.char_length(authority) + 1)
-        path = F.regexp_extract(rest, r"^[^?#]*", 0)
-        tail = F.substr(rest, F.char_length(path) + 1)
-        path = F.when(path == "", "/").otherwise(_dot_segments(path))
-        return F.concat(_authority(authority), _percent_encode(path), _percent_encode(tail))
-
-    return let(strip(col(c)), lambda t: F.when(t.rlike(WEB), build(t)))
+        return let(F.regexp_extract(text, AUTHORITY, 1), lambda a: let(F.substr(text, F.char_length(a) + 1), lambda rest: let(F.regexp_extract(rest, r"^[^?#]*", 0), lambda path: F.concat(
+            _authority(a), _percent_encode(F.when(path == "", "/").when(path.contains("/."), _dot_segments(path)).otherwise(path), PATH_ESCAPED),
+            _percent_encode(F.substr(rest, F.char_length(path) + 1), QUERY_ESCAPED)))))
+
+    clean = F.translate(strip(col(c)), "\t\n\r", "")
+    return let(let(clean, slashes), lambda t: F.when(t.rlike(WEB), build(t)))
 
 
 def normalize_url(c: Column | str, strip_utm_prefix: bool = False, keys: Sequence[str] = R.TRACKING_KEYS) -> Column:
