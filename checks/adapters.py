@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.registry import table
+from checks.registry import spread, table
 
 DAY = "CAST(CAST({} AS DATE) AS STRING)"
 
@@ -154,7 +154,7 @@ def adapt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def notices(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Policy sentences rendered from line items and their orders (an equality join on the order)."""
-    joined = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = spread(table(spark, sf_dir, "lineitem")).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.selectExpr(*[f"{NOTICE[c]} AS {c}" for c in columns or NOTICE])
 
 
