@@ -71,9 +71,9 @@ class _Part:
         _, keys, first, sizes = self.grams(n)
         keys = keys[first]
         cuts = np.searchsorted(key_group(keys, groups), np.arange(groups + 1))
-        rows = [(g, n, pack_sorted(keys[a:b]), varints(sizes[a:b])[0].tobytes()) for g, a, b in zip(range(groups), cuts[:-1], cuts[1:]) if b > a]
+        rows = [(g, n, pack_sorted(keys[a:b]), zlib.compress(varints(sizes[a:b])[0].tobytes(), 1)) for g, a, b in zip(range(groups), cuts[:-1], cuts[1:]) if b > a]
         if n == 1:
-            rows.append((0, ALL_WORDS, pack_sorted(np.zeros(1, np.uint64)), varints(np.array([len(self.words)]))[0].tobytes()))
+            rows.append((0, ALL_WORDS, pack_sorted(np.zeros(1, np.uint64)), zlib.compress(varints(np.array([len(self.words)]))[0].tobytes(), 1)))
         return _message(self.table["part"][0].as_py(), rows)
 
     def scores(self, order: int, backoff: float) -> np.ndarray:
@@ -98,7 +98,7 @@ def _message(part: int, rows: list) -> pa.Table:
 def count_table(table: pa.Table) -> pa.Table:
     """Totals of a group's n-grams over all parts, for each part in the order of its keys."""
     keys = [unpack_sorted(x) for x in table["keys"].to_pylist()]
-    every, counts = np.concatenate(keys), np.concatenate([numbers(x) for x in table["counts"].to_pylist()])
+    every, counts = np.concatenate(keys), np.concatenate([numbers(zlib.decompress(x)) for x in table["counts"].to_pylist()])
     order = np.argsort(every, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], np.diff(every[order]) != 0]))
     totals = np.empty(len(every), np.int64)
@@ -107,11 +107,11 @@ def count_table(table: pa.Table) -> pa.Table:
     return pa.table({c: table[c] for c in ("part", "grp", "n")} | {"totals": pa.array([zlib.compress(varints(totals[a:b])[0].tobytes(), 1) for a, b in zip(ends, ends[1:])], pa.binary())})
 
 
-def backoff_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, part_bytes: int = 8 << 20) -> DataFrame:
+def backoff_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF, part_bytes: int = 12 << 20) -> DataFrame:
     """``id, n_words, log_score, mean_score`` of every row, under the counts of all rows."""
     kind = docs.schema[id].dataType.simpleString()
     parts = part_count(docs, text, part_bytes)
-    groups = parts
+    groups = max(1, parts * 3 // 2)  # keeps a group's keys well below a part's memory
     dealt = in_parts(docs, id, text, parts)
 
     def first(table: pa.Table) -> pa.Table:
