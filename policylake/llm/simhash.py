@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     classes = materialize(prints.groupBy("fp").agg(F.min("_id").alias("_least")))
     roots = components(links(classes, distance, blocks))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
+    named = materialize(rooted.groupBy("root").agg(F.min("_least").alias("component_id")))  # apart, so that a hot root can be split in the join
     classes = rooted.join(named, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(classes, "fp").select(F.col("_id").alias(id), hexed.alias("fingerprint"), "component_id")
