@@ -54,18 +54,24 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """``id, fp`` (the fingerprint as a signed long) for every row."""
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, digest: bool = False) -> DataFrame:
+    """``id, fp`` (the fingerprint as a signed long) for every row; ``digest`` adds the text's MD5."""
     kind = docs.schema[id].dataType.simpleString()
+    more = [_digest(F.col(text)).alias("_md5")] * digest
 
     def task(batches):
         for batch in batches:
             data, offsets = flat(batch.column(1))
             raw = LOWER[data].tobytes()
             prints = [fingerprint(raw[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["_id", "fp"])
+            columns = [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "fp", "_md5"][: len(columns)])
 
-    return docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).mapInArrow(task, f"_id {kind}, fp bigint")
+    return docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), *more).mapInArrow(task, f"_id {kind}, fp bigint" + ", _md5 string" * digest)
+
+
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
 def _block_keys(fp: Column, distance: int, blocks: int) -> Column:
@@ -124,27 +130,34 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select("b", "b").distinct())
 
 
+def _rooted(prints: DataFrame, least: Column, distance: int, blocks: int) -> DataFrame:
+    """``fp, _least, root`` of every distinct fingerprint: the smallest ``least`` of its rows and its component."""
+    classes = materialize(prints.groupBy("fp").agg(F.min(least).alias("_least")))
+    roots = components(links(classes, distance, blocks))
+    return classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4, blocks: int = 7) -> DataFrame:
     """``id, fingerprint`` (hex), ``component_id``: the smallest id of the texts reachable over links."""
     prints = materialize(fingerprints(docs, id, text, shingle))
-    classes = materialize(prints.groupBy("fp").agg(F.min("_id").alias("_least")))
-    roots = components(links(classes, distance, blocks))
-    rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, F.col("_id"), distance, blocks)
     named = materialize(rooted.groupBy("root").agg(F.min("_least").alias("component_id")))  # apart, so that a hot root can be split in the join
     classes = rooted.join(named, "root").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(classes, "fp").select(F.col("_id").alias(id), hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` with one document of each group: the one whose id names the component.
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4, blocks: int = 7) -> DataFrame:
+    """The rows of ``docs`` with one document of each group: the one with the smallest id, nulls last, and of those the one with the smallest MD5 of its text.
 
-    Rows with equal id are copies of one document: the one with the smallest text stays. Rows with a
-    null id have no name, so one stays for each group that holds no other.
+    So equal ids with texts of different groups stay once for each group, and a group of null ids
+    only keeps one of them. Of rows with that id and text, any one stays.
     """
-    found = near_duplicates(docs, id, text, **how)
-    key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    chosen = found.filter(F.col(id).eqNullSafe(F.col("component_id"))).select(key(F.col(id)).alias("_key")).distinct()
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), key(F.col(id)).alias("_key"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_md5"))
+    prints = materialize(fingerprints(docs, id, text, shingle, digest=True))
+    rooted = _rooted(prints, F.struct(F.col("_id").isNull().alias("_unnamed"), "_id", "_md5"), distance, blocks)
+    chosen = materialize(rooted.groupBy("root").agg(F.min("_least").alias("_least")).select("_least._id", "_least._md5"))  # a text has one group, so no pair comes twice
+    key = lambda i, digest: F.concat_ws("|", F.col(i).cast("string"), digest)  # noqa: E731  a null id leaves the digest alone
+    chosen = chosen.select(key("_id", F.col("_md5")).alias("_key"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), key(id, _digest(F.col(text))).alias("_key"))
     kept = rows.join(chosen, "_key", "left_semi")
-    return kept.groupBy("_key").agg(F.min_by("_row", "_md5").alias("_row")).select("_row.*")  # in the join's partitions
+    return kept.groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*")  # in the join's partitions
