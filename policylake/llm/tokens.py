@@ -123,6 +123,8 @@ class Encoder:
             self.pieces = {}
         data, offsets = flat(column)
         lower = LOWER[data]
+        bare = np.flatnonzero(data[1:] > 127)  # what follows may be a mark that composes with the small letter only
+        lower[bare] = data[bare]
         cut = np.zeros(len(data) + 1, bool)  # a space comes before this byte
         if len(data):
             cut[1:-1] = _LETTER[lower[:-1]] & _POINT[lower[1:]] | _POINT[lower[:-1]] & _LETTER[lower[1:]]

@@ -4,7 +4,10 @@ import collections
 import hashlib
 import random
 
-from policylake.llm import simhash
+import numpy as np
+import pyarrow as pa
+
+from policylake.llm import queries, simhash, tokens
 from test_operators import brute_components, brute_fingerprint
 
 
@@ -22,3 +25,12 @@ def test_one_of_each_group_stays_whatever_its_id(spark):
     assert len(groups) == 13
     got = collections.Counter((r["doc_id"] is None, r["doc_id"] or 0, hashlib.md5((r["text"] or "").encode()).hexdigest()) for r in simhash.keep_one(docs).collect())
     assert got == want and got[(False, 1, hashlib.md5(texts[4].encode()).hexdigest())] == 1
+
+
+def test_marks_that_compose_with_small_letters_only():
+    from tokenizers import Tokenizer
+
+    known, mine, rng = Tokenizer.from_file(queries.tokenizer()), tokens.Encoder(queries.tokenizer()), random.Random(7)
+    texts = ["H\u0331ebron", "T\u0308a", "xW\u030a", "Y\u030a.", "J\u030c"] + ["".join(rng.choices("AHJTWYhjtwy1 .,=\u0331\u0308\u030a\u030c\u0338\u00e9", k=rng.randrange(1, 12))) for _ in range(2000)]
+    got = [np.frombuffer(ids, mine.id_type).tolist() for ids in mine.encode_column(pa.array(texts))]
+    assert got == [known.encode(t, add_special_tokens=False).ids for t in texts]
