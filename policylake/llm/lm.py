@@ -3,7 +3,9 @@
 Documents are dealt into parts. A part sends each key group its distinct n-grams with their counts;
 the group adds them up over all parts (the count table of these keys) and answers every part with
 the totals of its n-grams (the join), in their order. Orders follow each other: an n-gram of two or
-more words goes out only if both shorter ones inside are frequent, as it can't be frequent otherwise.
+more words goes out only if both shorter ones inside are frequent, as it can't be frequent otherwise;
+with a ``min_count`` of 1, as the query has it, every n-gram goes out and counts. Documents then find
+all their own n-grams in the tables, so none of their words backs off.
 
 A word's score is the relative frequency of the longest n-gram that ends in it, has at most
 ``order`` words and occurs ``min_count`` times in the corpus, times ``backoff`` for each word that

@@ -129,7 +129,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_lm_scores")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.backoff_scores(table(spark, sf_dir, "documents"))
+    return lm.backoff_scores(table(spark, sf_dir, "documents"), min_count=1)  # every n-gram counts
 
 
 @query("op10_substring_dedup")

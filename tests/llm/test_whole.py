@@ -7,8 +7,9 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from conftest import SF
 from policylake.llm import queries, simhash, tokens
-from test_operators import brute_components, brute_fingerprint
+from test_operators import brute_components, brute_fingerprint, brute_scores
 
 
 def test_one_of_each_group_stays_whatever_its_id(spark):
@@ -34,3 +35,11 @@ def test_marks_that_compose_with_small_letters_only():
     texts = ["H\u0331ebron", "T\u0308a", "xW\u030a", "Y\u030a.", "J\u030c"] + ["".join(rng.choices("AHJTWYhjtwy1 .,=\u0331\u0308\u030a\u030c\u0338\u00e9", k=rng.randrange(1, 12))) for _ in range(2000)]
     got = [np.frombuffer(ids, mine.id_type).tolist() for ids in mine.encode_column(pa.array(texts))]
     assert got == [known.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_scores_use_ngrams_that_occur_once(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = {r["doc_id"]: w for r, w in zip(rows, brute_scores([r["text"] for r in rows], least=1))}
+    got = queries.QUERIES["op9_lm_scores"](spark, SF).collect()
+    assert len(got) == len(rows) == len(want)
+    assert all(r["n_words"] == want[r["doc_id"]][0] and abs(r["log_score"] - want[r["doc_id"]][1]) < 1e-3 for r in got)
