@@ -169,13 +169,17 @@ def matches(index: DataFrame, sought: DataFrame, slack: int = 0) -> DataFrame:
             lead = np.clip(starts + order[0]["off"], 0, len(hit) - 2)
             doc = np.searchsorted(first, lead, side="right") - 1
             good = np.ones(len(starts), bool)
-            for t in order[2:]:
+            for t in order[1 if slack else 2:]:  # with slack, the second may have met in another document
                 if not good.any():
                     break
                 found = postings.get(t["term"])
                 if isinstance(found, bytes):  # opened where it is asked for
                     found = postings[t["term"]] = places(found)
-                good &= _meet(starts, np.empty(0, np.int64) if found is None else found - t["off"], slack)
+                if found is None or not len(found):
+                    good[:] = False
+                    break
+                at = np.searchsorted(found, np.maximum(starts + t["off"] - slack, first[doc]))  # in the lead's document only
+                good &= (at < len(found)) & (found[np.minimum(at, len(found) - 1)] <= np.minimum(starts + t["off"] + slack, first[doc + 1] - 2))
             low = np.maximum(starts - slack, first[doc])
             high = np.minimum(starts + size + slack, first[doc + 1] - 1)
             if not slack:

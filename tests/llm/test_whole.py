@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 from conftest import SF
-from policylake.llm import queries, simhash, tokens
+from policylake.llm import decontaminate, queries, simhash, tokens
 from test_operators import brute_components, brute_fingerprint, brute_scores
 
 
@@ -43,3 +43,11 @@ def test_scores_use_ngrams_that_occur_once(spark):
     got = queries.QUERIES["op9_lm_scores"](spark, SF).collect()
     assert len(got) == len(rows) == len(want)
     assert all(r["n_words"] == want[r["doc_id"]][0] and abs(r["log_score"] - want[r["doc_id"]][1]) < 1e-3 for r in got)
+
+
+def test_proximity_ends_with_the_document(spark):
+    docs = spark.createDataFrame([(1, "red blue green"), (2, "red x blue green"), (3, "red x x x blue green"), (4, "blue green"), (5, "red")], "doc_id int, text string")
+    sought = decontaminate.windows(spark.createDataFrame([(1, "red blue green")], "item_id int, text string"))
+    index = decontaminate.build_index(docs.coalesce(1))
+    for slack in (4, 9):
+        assert {r["ord"] + 1 for r in decontaminate.matches(index, sought, slack).collect()} == {1, 2, 3}
