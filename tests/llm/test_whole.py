@@ -9,7 +9,7 @@ import pyarrow as pa
 
 from conftest import SF
 from policylake.llm import decontaminate, queries, simhash, tokens
-from test_operators import brute_components, brute_fingerprint, brute_scores
+from test_llm_operators import brute_components, brute_fingerprint, brute_scores
 
 
 def test_one_of_each_group_stays_whatever_its_id(spark):
