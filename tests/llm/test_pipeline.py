@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from conftest import SF
 from policylake.llm import quality, queries
-from test_operators import ALNUM, UPPER, brute_components, brute_em, brute_fingerprint, brute_quality, hits, split
+from test_llm_operators import ALNUM, UPPER, brute_components, brute_em, brute_fingerprint, brute_quality, hits, split
 
 
 def plain_votes(text):
