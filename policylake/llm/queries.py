@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from policylake.llm import decontaminate, infill, jaccard, lm, mixing, quality, repeats, shards, simhash, tokens, toxicity, urls
+from policylake.llm import collocations, decontaminate, infill, jaccard, lm, mixing, quality, repeats, shards, simhash, tokens, toxicity, urls
 from policylake.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,6 +143,30 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
+PHRASE_SQL = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+    FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+counts AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM places, (VALUES (1), (2), (3), (4)) sizes(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+found AS MATERIALIZED (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 30),
+sides AS MATERIALIZED (SELECT lang, phrase, f AS a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS cut FROM found)),
+cuts AS (SELECT s.lang, s.phrase, s.a, s.cut, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * s.a // (l.f + r.f) AS BIGINT) AS score
+    FROM sides s JOIN counts l ON l.lang = s.lang AND l.phrase = s.head JOIN counts r ON r.lang = s.lang AND r.phrase = s.rest),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+starts AS MATERIALIZED (SELECT *, unnest(range(1, k)) AS i FROM found WHERE k > 2),
+spans AS (SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(f) AS over FROM (SELECT *, unnest(range(2, k)) AS n FROM starts) WHERE i + n - 1 <= k GROUP BY ALL),
+kept AS (SELECT x.* FROM weakest x LEFT JOIN spans s ON s.lang = x.lang AND s.phrase = x.phrase WHERE s.over IS NULL OR 100 * s.over < 80 * x.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_collocations", PHRASE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 FIM_SQL = r"""
 WITH hashed AS (SELECT doc_id, coalesce(text, '') AS t, sha256(concat('42:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS h FROM documents),
 drawn AS (SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens, CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) AS h1,

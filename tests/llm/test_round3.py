@@ -146,3 +146,87 @@ def test_prefix_tree_gives_all_components():
             x, y = set(sets[int(a)]), set(sets[int(b)])
             assert 100 * len(x & y) >= percent * len(x | y)
         assert len(links) == len(sets) - true
+
+
+# phrase collocations
+
+PIECE = re.compile(r"[.,;:!?\x0A-\x0D]")
+PLAIN_WORD = re.compile(r"[^\x20\x09]+")
+
+
+def brute_phrases(rows, min_count, top=2000):
+    """rows: (lang, text)."""
+    counts, totals = collections.Counter(), collections.Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in PIECE.split((text or "").translate(UPPER)):
+            words = PLAIN_WORD.findall(piece)
+            totals[lang] += len(words)
+            counts.update((lang, *words[i: i + k]) for k in range(1, 5) for i in range(len(words) - k + 1))
+    found, over = {}, collections.Counter()
+    for key, a in counts.items():
+        if len(key) > 2 and a >= min_count:
+            lang, *w = key
+            cuts = [(2000000 * a // (counts[(lang, *w[:k])] + counts[(lang, *w[k:])]), k) for k in range(1, len(w))]
+            score, k = min(cuts)
+            found[key] = (score, a, counts[(lang, *w[:k])], counts[(lang, *w[k:])])
+            for n in range(2, len(w)):
+                for i in range(len(w) - n + 1):
+                    inner = (lang, *w[i: i + n])
+                    over[inner] = max(over[inner], a)
+    kept = [(key[0], " ".join(key[1:]), *v) for key, v in found.items() if 100 * over[key] < 80 * v[1]]
+    out = set()
+    for lang in totals:
+        best = sorted((x for x in kept if x[0] == lang), key=lambda x: (-x[2], -x[3], x[1].encode()))[:top]
+        out |= {(lang, i + 1, p, a, left, right, totals[lang], score) for i, (_, p, score, a, left, right) in enumerate(best)}
+    return out
+
+
+PHRASE_COLUMNS = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+@pytest.mark.parametrize("part_bytes, hot_words, top", [(4 << 20, 1 << 21, 2000), (900, 1 << 21, 7), (900, 40, 2000), (300, 200, 2000)])
+def test_collocations(spark, part_bytes, hot_words, top):
+    from policylake.llm import collocations
+
+    rng = random.Random(hot_words)
+    common = ["the", "of", "Of", "é", "new", "york", "city", "x\u0085y", "\x1c", "#1"]
+    texts = []
+    for _ in range(150):
+        words = rng.choices(common, [9, 8, 2, 3, 3, 3, 2, 1, 1, 1], k=rng.randrange(0, 60))
+        words = [w if rng.random() < 0.9 else f"rare{rng.randrange(500)}" for w in words]
+        texts.append("".join(w + rng.choice([" ", " ", " ", " ", "\t ", ", ", ".", "\n", "?!\x0b"]) for w in words))
+    texts += ["New York City hall of fame"] * 45 + ["so so so so so so so so"] * 9 + [None, "", " \t", ".,;", "of the"]
+    rows = [(rng.choice(["en", "en", "fr", None, "und", ""]), t) for t in texts]  # noqa: F811
+    rows += rows[:30]
+    table = spark.createDataFrame([(i, t, lang, 3, "p") for i, (lang, t) in enumerate(rows)], "doc_id bigint, text string, lang string, part int, word string").repartition(5)
+    out = collocations.collocations(table, min_count=12, top=top, part_bytes=part_bytes, hot_words=hot_words)
+    assert out.columns == list(PHRASE_COLUMNS) and dict(out.dtypes)["score"] == "bigint"
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_phrases(rows, 12, top) and len(got) > 20
+
+
+def test_collocations_defined_cases(spark, docs, rows, empty):  # noqa: F811
+    from policylake.llm import collocations
+
+    lang = lambda df: df.withColumn("lang", F.lit(None).cast("string"))
+    assert {tuple(r) for r in collocations.collocations(lang(docs)).collect()} == brute_phrases([(None, r[1]) for r in rows], 30)
+    assert collocations.collocations(lang(empty)).count() == 0
+
+
+def test_filters_give_back_what_they_counted():
+    from policylake.llm.collocations import Packing, _sorted_sums
+
+    rng = np.random.default_rng(1)
+    for bits, group_bits in ((1, 0), (8, 0), (17, 5), (30, 3), (32, 0), (32, 12)):
+        packing = Packing(bits, group_bits)
+        w = rng.integers(0, 1 << bits, (4, 3000)).astype(np.uint64)
+        for rule in (2, 3, 4):
+            (head, tail), counts = _sorted_sums(list(packing.permute(w, rule)), rng.integers(1, 1 << 40, 3000))
+            back = packing.invert(head, tail, rule)
+            assert set(map(tuple, back.T.tolist())) == set(map(tuple, w.T.tolist()))
+            of = packing.groups(head)
+            for g in np.unique(of):
+                mine = of == g
+                again = packing.unpack(int(g), packing.pack(head[mine], tail[mine], counts[mine]))
+                assert all((x == y[mine]).all() for x, y in zip(again, (head, tail, counts)))
