@@ -39,7 +39,7 @@ from policylake.llm.words import LOWER, Words, by_bytes, flat, mix, split_words,
 from policylake.session import materialize
 
 MIN_COUNT, LONGEST, TOP, COVER_PERCENT = 30, 4, 2000, 80
-HOT_WORDS = 1 << 21  # occurrences of a word; a group holds some 5 million n-grams
+HOT_WORDS = 1 << 19  # occurrences of a word; a group holds 1 to 2 million n-grams
 SALTS = 64
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _SEPARATORS = LOWER.copy()  # words end at these too
@@ -295,7 +295,7 @@ def _merged(table: pa.Table, packing: Packing, min_count: int) -> pa.Table:
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", min_count: int = MIN_COUNT, part_bytes: int = PART_BYTES, hot_words: int = HOT_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three written tables: ``lang, word, id, f`` of frequent words, ``w1, w2, w3, w4, f`` of frequent phrases (ids, 0 behind the last word) and ``lang, n`` of all occurrences."""
     parts = part_count(docs, text, part_bytes)
-    group_bits = max(0, (parts // 8).bit_length() - 1)
+    group_bits = max(0, (parts // 3).bit_length() - 1)
     groups = 1 << group_bits
     dealt = _dealt(docs, text, lang, parts)
     counted = dealt.groupBy("part").applyInArrow(lambda t: _word_counts(t, groups), MESSAGE)
