@@ -19,7 +19,7 @@ from policylake.functions.keys import dedup_key
 from policylake.operators.links import candidate_links, plan_expansion, robots_filter, screen_urls, triage_links
 from policylake.plans.corpus import level_histogram, scored_documents
 from policylake.sources.files import snapshot_manifest
-from policylake.sources.html import extract_links, inner_text, page_links, page_titles
+from policylake.sources.html import extract_links, inner_text, page_links, page_struct, page_titles
 
 # --- URLs ------------------------------------------------------------------------------------
 
@@ -103,6 +103,26 @@ def links_of_pages(spark, d):
     return extract_links(_forms(spark, d), keep=("page_id",))
 
 
+# Markup as it is in the wild, before every page: comments, raw elements, ">" in values, missing semicolons and end tags.
+# What a page parser makes of it is written by hand.
+_ODD_PAGE = (
+    "<!-- <title>old</title><a href='/c'>c</a> --><title>T", " &amp more</title><script>var s = \"<a href='/s'>s</a>\";</script><img alt=\"a>b\" src=x><p title='1>0' "
+    + " ".join(f"a{i}='{i}>'" for i in range(1200)) + ">odd &lt 5</p><a href=\"/q?id=", "&copy=1&amp;x\" title=\"x>y\">one <a data-x=\"href=\" href='/r'>two &#38 three</a><a href>none</a><a HREF = /u",
+    "/>four<table><tr><td>five")
+_ODD_TEXT = ("T", " & morevar s = \"<a href='/s'>s</a>\";odd < 5one two & threenonefourfive")
+
+
+@query("page_odd_markup", f"""
+SELECT page_id, concat('T', page_id, ' & more') AS title, concat('/q?id=', page_id, '&copy=1&x one|/r two & three|/u', page_id, '/ four') AS links,
+  concat('T', page_id, {quoted(_ODD_TEXT[1])}) AS head FROM pages""")
+def page_odd_markup(spark, d):
+    parts = [x for i, text in enumerate(_ODD_PAGE) for x in (F.lit(text), *([F.col("page_id").cast("string")] if i < len(_ODD_PAGE) - 1 else []))]
+    page = table(spark, d, "pages").select("page_id", page_struct(F.concat(*parts, "html")).alias("p"))
+    first = F.array_join(F.transform(F.slice("p.links", 1, 3), lambda x: F.concat_ws(" ", x["href"], x["text"])), "|")
+    head = F.substring("p.text", 1, F.length("page_id") + sum(map(len, _ODD_TEXT)))
+    return page.select("page_id", F.col("p.title").alias("title"), first.alias("links"), head.alias("head"))
+
+
 SCORE_WORDS = ("th", "tion", "an", "eau", "the", "ou")
 STRONG, TOPICS, MECHANISMS = ("tion",), ("th", "eau", "sch"), ("an", "er", "ou")
 

@@ -145,3 +145,29 @@ def test_view_names(spark):
     df = spark.createDataFrame([("1", 1, '{"a":2}', None)], "id string, is_on int, extracted_json string, bad_json string")
     view = T.to_view(df, {"extracted_json": "extracted struct<a:int>", "bad_json": "bad struct<a:int>"}, ("is_on",))
     assert view.columns == ["id", "isOn", "extracted", "bad"] and one(view, "isOn", "extracted.a", "bad") == (True, 2, None)
+
+
+@pytest.mark.parametrize("page, text, links", [
+    ('<a href="1">one <a href="2">two</a>', "one two", [("1", "one"), ("2", "two")]),
+    ('<a href="1" title="a>b">one</a>', "one", [("1", "one")]),
+    ('<img alt="a>b">x', "x", []),
+    ("a &amp b &ampx &copy; &#38 &#x26;&#0; &nosuch; &lt", "a & b &x © & &� &nosuch; <", []),
+    ('<a href="?a=1&copy=2&amp;b=3&lt">q</a>', "q", [("?a=1&copy=2&b=3<", "q")]),
+    ("<a href=1>x<td>y</a>", "xy", [("1", "x")]),
+    ("<a href>n</a><a HREF = 'v' href=w>m</a>x < y", "nmx < y", [("v", "m")]),
+    ("\x01 keep <!-- open <a href=1>x</a>", "\x01 keep", []),
+    ("<script>if (a<b) '<a href=1>'</script ><style>p>a{}</style>z", "if (a<b) '<a href=1>'p>a{}z", []),
+    ('<a x="' + "y" * 9 + ' href=1>never closed', "", []),
+    ("<a " + " ".join(f'a{i}="{i}>"' for i in range(50_000)) + " href=x>big</a>", "big", [("x", "big")]),
+    ("<a " * 50_000, "", []),
+    ("<b>" * 50_000 + "<a href=u>" * 50_000 + "end", "end", [("u", ""), ("u", "end")]),
+])
+def test_odd_markup(spark, page, text, links):
+    got = spark.createDataFrame([(page,)], "html string").select(page_struct("html").alias("p")).select("p.*").first()
+    assert (got["text"], [tuple(x) for x in got["links"]]) == (text, links)
+
+
+def test_first_of_each_meta_and_title(spark):
+    page = "<!-- <title>old</title> --><title>new</title><meta property=og:title><meta content='og' property='og:title'><meta content='' name=PubDate><meta name=publishdate content=d2><h1>He<b>l</b>lo"
+    got = spark.createDataFrame([(page,)], "html string").select(page_struct("html").alias("p")).select("p.*").first()
+    assert (got["title"], got["heading"], got["og_title"], got["published_at_meta"]) == ("new", "Hello", "og", "")
