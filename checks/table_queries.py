@@ -744,7 +744,7 @@ def record_runs(spark, d):
 WITH o AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)
 SELECT event_id, user_id, rn * 21600000000 + max(t - rn * 21600000000) OVER (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING) AS start_us FROM o""")
 def polite_schedule(spark, d):
-    return schedule.polite_schedule(table(spark, d, "events"), "user_id", "ts", "event_id", 6 * 3600, 86_400).select("event_id", "user_id", "start_us")
+    return schedule.polite_schedule(table(spark, d, "events"), "user_id", "ts", "event_id", 6 * 3600).select("event_id", "user_id", "start_us")
 
 
 @query("throttle", """
@@ -753,7 +753,7 @@ w AS (SELECT event_id, user_id, t, rn, t AS ws, 1 AS n FROM o WHERE rn = 1
  UNION ALL SELECT o.event_id, o.user_id, o.t, o.rn, CASE WHEN w.ws + 86400000000 <= o.t THEN o.t ELSE w.ws END, CASE WHEN w.ws + 86400000000 <= o.t THEN 1 ELSE w.n + 1 END FROM w JOIN o ON o.user_id = w.user_id AND o.rn = w.rn + 1)
 SELECT event_id, user_id, ws AS window_start_us, CAST(n AS INTEGER) AS request_no, n <= 3 AS allowed, CASE WHEN n > 3 THEN CAST(ceil((ws + 86400000000 - t) / 1000000.0) AS BIGINT) END AS retry_after FROM w""")
 def throttle(spark, d):
-    out = schedule.throttle(table(spark, d, "events"), "user_id", "ts", "event_id", 3, 86_400, block_windows=16)
+    out = schedule.throttle(table(spark, d, "events"), "user_id", "ts", "event_id", 3, 86_400)
     return out.select("event_id", "user_id", "window_start_us", "request_no", "allowed", "retry_after")
 
 

@@ -20,6 +20,7 @@ from policylake.functions.relevance import DEFAULT, Vocabulary, score_relevance
 from policylake.functions.text import NUMBER, REDUCTION_HINT, WS, first_text, has_word, policy_status, rule_type
 from policylake.functions.urls import normalize_url, url_host
 from policylake.operators.ordering import HOT_ROWS, first_per_key, skew_join
+from policylake.operators.scan import carried, in_blocks, with_carried, within
 from policylake.operators.search import first_by_title
 from policylake.operators.validation import split_valid, validate_contributions
 from policylake.session import materialize
@@ -216,13 +217,15 @@ def replace_children(children: DataFrame, new: DataFrame, parent_key: str) -> Da
 TRANSITIONS = {"start_review": "in_review", "request_changes": "changes_requested", "reject": "rejected", "approve": "approved"}
 
 
-def apply_reviews(contributions: DataFrame, actions: DataFrame, conflicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def apply_reviews(contributions: DataFrame, actions: DataFrame, conflicts: DataFrame | None = None, blocks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Contributions after all their actions (``contribution_id, action, comment, actor_id, at, id``), and rejects.
 
     Actions apply one after the other by ``at`` and ``id``, and a refused one changes nothing.
     Refused are unknown ids, unknown actions, change requests without a comment, approvals from a
     closed state and approvals of rows in ``conflicts``. Only approvals depend on the state: it is
-    that of the last other action, or approved if an approval came after it.
+    that of the last other action, or approved if an approval came after it. Both are last values of
+    earlier rows, which a prefix scan over blocks of equal size hands on: the reviews of one
+    contribution are spread over as many tasks as they fill.
     """
     state = contributions.select(F.col("id").alias("contribution_id"), F.col("status").alias("_status"))
     judged = actions.join(state, "contribution_id", "left")
@@ -238,12 +241,15 @@ def apply_reviews(contributions: DataFrame, actions: DataFrame, conflicts: DataF
     )
     target = F.coalesce(*[F.when(action == name, status) for name, status in TRANSITIONS.items()])
     judged = judged.withColumns({"_alone": alone, "_target": target})
-    before = Window.partitionBy("contribution_id").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
-    counts = F.col("_alone").isNull()
-    judged = judged.withColumns({
-        "_state": F.coalesce(F.last(F.when(counts & ~approve, F.col("_target")), ignorenulls=True).over(before), F.col("_status")),
-        "_again": F.coalesce(F.last(F.when(counts, approve), ignorenulls=True).over(before), F.lit(False)),
-    })
+    alone_ok = F.col("_alone").isNull()
+    judged = judged.withColumns({"_other": F.when(alone_ok & ~approve, F.col("_target")), "_approves": F.when(alone_ok, approve)})
+    ranged = in_blocks(judged, ["contribution_id"], ["at", "id"], blocks)
+    before = within(["contribution_id"], ["at", "id"]).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumns({f"{c}_here": F.last(c, ignorenulls=True).over(before) for c in ("_other", "_approves")})
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("at", "id"))).alias(c)
+    hand = carried(ranged, ["contribution_id"], [latest("_other"), latest("_approves")], lambda earlier: {f"{c}_before": F.last(c, ignorenulls=True).over(earlier) for c in ("_other", "_approves")})
+    judged = with_carried(local, hand, ["contribution_id"]).withColumns({
+        "_state": F.coalesce("_other_here", "_other_before", "_status"), "_again": F.coalesce("_approves_here", "_approves_before", F.lit(False))})
     closed = ~F.col("_state").isin(*R.SUBMITTABLE_STATUSES)
     conflict = F.coalesce("_conflict", F.lit(False))
     late = F.when(approve & closed, "state cannot be submitted").when(approve & conflict, "duplicate already published").when(approve & F.col("_again"), "state cannot be submitted")

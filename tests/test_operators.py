@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from policylake import schemas as S
 from policylake.operators import exports, imports, links, merge, ordering, schedule, search, validation
+from policylake.operators.scan import in_blocks
 from policylake.sources import catalog, files, packs
 
 from conftest import rows
@@ -70,27 +72,82 @@ def brute_throttle(events, limit, window):
     return out
 
 
-@pytest.mark.parametrize("blocks", [1, 3, 50])
-def test_throttle_matches_sequential_rule(spark, blocks):
-    rng = random.Random(blocks)
-    events = [(rng.randrange(0, 4000) * 500_000, i, "hot" if i % 3 else f"k{i % 5}") for i in range(600)]
-    df = spark.createDataFrame([(i, k, t) for t, i, k in events], "id int, k string, us bigint").withColumn("ts", F.timestamp_micros("us"))
-    got = schedule.throttle(df, "k", "ts", "id", 3, 20, block_windows=blocks)
-    assert {r["id"]: (r["window_start_us"], r["request_no"], r["allowed"], r["retry_after"]) for r in got.collect()} == brute_throttle(events, 3, 20_000_000)
+def random_events(rng, kind):
+    """Times in microseconds, ids and keys: one hot key, only one key, bursts of equal times in one window, null keys."""
+    if kind == "hot":
+        return [(rng.randrange(0, 4000) * 500_000, i, "hot" if i % 3 else rng.choice(["k1", "k2", None, "z"])) for i in range(600)]
+    if kind == "one":
+        return [(rng.randrange(0, 4000) * 500_000, i, "only") for i in range(500)]
+    return [(rng.randrange(0, 8) * 1_000_000 + (40_000_000 if i % 5 == 0 else 0), i, "only") for i in range(400)]
+
+
+def event_frame(spark, events):
+    return spark.createDataFrame([(i, k, t) for t, i, k in events], "id int, k string, us bigint").withColumn("ts", F.timestamp_micros("us"))
+
+
+@pytest.mark.parametrize("kind, blocks", [("hot", 1), ("hot", 7), ("hot", 70), ("one", 9), ("burst", 12), ("burst", 40)])
+def test_throttle_matches_sequential_rule(spark, kind, blocks):
+    events = random_events(random.Random(blocks), kind)
+    got = schedule.throttle(event_frame(spark, events), "k", "ts", "id", 3, 20, blocks=blocks).select("id", "window_start_us", "request_no", "allowed", "retry_after")
+    assert {r["id"]: tuple(r)[1:] for r in got.collect()} == brute_throttle([(t, i, k or "") for t, i, k in events], 3, 20_000_000)
+    empty = schedule.throttle(event_frame(spark, events).filter("id < 0"), "k", "ts", "id", 3, 20, blocks=blocks)
+    assert empty.count() == 0 and set(empty.columns) == {"id", "k", "us", "ts", "window_start_us", "request_no", "allowed", "retry_after"}
+
+
+def test_step_functions_compose_as_blocks_do():
+    rng = random.Random(4)
+    for _ in range(60):
+        window, times = rng.choice([3, 10, 200]), sorted(rng.randrange(0, 60) for _ in range(rng.randrange(2, 40)))
+        cut = rng.randrange(1, len(times))
+        both = schedule._compose(*[schedule._step_table(np.array(x), window) for x in (times[:cut], times[cut:])])
+        for reset in [schedule.NEVER, *range(times[0] + window + 1)]:
+            want = reset
+            for t in times:
+                want = t + window if want <= t else want
+            assert schedule._apply(*both, np.array([reset]))[0] == want
 
 
-def test_polite_schedule_matches_sequential_rule(spark):
-    rng = random.Random(7)
-    events = sorted((rng.randrange(0, 5000), i, "hot" if i % 3 else f"k{i % 4}") for i in range(400))
+@pytest.mark.parametrize("kind, blocks", [("hot", 1), ("hot", 30), ("one", 9), ("burst", 12)])
+def test_polite_schedule_matches_sequential_rule(spark, kind, blocks):
+    events = random_events(random.Random(7), kind)
     last, want = {}, {}
-    for t, i, k in events:
-        last[k] = max(t, last[k] + 30) if k in last else t
-        want[i] = last[k] * 1_000_000
-    df = spark.createDataFrame([(i, k, t) for t, i, k in events], "id int, k string, s bigint").withColumn("ts", F.timestamp_seconds("s"))
-    got = schedule.polite_schedule(df, "k", "ts", "id", 30, bucket_seconds=100)
+    for t, i, k in sorted(events, key=lambda e: e[:2]):
+        last[k] = max(t, last[k] + 30_000_000) if k in last else t
+        want[i] = last[k]
+    got = schedule.polite_schedule(event_frame(spark, events), "k", "ts", "id", 30, blocks=blocks)
     assert {r["id"]: r["start_us"] for r in got.collect()} == want
 
 
+def test_one_key_is_spread_over_blocks(spark):
+    """All events of one key: every block has its share, and no task gets more than a block."""
+    df = event_frame(spark, random_events(random.Random(1), "burst"))
+    sizes = [r["count"] for r in in_blocks(df, ["k"], ["us", "id"], 8).groupBy("_block").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 400 / 8 * 2
+
+
+@pytest.mark.parametrize("blocks", [1, 6, 25])
+def test_reviews_apply_one_after_the_other(spark, blocks):
+    rng = random.Random(blocks)
+    names = ["start_review", "request_changes", "reject", "approve", "archive", None]
+    actions = [(f"c{rng.choice([1, 1, 1, 1, 2, 3, 9])}", rng.choice(names), rng.choice(["please", " ", None]), "r", rng.randrange(50), i) for i in range(300)]
+    status, want = {"c1": "submitted", "c2": "draft", "c3": "approved"}, []
+    for c, a, comment, _, _, i in sorted(actions, key=lambda x: (x[4], x[5])):
+        if c not in status:
+            want.append((c, a, "not found"))
+        elif a not in merge.TRANSITIONS:
+            want.append((c, a, "action not allowed"))
+        elif a == "request_changes" and not (comment or "").strip():
+            want.append((c, a, "comment required"))
+        elif a == "approve" and status[c] not in merge.R.SUBMITTABLE_STATUSES:
+            want.append((c, a, "state cannot be submitted"))
+        else:
+            status[c] = merge.TRANSITIONS[a]
+    contributions = spark.createDataFrame([(c, s, None, None, None) for c, s in (("c1", "submitted"), ("c2", "draft"), ("c3", "approved"))], "id string, status string, reviewer_id string, reviewed_at int, updated_at int")
+    after, rejects = merge.apply_reviews(contributions, spark.createDataFrame(actions, "contribution_id string, action string, comment string, actor_id string, at int, id int"), blocks=blocks)
+    assert {r["id"]: r["status"] for r in after.collect()} == status
+    assert sorted(map(str, map(tuple, rejects.collect()))) == sorted(map(str, want))
+
+
 def test_merge_rules(spark):
     cur = spark.createDataFrame([("1", "a", "", None, "x"), ("2", "b", "s", 5, "y")], "id string, keep string, fill string, patch int, over string")
     new = spark.createDataFrame([("1", "z", "f", None, None), ("3", "n", "n", 9, "n")], "id string, keep string, fill string, patch int, over string")
