@@ -29,11 +29,17 @@ _PATHED = f"CASE WHEN regexp_matches({_BEFORE}, '^https?://[^/]+$') THEN concat(
 
 
 def _pruned(extra: str) -> str:
-    keep = f"array_to_string(list_filter(string_split({_QUERY}, '&'), lambda p: NOT (lower(split_part(p, '=', 1)) IN {in_list(R.TRACKING_KEYS)}{extra})), '&')"
-    return f"CASE WHEN {keep} = '' THEN {_PATHED} ELSE concat({_PATHED}, '?', {keep}) END"
+    """A query that loses a key is written as a form writes it."""
+    decoded = lambda part: f"url_decode(replace({part}, '+', ' '))"
+    form = lambda part: f"replace(replace(replace(url_encode({part}), '%20', '+'), '~', '%7E'), '%2A', '*')"
+    pairs = f"list_transform(list_filter(string_split({_QUERY}, '&'), lambda p: p <> ''), lambda p: {{'k': {decoded("split_part(p, '=', 1)")}, 'v': {decoded("substr(p, length(split_part(p, '=', 1)) + 2)")}}})"
+    kept = f"list_filter({pairs}, lambda p: NOT (lower(p.k) IN {in_list(R.TRACKING_KEYS)}{extra}))"
+    written = f"array_to_string(list_transform({kept}, lambda p: concat({form('p.k')}, '=', {form('p.v')})), '&')"
+    return f"""CASE WHEN NOT contains(url, '?') THEN {_PATHED} WHEN len({kept}) = len({pairs}) THEN concat({_PATHED}, '?', {_QUERY}) WHEN len({kept}) = 0 THEN {_PATHED}
+      ELSE concat({_PATHED}, '?', {written}) END"""
 
 
-_UTM = " OR starts_with(lower(split_part(p, '=', 1)), 'utm_')"
+_UTM = " OR starts_with(lower(p.k), 'utm_')"
 
 
 # What a URL parser makes of case, default port, dots, quotes, angles, braces, backslash and blanks.
@@ -41,11 +47,21 @@ _ODD = ("HTTPS://A.gov.cn:443/d/../", "/x\"<y>\\z{`}/./é?q={1}'<&utm_x=1 2&p=\\
 _ODD_NORMAL = ("https://a.gov.cn/", "/x%22%3Cy%3E/z%7B%60%7D/%C3%A9?q={1}%27%3C&utm_x=1%202&p=\\")
 
 
+# Coded keys, a name without a value, blanks, a lone percent sign; a query that keeps its keys; an empty query; all keys gone.
+_CODED = (("http://a.cn/?x=%20y&flag&&s%70m=1&%66ROM=b&z=~*'(é+%zz&id=", "#f"), ("http://a.cn/p?x=%20y&flag&&z=~*'(+%zz&id=", ""), ("http://a.cn?#", ""), ("https://a.cn/?utm_=1&REF=", ""))
+_CODED_NORMAL = ("http://a.cn/?x=+y&flag=&z=%7E*%27%28%C3%A9+%25zz&id=", "http://a.cn/p?x=%20y&flag&&z=~*%27(+%zz&id=", "http://a.cn/?", "https://a.cn/")
+
+
 @query("url_normalize", f"""SELECT page_id, {_pruned('')} AS normalized, {_pruned(_UTM)} AS without_utm,
-  concat({quoted(_ODD_NORMAL[0])}, CAST(page_id AS VARCHAR), {quoted(_ODD_NORMAL[1])}) AS odd FROM pages""")
+  concat({quoted(_ODD_NORMAL[0])}, CAST(page_id AS VARCHAR), {quoted(_ODD_NORMAL[1])}) AS odd,
+  concat({quoted(_CODED_NORMAL[0])}, page_id, ' ', {quoted(_CODED_NORMAL[1])}, page_id, ' ', {quoted(_CODED_NORMAL[2])}, ' ', {quoted(_CODED_NORMAL[3])}) AS coded FROM pages""")
 def url_normalize(spark, d):
-    odd = F.concat(F.lit(_ODD[0]), F.col("page_id").cast("string"), F.lit(_ODD[1]))
-    return table(spark, d, "pages").select("page_id", U.normalize_url("url").alias("normalized"), U.normalize_url("url", True).alias("without_utm"), U.normalize_url(odd).alias("odd"))
+    n = F.col("page_id").cast("string")
+    odd = F.concat(F.lit(_ODD[0]), n, F.lit(_ODD[1]))
+    coded = [F.concat(F.lit(a), n if "id=" in a or "REF=" in a else F.lit(""), F.lit(b)) for a, b in _CODED]
+    return table(spark, d, "pages").select(
+        "page_id", U.normalize_url("url").alias("normalized"), U.normalize_url("url", True).alias("without_utm"), U.normalize_url(odd).alias("odd"),
+        F.concat_ws(" ", *map(U.normalize_url, coded)).alias("coded"))
 
 
 _HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"

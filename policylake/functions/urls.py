@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from policylake import rules as R
 from policylake.functions.text import col, let, strip
 
+PLAIN = r"^https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*+(?:(?:/[A-Za-z0-9_~%-][A-Za-z0-9_~%.-]*+)++/?+|/)(?:[?#][A-Za-z0-9_~.%=&+/:,;!*-]*+)?+$"  # prints as it is
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 WEB = r"^(?i)https?://[^/?#\s]+"
 AUTHORITY = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
@@ -87,27 +88,39 @@ def canonical_url(c: Column | str) -> Column:
             _percent_encode(F.substr(rest, F.char_length(path) + 1), QUERY_ESCAPED)))))
 
     clean = F.translate(strip(col(c)), "\t\n\r", "")
-    return let(let(clean, slashes), lambda t: F.when(t.rlike(WEB), build(t)))
+    return let(clean, lambda raw: F.when(raw.rlike(PLAIN), raw).otherwise(let(slashes(raw), lambda t: F.when(t.rlike(WEB), build(t)))))
+
+
+def _pair(text: Column) -> Column:
+    """Decoded ``struct<name, value>`` of one part of a query; a lone percent sign is itself."""
+    def decoded(part: Column) -> Column:
+        return F.when(part.rlike("[%+]"), F.url_decode(F.regexp_replace(part, "%(?![0-9A-Fa-f]{2})", "%25"))).otherwise(part)
+
+    name = F.substring_index(text, "=", 1)
+    return F.struct(decoded(name).alias("name"), decoded(F.substr(text, F.char_length(name) + 2)).alias("value"))
 
 
 def normalize_url(c: Column | str, strip_utm_prefix: bool = False, keys: Sequence[str] = R.TRACKING_KEYS) -> Column:
     """Drop the fragment and the tracking keys; text that is no URL is returned as it is.
 
-    Keys match exactly (``utm_source`` survives) unless ``strip_utm_prefix``.
+    A query that loses a key is written anew from its decoded names and values, as a form is; any
+    other stays as the parser prints it. Keys match decoded and exactly (``utm_source`` survives) unless ``strip_utm_prefix``.
     """
     names = [k for k in keys]
 
     def dropped(pair: Column) -> Column:
-        key = F.lower(F.substring_index(pair, "=", 1))
+        key = F.lower(pair["name"])
         hit = key.isin(names)
         return hit | key.startswith("utm_") if strip_utm_prefix else hit
 
-    def prune(url: Column) -> Column:
-        base = F.substring_index(url, "#", 1)
+    def rewrite(base: Column) -> Column:
         before = F.substring_index(base, "?", 1)
-        query = F.substr(base, F.char_length(before) + 2)
-        kept = F.array_join(F.filter(F.split(query, "&"), lambda p: ~dropped(p)), "&")
-        return F.when(kept == "", before).otherwise(F.concat(before, F.lit("?"), kept))
+        pairs = F.transform(F.filter(F.split(F.substr(base, F.char_length(before) + 2), "&"), lambda p: p != ""), _pair)
+        return let(pairs, lambda all: let(F.filter(all, lambda p: ~dropped(p)), lambda kept: F.when(F.size(kept) == F.size(all), base).when(F.size(kept) == 0, before).otherwise(
+            F.concat(before, F.lit("?"), F.array_join(F.transform(kept, lambda p: F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"]))), "&")))))
+
+    def prune(url: Column) -> Column:
+        return let(F.substring_index(url, "#", 1), lambda base: F.when(base.contains("?"), rewrite(base)).otherwise(base))
 
     def apply(text: Column) -> Column:
         web = canonical_url(text)

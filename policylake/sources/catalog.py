@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +28,18 @@ def preview(tables: Mapping[str, DataFrame], name: str, n: int) -> DataFrame:
 
 
 def run_readonly_sql(spark: SparkSession, statement: str, n: int | None = None) -> DataFrame:
-    """Result (with ``n`` its first rows) of a SELECT or WITH statement; anything else is refused."""
-    text = statement.strip()
-    if not text.lower().startswith(("select", "with")) or ";" in text.rstrip(";"):
+    """Result (with ``n`` its first rows) of a SELECT or WITH statement; anything else is refused.
+
+    A statement that may also stand as a subquery is a query: WITH before INSERT is none.
+    """
+    text = statement.strip().rstrip(";")
+    if not text.lower().startswith(("select", "with")) or ";" in text:
         raise ValueError("only one SELECT or WITH statement is allowed")
-    out = spark.sql(text.rstrip(";"))
+    try:
+        spark.sql(f"SELECT 1 FROM (\n{text}\n) WHERE false")
+    except ParseException as error:
+        raise ValueError("only queries are allowed") from error
+    out = spark.sql(text)
     return out if n is None else out.limit(max(1, n))
 
 

@@ -221,9 +221,14 @@ def test_catalog(spark):
     assert catalog.preview(t, "b", 0).count() == 1
     catalog.register({"preview_b": t["b"]})
     assert catalog.run_readonly_sql(spark, " select * from preview_b ").count() == 3
-    for bad in ("drop table preview_b", "select 1; drop table x"):
+    spark.sql("CREATE TABLE IF NOT EXISTS guarded (x INT) USING parquet")
+    assert catalog.run_readonly_sql(spark, "WITH q AS (SELECT 1 AS x) SELECT x FROM q -- end").count() == 1
+    for bad in ("drop table preview_b", "select 1; drop table x", "WITH q AS (SELECT 1 AS x) INSERT INTO guarded SELECT x FROM q", "with q as (select 1) from q insert into guarded select *",
+                "select 1) insert into guarded (select 1"):
         with pytest.raises(ValueError):
             catalog.run_readonly_sql(spark, bad)
+    assert spark.table("guarded").count() == 0
+    spark.sql("DROP TABLE guarded")
     with pytest.raises(ValueError):
         catalog.preview(t, "zz", 1)
 
