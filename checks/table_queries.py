@@ -14,7 +14,7 @@ from policylake.functions import relevance as V
 from policylake.functions.keys import dedup_key
 from policylake.functions.text import policy_level, policy_status
 from policylake.functions.urls import resolve_url
-from policylake.operators import exports, imports, merge, ordering, reports, schedule, search, validation
+from policylake.operators import dictionary, exports, imports, merge, ordering, reports, schedule, search, validation
 from policylake.sources.catalog import table_counts
 from policylake.sources.html import extract_links
 from policylake.sources.packs import lines_to_records
@@ -176,7 +176,21 @@ SELECT n_name, s_suppkey, s_name FROM h QUALIFY row_number() OVER (PARTITION BY
 def contains_lookup(spark, d):
     dim = table(spark, d, "supplier").withColumn("region", F.concat(F.lit("Region NATION_"), F.col("s_nationkey").cast("string")))
     order = [F.when(F.col("s_acctbal") > 0, 0).otherwise(1), F.col("s_suppkey")]
-    return search.lookup_contains(table(spark, d, "nation").select("n_name"), "n_name", dim, "region", order, ["s_suppkey", "s_name"])
+    return dictionary.lookup_contains(table(spark, d, "nation").select("n_name"), "n_name", dim, "region", order, ["s_suppkey", "s_name"])
+
+
+# A dictionary that is a table: the long words of benchmark items, by length and name, labelled by their ends.
+_WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS keyword FROM benchmark"
+
+
+@query("dictionary_labels", f"""
+WITH words AS ({_WORDS}), hits AS (SELECT doc_id, keyword, right(keyword, 3) AS label FROM documents JOIN words ON contains(text, keyword))
+SELECT doc_id, arg_min(label, (length(keyword), keyword)) AS label, arg_min(keyword, (length(keyword), keyword)) AS keyword, count(*) AS hits, CAST(sum(length(keyword)) AS BIGINT) AS points FROM hits GROUP BY doc_id""")
+def dictionary_labels(spark, d):
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("keyword")).distinct()
+    rules = words.select("keyword", F.length("keyword").alias("rule_no"), F.col("keyword").alias("keyword_no"), F.right("keyword", F.lit(3)).alias("label"), F.length("keyword").alias("points"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return dictionary.first_label(docs, "doc_id", "text", rules).join(dictionary.weighted_hits(docs, "doc_id", "text", rules), "doc_id").select("doc_id", "label", "keyword", "hits", "points")
 
 
 TITLE_PARTS = ("small", "red", "gear", "absent")

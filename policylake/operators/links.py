@@ -128,11 +128,20 @@ def robots_score(rule_path: Column, path: Column) -> Column:
 def robots_filter(urls: DataFrame, robots: DataFrame, agent: str, url: str = "url", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds ``allowed``: the longest matching rule decides, ties allow, no rules allow.
 
-    The rules of an origin travel as one array, so URLs are never multiplied by rules.
+    A rule without ``*`` or ``$`` is a prefix: a path meets it in an equality join on the path's
+    beginnings of the lengths that its origin's rules have. Only rules with wildcards are tried one by
+    one, by the paths of their origin; so URLs are never multiplied by rules.
     """
     staged = urls.withColumns({"origin": url_origin(url), "_path": url_path_query(url)})
-    joined = skew_join(staged, robots_rules(robots, agent), ["origin"], "left", [url], hot_rows)
+    rules = materialize(robots_rules(robots, agent).select("origin", F.explode("rules").alias("r")).select("origin", "r.allow", "r.path").filter("path <> ''"))
+    wild = rules.filter(F.col("path").rlike("[*$]")).groupBy("origin").agg(F.collect_list(F.struct("allow", "path")).alias("wild"))
+    plain = rules.filter(~F.col("path").rlike("[*$]")).groupBy("origin", "path").agg(F.max("allow").alias("allow"))
+    shape = wild.join(plain.groupBy("origin").agg(F.collect_set(F.char_length("path")).alias("lengths")), "origin", "full_outer")
+    paths = skew_join(staged.filter("origin IS NOT NULL").select("origin", "_path").distinct(), shape, ["origin"], "inner", ["_path"], hot_rows)
+    starts = F.transform(F.filter("lengths", lambda n: n <= F.char_length("_path")), lambda n: F.substring(F.col("_path"), F.lit(1), n))
+    met = paths.select("origin", "_path", F.explode(starts).alias("path")).join(plain, ["origin", "path"]).select("origin", "_path", F.struct(F.char_length("path").alias("score"), "allow").alias("m"))
+    tried = paths.filter("wild IS NOT NULL").select("origin", "_path", F.array_max(F.transform("wild", lambda r: F.struct(robots_score(r["path"], F.col("_path")).alias("score"), r["allow"].alias("allow")))).alias("m"))
     none = F.struct(F.lit(0).alias("score"), F.lit(True).alias("allow"))
-    scored = F.transform("rules", lambda r: F.struct(robots_score(r["path"], F.col("_path")).alias("score"), r["allow"].alias("allow")))
-    best = F.array_max(F.concat(F.array(none), F.coalesce(scored, F.array(none))))
-    return joined.withColumn("allowed", best["allow"]).drop("_path", "rules", "origin")
+    best = met.union(tried.filter("m.score > 0")).groupBy("origin", "_path").agg(F.max("m").alias("_m"))
+    joined = skew_join(staged, best, ["origin", "_path"], "left", [url], hot_rows)
+    return joined.withColumn("allowed", F.coalesce("_m", none)["allow"]).drop("_path", "_m", "origin")

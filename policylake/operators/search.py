@@ -250,23 +250,6 @@ def insert_if_absent(existing: DataFrame, new: DataFrame, keys: Sequence[str], o
     return fresh.join(existing.select(*keys).distinct(), list(keys), "left_anti").select(*new.columns)
 
 
-def lookup_contains(needles: DataFrame, needle: str, dim: DataFrame, haystack: str, order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
-    """For each needle the first ``dim`` row whose haystack contains it.
-
-    The haystack's substrings of the lengths that needles have become join keys, so the test is an
-    equality join that works for any size of either side.
-    """
-    text = F.lower(F.col(haystack))
-    size = F.char_length(text)
-    lengths = needles.select(F.char_length(needle).alias("k")).filter("k > 0").agg(F.collect_set("k")).scalar()  # as many as the longest needle at most
-    pieces = F.flatten(F.transform(F.filter("_lengths", lambda k: k <= size), lambda k: F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.substring(text, i, k))))
-    ordered = [o.alias(f"_o{i}") for i, o in enumerate(order)]
-    grams = dim.filter(size > 0).withColumn("_lengths", lengths).select(F.explode(F.array_distinct(pieces)).alias("_key"), *keep, *ordered)
-    wanted = needles.select(needle).distinct().withColumn("_key", F.lower(needle))
-    first = first_per_key(grams.join(wanted.select("_key").distinct(), "_key", "left_semi"), ["_key"], [F.col(f"_o{i}") for i in range(len(order))], keep)
-    return wanted.join(first, "_key", "left").drop("_key")
-
-
 def first_by_title(policies: DataFrame, patterns: Sequence[str], jurisdiction: str = R.NATIONAL) -> DataFrame:
     """For each title fragment the oldest policy of the jurisdiction whose title contains it."""
     hits = F.array_compact(F.array(*[F.when(contains_text("title", p), F.lit(p)) for p in patterns]))

@@ -1,13 +1,15 @@
 """Operators against brute force on small frames, hot-key paths forced with low thresholds."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from policylake import rules as R
 from policylake import schemas as S
-from policylake.operators import exports, imports, links, merge, ordering, schedule, search, validation
+from policylake.operators import dictionary, exports, imports, links, merge, ordering, schedule, search, validation
 from policylake.operators.scan import in_blocks
 from policylake.sources import catalog, files, packs
 
@@ -167,10 +169,33 @@ def test_insert_if_absent_twice_adds_nothing(spark):
 
 
 def test_lookup_contains(spark):
-    needles = spark.createDataFrame([("江苏",), ("浙",), ("x",)], "n string")
-    dim = spark.createDataFrame([("1", "江苏省南京"), ("2", "浙江和江苏"), ("3", None)], "id string, name string")
-    got = search.lookup_contains(needles, "n", dim, "name", [-F.col("id").cast("int")], ["id"])
-    assert rows(got.fillna("-")) == [("x", "-"), ("江苏", "2"), ("浙", "2")]
+    needles = spark.createDataFrame([("江苏",), ("浙",), ("x",), ("",), (None,), ("省南京",), ("JIANG su",), ("absent",)], "n string")
+    dim = spark.createDataFrame([("1", "江苏省南京"), ("2", "浙江和江苏"), ("3", None), ("4", ""), ("5", "in Jiang SU"), ("5", "in jiang su")], "id string, name string")
+    got = dictionary.lookup_contains(needles, "n", dim, "name", [-F.col("id").cast("int")], ["id"])
+    assert rows(got.fillna("-")) == [("", "-"), ("-", "-"), ("JIANG su", "5"), ("absent", "-"), ("x", "-"), ("江苏", "2"), ("浙", "2"), ("省南京", "1")]
+
+
+def test_dictionary_of_any_size_equals_plain_search(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdé江", k=rng.randrange(1, 7)))
+    words = sorted({word() for _ in range(400)})
+    texts = ["".join(rng.choices("abcdé江 ", k=rng.randrange(0, 80))) for _ in range(120)] + ["", None, "a"]
+    rules = [(i // 7, i % 7, f"L{i // 7}", w, rng.randrange(1, 9)) for i, w in enumerate(rng.sample(words, len(words)))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    table = spark.createDataFrame(rules + [(99, 0, "none", None, 3), (99, 1, "none", "", 3)], "rule_no int, keyword_no int, label string, keyword string, points int")
+    held = {i: [r for r in rules if r[3] in (t or "")] for i, t in enumerate(texts)}
+    assert rows(dictionary.find_words(df, "id", "t", table, "keyword")) == sorted((i, r[3]) for i, h in held.items() for r in h)
+    assert rows(dictionary.first_label(df, "id", "t", table).select("id", "label", "keyword")) == sorted((i, *min(h)[2:4]) for i, h in held.items() if h)
+    assert rows(dictionary.weighted_hits(df, "id", "t", table)) == sorted((i, len(h), sum(r[4] for r in h)) for i, h in held.items() if h)
+
+
+def test_dictionary_table_equals_the_literal_form(spark):
+    rng = random.Random(3)
+    words = [w for rule in R.CATEGORY_RULES for w in rule.keywords]
+    df = spark.createDataFrame([(i, "".join(rng.choices([*words, "无", "关", "的"], k=rng.randrange(0, 5)))) for i in range(200)], "id int, t string")
+    table = spark.createDataFrame([(i, k, rule.label, w) for i, rule in enumerate(R.CATEGORY_RULES) for k, w in enumerate(rule.keywords)], "rule_no int, keyword_no int, label string, keyword string")
+    literal = F.coalesce(*[F.when(F.col("t").contains(w), rule.label) for rule in R.CATEGORY_RULES for w in rule.keywords])
+    assert rows(dictionary.first_label(df, "id", "t", table).select("id", "label")) == rows(df.select("id", literal.alias("l")).filter("l IS NOT NULL"))
 
 
 def test_robots(spark):
@@ -182,6 +207,24 @@ def test_robots(spark):
     assert got == {"/": True, "/a": False, "/a/b": True, "/private": True, "/z.pdf": False, "/z.pdf?x=1": True, "/other": True}
 
 
+def test_robots_of_many_rules(spark):
+    rng = random.Random(6)
+    path = lambda: "/" + "/".join(rng.choice("abc") for _ in range(rng.randrange(0, 5)))
+    rules = [(rng.choice(["Allow", "Disallow"]), path() + rng.choice(["", "", "/", "*c", "$", "*/b$"])) for _ in range(300)]
+    text = "User-agent: *\n" + "\n".join(f"{k}: {p}" for k, p in rules)
+    urls = [path() for _ in range(200)]
+
+    def score(p, u):
+        body = p.rstrip("$") if p.endswith("$") else p
+        pattern = ".*".join(map(re.escape, body.split("*"))) + ("$" if p.endswith("$") else "")
+        return len(body) if re.match(pattern, u) else 0
+
+    df = spark.createDataFrame([(i, "https://h.example" + u) for i, u in enumerate(urls)], "i int, url string")
+    other = spark.createDataFrame([(900, "https://other.example/a"), (901, None), (902, "nonsense")], "i int, url string")
+    got = {r["i"]: r["allowed"] for r in links.robots_filter(df.union(other), spark.createDataFrame([("https://h.example", text)], "origin string, text string"), "bot").collect()}
+    assert got == {i: max([(score(p, u), k == "Allow") for k, p in rules] + [(0, True)])[1] for i, u in enumerate(urls)} | {900: True, 901: True, 902: True}
+
+
 def test_screen_urls(spark):
     urls = ["https://a.gov.cn/x", "http://gov.cn/", "ftp://a.gov.cn/", "https://u:p@a.gov.cn/", "https://a.com/", "https://b.gov.cn/", "https://c.gov.cn/", "nonsense"]
     addresses = spark.createDataFrame([("a.gov.cn", "8.8.8.8"), ("GOV.cn", "1.1.1.1"), ("b.gov.cn", "8.8.4.4"), ("b.gov.cn", "10.0.0.1")], "host string, address string")
