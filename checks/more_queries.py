@@ -13,6 +13,11 @@ from policylake.functions import geo as G
 from policylake.functions import relevance as V
 from policylake.functions import text as T
 from policylake.operators import exports, validation
+from policylake.operators.snapshots import SnapshotTable, store_new
+from policylake.session import new_folder
+from policylake.sources.files import snapshot_manifest
+from policylake.streaming import documents as SD
+from policylake.streaming.throttle import ROCKSDB, stream_throttle
 
 # --- exports ---------------------------------------------------------------------------------
 
@@ -155,3 +160,70 @@ def overrides(spark, d):
              .when(k % 4 == 2, F.create_map(F.lit("size"), F.lit("x"))))
     p = table(spark, d, "part").withColumn("first", F.when(k % 3 != 0, F.col("p_name")).otherwise(" "))
     return T.apply_overrides(p, given, {"title": [F.col("first"), F.col("p_type")]}, {"size": F.col("p_size")}).select("p_partkey", "title", "size")
+
+
+# --- tables on disk --------------------------------------------------------------------------
+
+# The customers who ordered on the last day get that day as their comment; two new ones come.
+@query("bucket_merge", """
+WITH last AS (SELECT o_custkey, sum(o_totalprice) AS spent FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders) GROUP BY o_custkey)
+SELECT c_custkey, c_name, CASE WHEN spent IS NULL THEN c_acctbal ELSE round(spent, 2) END AS c_acctbal, c_mktsegment FROM customer LEFT JOIN last ON o_custkey = c_custkey
+UNION ALL SELECT -o_custkey, 'new', round(spent, 2), NULL FROM last""")
+def bucket_merge(spark, d):
+    orders = table(spark, d, "orders")
+    day = orders.agg(F.max("o_orderdate").alias("o_orderdate"))
+    last = orders.join(day, "o_orderdate", "left_semi").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("c_acctbal"))
+    none = F.lit(None).cast("string")
+    changes = last.select(F.col("o_custkey").alias("c_custkey"), none.alias("c_name"), "c_acctbal").union(last.select(-F.col("o_custkey"), F.lit("new"), "c_acctbal"))
+    customers = SnapshotTable(new_folder(spark, "customers"), ["c_custkey"], 64)
+    customers.create(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"))
+    customers.merge(changes, default="patch_if_present")
+    return customers.read(spark)
+
+
+@query("snapshot_store", """
+WITH s AS (SELECT sha256(text) AS hash, strlen(text) AS byte_size, doc_id, CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS batch FROM documents)
+SELECT hash, min_by(byte_size, (batch, doc_id)) AS byte_size, min((batch, doc_id)).doc_id AS doc_id FROM s GROUP BY hash""".replace("min((batch, doc_id)).doc_id", "min_by(doc_id, (batch, doc_id))"))
+def snapshot_store(spark, d):
+    """English documents arrive first, then all of them, then all again."""
+    at = F.timestamp_micros(F.lit(1704067200000000) + F.col("doc_id"))
+    docs = table(spark, d, "documents").select(F.encode("text", "UTF-8").alias("content"), F.lit("a.txt").alias("name"), F.lit("text/plain").alias("mime"), at.alias("fetched_at"), "lang")
+    path = new_folder(spark, "snapshots")
+    for batch in (docs.filter("lang = 'en'"), docs, docs):
+        stored = store_new(snapshot_manifest(batch, "content", "name", "mime", "fetched_at"), path)
+    return stored.select("hash", F.col("byte_size").cast("bigint").alias("byte_size"), (F.unix_micros("fetched_at") - 1704067200000000).alias("doc_id"))
+
+
+# --- streams ---------------------------------------------------------------------------------
+
+@query("stream_documents", """
+SELECT DISTINCT sha256(concat(url, chr(10))) AS content_hash, md5(url) AS text_md5 FROM pages""")
+def stream_documents(spark, d):
+    """Every page's URL arrives as a file of its own, those of even pages twice; each content is recognised once."""
+    arriving, out = new_folder(spark, "arriving"), new_folder(spark, "recognised")
+    pages = table(spark, d, "pages").select("page_id", "url")
+    copies = pages.filter("page_id % 2 = 0").select(-1 - F.col("page_id"), "url")
+    pages.union(copies).write.partitionBy("page_id").text(arriving)
+    write = lambda docs, batch: docs.select("content_hash", F.md5(F.trim(F.regexp_replace("text", "\n$", ""))).alias("text_md5")).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    stream = SD.read_file_stream(spark, arriving, files_per_batch=100_000)
+    SD.stream_documents(stream, write, new_folder(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("content_hash", "text_md5")
+
+
+@query("stream_throttle", """
+WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+w AS (SELECT event_id, user_id, t, rn, t AS ws, 1 AS n FROM o WHERE rn = 1
+ UNION ALL SELECT o.event_id, o.user_id, o.t, o.rn, CASE WHEN w.ws + 3600000000 <= o.t THEN o.t ELSE w.ws END, CASE WHEN w.ws + 3600000000 <= o.t THEN 1 ELSE w.n + 1 END FROM w JOIN o ON o.user_id = w.user_id AND o.rn = w.rn + 1)
+SELECT event_id, user_id, ws AS window_start_us, CAST(n AS BIGINT) AS request_no, n <= 1 AS allowed FROM w""")
+def stream_throttle_query(spark, d):
+    out, name = new_folder(spark, "throttled"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        schema = table(spark, d, "events").schema
+        stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+        decided = stream_throttle(stream, "user_id", "ts", "event_id", 1, 3600)
+        decided.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_folder(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.parquet(out).select("event_id", "user_id", "window_start_us", "request_no", "allowed")

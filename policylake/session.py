@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +41,41 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "policylake-checkpoints")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the place that all executors share."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, place = _file_system(spark, path)
+    return files.exists(place)
+
+
+_STAGED: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Owner of the tables that ``materialize`` writes inside: they go when the block ends.
+
+    For jobs that write their results; a frame that is read later must not depend on them.
+    """
+    mine: list[str] = []
+    token = _STAGED.set(mine)
+    try:
+        yield
+    finally:
+        _STAGED.reset(token)
+        for path in mine:
+            files, place = _file_system(spark, path)
+            files.delete(place, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate table once and read it back.
 
@@ -46,6 +84,8 @@ def materialize(df: DataFrame) -> DataFrame:
     and gives the following joins real sizes.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = new_folder(spark, "stage")
+    if (owned := _STAGED.get()) is not None:
+        owned.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,8 @@ from policylake import rules as R
 from policylake import schemas as S
 from policylake.operators import dictionary, exports, imports, links, merge, ordering, schedule, search, validation
 from policylake.operators.scan import in_blocks
+from policylake.operators.snapshots import SnapshotTable, store_new
+from policylake.session import materialize, path_exists, staging
 from policylake.sources import catalog, files, packs
 
 from conftest import rows
@@ -299,3 +301,43 @@ def test_quoted_csv_export(spark, tmp_path):
     exports.write_export(exports.export_users(users).coalesce(1), str(tmp_path / "out"))
     text = next((tmp_path / "out").glob("*.csv")).read_text()
     assert text.splitlines()[0].startswith('"用户名"') and '"a ""b"""' in text and text.index("u2") < text.index("u1")
+
+
+def test_merge_rewrites_only_the_buckets_of_changed_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    store = SnapshotTable(path, ["id"], 32)
+    store.create(spark.range(1000).select("id", (F.col("id") * 2).alias("v"), F.lit("x").alias("w")))
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    changes = spark.createDataFrame([(5, -1), (700, -2), (5000, -3)], "id bigint, v bigint")
+    touched = store.merge(changes)
+    after = files()
+    same = {f for f in before if after.get(f) == before[f]}
+    assert len(touched) <= 3 and {f.split("_bucket=")[1].split("/")[0] for f in set(before) - same} == {str(b) for b in touched} - ({str(b) for b in touched} - {f.split("_bucket=")[1].split("/")[0] for f in before})
+    want = {i: (2 * i, "x") for i in range(1000)} | {5: (-1, "x"), 700: (-2, "x"), 5000: (-3, None)}
+    assert {r["id"]: (r["v"], r["w"]) for r in store.read(spark).collect()} == want
+    assert store.merge(changes) == touched and store.merge(changes.filter("id < 0")) == []
+    assert {r["id"]: (r["v"], r["w"]) for r in store.read(spark).collect()} == want
+    plan = store.part(spark, touched)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [_bucket" in plan
+
+
+def test_store_new_twice_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "s")
+    rows_ = spark.range(50).select(F.sha2(F.col("id").cast("string"), 256).alias("hash"), "id")
+    assert store_new(rows_.filter("id < 20"), path).count() == 20
+    first = {str(f) for f in (tmp_path / "s").rglob("*.parquet")}
+    assert rows(store_new(rows_, path).select("id")) == [(i,) for i in range(50)]
+    again = {str(f) for f in (tmp_path / "s").rglob("*.parquet")}
+    assert store_new(rows_.withColumn("id", -F.col("id")), path).agg(F.min("id")).first()[0] == 0
+    assert first < again and {str(f) for f in (tmp_path / "s").rglob("*.parquet")} == again
+
+
+def test_staged_tables_go_with_their_owner(spark):
+    with staging(spark):
+        kept = materialize(spark.range(3))
+        path = kept.inputFiles()[0].rsplit("/", 1)[0]
+        assert kept.count() == 3 and path_exists(spark, path)
+    assert not path_exists(spark, path)
+    later = materialize(spark.range(3))
+    assert path_exists(spark, later.inputFiles()[0])

@@ -25,10 +25,23 @@ def test_stream_documents_equals_batch(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"p{i}.html").write_text(PAGE.replace("12%", f"{10 + i}%"))
     (tmp_path / "copy.html").write_text(PAGE.replace("12%", "10%"))
-    stream = SD.stream_documents(SD.read_file_stream(spark, str(tmp_path)))
-    drain(stream.select("content_hash", "rate", F.col("relevance.score").alias("score"), "status"), "docs")
-    batch = SD.recognise(files.read_files(spark, str(tmp_path))).select("content_hash", "rate", F.col("relevance.score").alias("score"), "status").distinct()
-    assert rows(spark.table("docs")) == rows(batch) and len(rows(batch)) == 3
+    out = str(tmp_path / "out")
+    write = lambda docs, batch: docs.select("content_hash", "rate", F.col("relevance.score").alias("score"), "status").write.mode("overwrite").parquet(f"{out}/{batch}")
+    stream = SD.read_file_stream(spark, str(tmp_path / "*.html"))
+    SD.stream_documents(stream, write, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    batch = SD.recognise(files.read_files(spark, str(tmp_path / "*.html"))).select("content_hash", "rate", F.col("relevance.score").alias("score"), "status").distinct()
+    assert rows(spark.read.parquet(f"{out}/*")) == rows(batch) and len(rows(batch)) == 3
+
+
+def test_no_content_in_the_exchange_of_the_stream(spark, tmp_path):
+    (tmp_path / "a.html").write_text(PAGE)
+    narrow = SD.new_contents(SD.read_file_stream(spark, str(tmp_path)))
+    assert "content" not in narrow.columns
+    query = narrow.writeStream.format("memory").queryName("narrow").trigger(availableNow=True).start()
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert "Exchange hashpartitioning(content_hash" in plan and spark.table("narrow").count() == 1
+    assert "content#" not in plan  # hash, path and time alone
 
 
 def test_stream_throttle_equals_batch(spark, tmp_path):
