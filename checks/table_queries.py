@@ -193,6 +193,16 @@ def dictionary_labels(spark, d):
     return dictionary.first_label(docs, "doc_id", "text", rules).join(dictionary.weighted_hits(docs, "doc_id", "text", rules), "doc_id").select("doc_id", "label", "keyword", "hits", "points")
 
 
+@query("dictionary_relevance", f"""
+WITH words AS ({_WORDS}), d AS (SELECT doc_id, text, left(text, 60) AS title FROM documents),
+hits AS (SELECT doc_id, length(keyword) * (CASE WHEN contains(title, keyword) THEN 145 ELSE 100 END + least(2, (length(text) - length(replace(text, keyword, ''))) // length(keyword)) * 45 + 8) AS points FROM d JOIN words ON contains(text, keyword))
+SELECT doc_id, count(*) AS hits, CAST(sum(points) AS BIGINT) AS points FROM hits GROUP BY doc_id""")
+def dictionary_relevance(spark, d):
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("word")).distinct().withColumn("weight", F.length("word"))
+    docs = table(spark, d, "documents").select("doc_id", "text", F.substring("text", 1, 60).alias("title"))
+    return dictionary.keyword_points(docs, "doc_id", "title", "text", words)
+
+
 TITLE_PARTS = ("small", "red", "gear", "absent")
 
 

@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from policylake.functions.text import let
+from policylake.functions.extract import cell
+from policylake.functions.relevance import rule_points
+from policylake.functions.text import compact, let
 from policylake.operators.ordering import first_per_key
 from policylake.session import materialize
 
@@ -41,18 +43,23 @@ def _gram_rows(words: DataFrame, word: str) -> tuple[DataFrame, list[int]]:
     return rows, sorted(sizes) or [GRAM]
 
 
+def _meetings(texts: DataFrame, id: str, text: Column, words: DataFrame, word: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``_id, _text, _word`` and ``keep`` of each text and dictionary word that occurs in it."""
+    rows, sizes = _gram_rows(words, word)
+    shared = rows.groupBy("_gram").agg(F.count("*").alias("_n"))
+    keys = materialize(rows.join(shared, "_gram").groupBy("_word").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram")))
+    body = texts.select(F.col(id).alias("_id"), text.alias("_text"), *keep)
+    pairs = body.select("_id", F.explode(grams(F.col("_text"), sizes)).alias("_gram")).join(keys, "_gram").select("_id", "_word")
+    return pairs.join(body, "_id").filter(F.contains("_text", "_word"))
+
+
 def find_words(texts: DataFrame, id: str, text: str, words: DataFrame, word: str) -> DataFrame:
     """``id, word``: which words of a dictionary occur in which texts, each pair once.
 
     ``id`` is unique. The key of a word is that of its n-grams which the fewest words share. Null and
     empty words and texts meet nothing.
     """
-    rows, sizes = _gram_rows(words, word)
-    shared = rows.groupBy("_gram").agg(F.count("*").alias("_n"))
-    keys = materialize(rows.join(shared, "_gram").groupBy("_word").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram")))
-    body = texts.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    pairs = body.select("_id", F.explode(grams(F.col("_text"), sizes)).alias("_gram")).join(keys, "_gram").select("_id", "_word")
-    return pairs.join(body, "_id").filter(F.contains("_text", "_word")).select(F.col("_id").alias(id), F.col("_word").alias(word))
+    return _meetings(texts, id, F.col(text), words, word).select(F.col("_id").alias(id), F.col("_word").alias(word))
 
 
 def first_label(texts: DataFrame, id: str, text: str, rules: DataFrame) -> DataFrame:
@@ -66,6 +73,28 @@ def weighted_hits(texts: DataFrame, id: str, text: str, rules: DataFrame) -> Dat
     return find_words(texts, id, text, rules, "keyword").join(rules.select("keyword", "points"), "keyword").groupBy(id).agg(F.count("*").alias("hits"), F.sum("points").alias("points"))
 
 
+def label_cells(texts: DataFrame, id: str, text: str, rules: DataFrame, before: int, after: int, confidence: float) -> DataFrame:
+    """``id, cell`` as ``keyword_cell`` gives for literal rules: the first label with the words around its keyword; null cells without one."""
+    found = texts.select(id, text).join(first_label(texts, id, text, rules), id, "left")
+
+    def quote(b: Column) -> Column:
+        at = F.position(b["k"], b["t"])
+        start = F.greatest(at - before, F.lit(1))
+        return compact(F.substring(b["t"], start, at - start + F.char_length(b["k"]) + after))
+
+    around = let(F.struct(F.col(text).alias("t"), F.col("keyword").alias("k")), quote)
+    return found.select(id, cell(F.col("label"), confidence, around).alias("cell"))
+
+
+def keyword_points(texts: DataFrame, id: str, title: str, text: str, words: DataFrame) -> DataFrame:
+    """``id, hits, points``: the relevance points (hundredths) of the table ``word, weight``, as ``keyword_score`` adds them for literal rules; texts without a hit have no row."""
+    both = texts.select(F.col(id).alias("_key"), F.coalesce(title, F.lit("")).alias("_title"), F.coalesce(text, F.lit("")).alias("_body"))
+    met = _meetings(both, "_key", F.concat_ws("\n", "_title", "_body"), words, "word", ("_title", "_body")).join(words.withColumnRenamed("word", "_word"), "_word")
+    rule = F.struct(F.col("_word").alias("word"), F.col("weight").alias("weight"))
+    scored = met.withColumn("_points", let(F.struct(rule.alias("r"), "_title", "_body"), lambda b: rule_points(b["r"], b["_title"], b["_body"], b["_body"])))
+    return scored.filter("_points IS NOT NULL").groupBy(F.col("_id").alias(id)).agg(F.count("*").alias("hits"), F.sum("_points").alias("points"))
+
+
 def lookup_contains(needles: DataFrame, needle: str, dim: DataFrame, haystack: str, order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
     """For each needle the first ``dim`` row whose haystack contains it, whatever the case.
 

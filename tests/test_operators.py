@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from policylake import rules as R
 from policylake import schemas as S
+from policylake.functions import extract as X
+from policylake.functions import relevance as V
 from policylake.operators import dictionary, exports, imports, links, merge, ordering, schedule, search, validation
 from policylake.operators.scan import in_blocks
 from policylake.operators.snapshots import SnapshotTable, store_new
@@ -200,6 +202,20 @@ def test_dictionary_table_equals_the_literal_form(spark):
     assert rows(dictionary.first_label(df, "id", "t", table).select("id", "label")) == rows(df.select("id", literal.alias("l")).filter("l IS NOT NULL"))
 
 
+def test_table_forms_of_cells_and_points(spark):
+    rng = random.Random(12)
+    words = [w for rule in R.FUNDING_RULES for w in rule.keywords]
+    scored = [r.word for r in R.RELEVANCE_RULES]
+    text = lambda: "".join(rng.choices([*words, *scored, "无", "关 ", "的", "文\n"], k=rng.randrange(0, 30)))
+    df = spark.createDataFrame([(i, text(), text()[:20]) for i in range(150)] + [(900, None, None), (901, "", None)], "id int, t string, title string")
+    rules = spark.createDataFrame([(i, k, rule.label, w) for i, rule in enumerate(R.FUNDING_RULES) for k, w in enumerate(rule.keywords)], "rule_no int, keyword_no int, label string, keyword string")
+    got = dictionary.label_cells(df, "id", "t", rules, 40, 80, 0.72).select("id", "cell.value", "cell.quote")
+    assert rows(got.fillna("-")) == rows(df.select("id", X.funding_source(F.col("t")).alias("c")).select("id", "c.value", "c.quote").fillna("-"))
+    weights = spark.createDataFrame([(r.word, r.weight) for r in R.RELEVANCE_RULES], "word string, weight int")
+    literal = V.keyword_score(df, "t", "title").select("id", "keyword_points").filter("keyword_points > 0")
+    assert rows(dictionary.keyword_points(df, "id", "title", "t", weights).select("id", "points")) == rows(literal)
+
+
 def test_robots(spark):
     text = "User-agent: PolicyBot\nUser-agent: x\nDisallow: /private\n\nUser-agent: *\nDisallow: /a\nAllow: /a/b\nAllow: /private\nDisallow: /*.pdf$\nDisallow:\n"
     urls = ["/", "/a", "/a/b", "/private", "/z.pdf", "/z.pdf?x=1", "/other"]
