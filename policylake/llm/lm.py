@@ -4,9 +4,13 @@ Documents are dealt into parts. A part sends each key group its distinct n-grams
 the group adds them up over all parts (the count table of these keys) and answers every part with
 the totals of its n-grams (the join), in their order. Orders follow each other: an n-gram of two or
 more words goes out only if both shorter ones inside are frequent, as it can't be frequent otherwise;
-with a ``min_count`` of 1, as the query has it, every n-gram goes out and counts. Documents then find
+with a ``min_count`` of 1, the default, every n-gram goes out and counts. Documents then find
 all their own n-grams in the tables, so none of their words backs off.
 
+``backoff_scores_by_rows`` is the same as plain relations: an n-gram is a row, the count tables and the
+join are Spark's. It writes several times as much to disk (figures in the README), so the query
+takes the parts.
+
 A word's score is the relative frequency of the longest n-gram that ends in it, has at most
 ``order`` words and occurs ``min_count`` times in the corpus, times ``backoff`` for each word that
 was dropped; single words always count. A document's score is the sum of the logarithms.
@@ -26,8 +30,9 @@ from pyspark.sql import functions as F
 
 from policylake.llm.parts import in_order, in_parts, key_group, numbers, pack_sorted, part_count, unpack_sorted, varints
 from policylake.llm.words import sequence_keys, split_words, window_starts, word_keys
+from policylake.session import materialize
 
-ORDER, MIN_COUNT, BACKOFF = 3, 2, 0.4
+ORDER, MIN_COUNT, BACKOFF = 3, 1, 0.4
 MESSAGE = "part int, grp int, n int, keys binary, counts binary"
 REPLY = "part int, grp int, n int, totals binary"
 ALL_WORDS = 0  # the "order" whose single key counts the corpus's words
@@ -140,3 +145,35 @@ def backoff_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", orde
         replies = replies.union(counted(dealt.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(following(n), MESSAGE)))
     out = dealt.groupBy("part").cogroup(replies.groupBy("part")).applyInArrow(score, f"_id {kind}, n_words bigint, log_score double")
     return out.select(F.col("_id").alias(id), "n_words", F.round("log_score", 4).alias("log_score"), F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)).alias("mean_score"))
+
+
+def backoff_scores_by_rows(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, backoff: float = BACKOFF) -> DataFrame:
+    """``backoff_scores`` with DataFrame operations only: n-grams are exploded, counted by key, joined back and summed per document.
+
+    Each word is a row with the keys of the n-grams that end in it; ``id`` need not be unique.
+    """
+    rows = materialize(docs.select(F.col(id).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text")))
+    words = F.filter(F.split(F.coalesce(F.col("_text"), F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    keyed = rows.select("_row", F.transform(words, lambda w: F.xxhash64(w)).alias("_w"))
+    exploded = keyed.select("_row", "_w", F.posexplode("_w").alias("_at", "_k1"))
+    gram = lambda first, n: F.get("_w", first) if n == 1 else F.xxhash64(*[F.get("_w", first + i) for i in range(n)])
+    grams = materialize(exploded.select(
+        "_row", "_at", "_k1", *[F.when(F.col("_at") >= n - 1, gram(F.col("_at") - (n - 1), n)).alias(f"_k{n}") for n in range(2, order + 1)],
+        *[F.when(F.col("_at") >= n, gram(F.col("_at") - n, n)).alias(f"_c{n}") for n in range(1, order)]))  # contexts: the n words before
+    scored = grams.withColumn("_score", F.lit(None).cast("double"))
+    total = grams.count()
+    tables = {n: materialize(grams.filter(f"_k{n} IS NOT NULL").groupBy(F.col(f"_k{n}").alias("_key")).agg(F.count("*").alias("_n"))) for n in range(1, order + 1)}
+    for n in range(order, 0, -1):
+        mine = tables[n].select(F.col("_key").alias(f"_k{n}"), F.col("_n").alias(f"_n{n}"))
+        scored = scored.join(mine, f"_k{n}", "left")
+        if n > 1:
+            scored = scored.join(tables[n - 1].select(F.col("_key").alias(f"_c{n - 1}"), F.col("_n").alias("_below")), f"_c{n - 1}", "left")
+            least = F.col(f"_n{n}") >= min_count
+        else:
+            scored, least = scored.withColumn("_below", F.lit(total)), F.lit(True)
+        dropped = F.least("_at", F.lit(order - 1)) - (n - 1)
+        value = F.log10(F.col(f"_n{n}") / F.col("_below")) + dropped * F.log10(F.lit(backoff))
+        scored = scored.withColumn("_score", F.coalesce("_score", F.when(least, value))).drop("_below", f"_n{n}", f"_k{n}")
+    sums = scored.groupBy("_row").agg(F.count("*").alias("n_words"), F.sum("_score").alias("log_score"))
+    out = rows.select("_id", "_row").join(sums, "_row", "left").select(F.col("_id").alias(id), F.coalesce("n_words", F.lit(0)).alias("n_words"), F.round(F.coalesce("log_score", F.lit(0.0)), 4).alias("log_score"))
+    return out.withColumn("mean_score", F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 6)))

@@ -390,13 +390,16 @@ def brute_scores(texts, order=3, least=2, backoff=0.4):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm(docs, rows, empty, order):
-    got = lm.backoff_scores(docs, order=order, part_bytes=30_000)
-    want = brute_scores([r[1] for r in rows], order)
-    pairs = zip(sorted((str(r["doc_id"]), r["n_words"], r["log_score"]) for r in got.collect()), sorted((str(r[0]), *w) for r, w in zip(rows, want)))
-    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 for a, b in pairs)
-    assert got.count() == len(rows) and lm.backoff_scores(empty).collect() == []
+@pytest.mark.parametrize("order, least", [(1, None), (2, 2), (3, 2), (3, None)])
+def test_lm(docs, rows, empty, order, least):
+    given = {} if least is None else {"min_count": least}  # by default every n-gram counts
+    want = brute_scores([r[1] for r in rows], order, least or 1)
+    for scores in (lambda df: lm.backoff_scores(df, order=order, part_bytes=30_000, **given), lambda df: lm.backoff_scores_by_rows(df, order=order, **given)):
+        got = scores(docs)
+        pairs = zip(sorted((str(r["doc_id"]), r["n_words"], r["log_score"]) for r in got.collect()), sorted((str(r[0]), *w) for r, w in zip(rows, want)))
+        assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-3 for a, b in pairs)
+        assert got.count() == len(rows) and scores(empty).collect() == []
+
 
 
 @pytest.mark.parametrize("frequent", [1 << 16, 1])
