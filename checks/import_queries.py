@@ -168,6 +168,19 @@ def read_files(spark, d):
     return read.select(content_hash("content").alias("content_hash"), F.col("length").cast("bigint").alias("length"), "kind", F.md5("decoded").alias("decoded_md5")).distinct()
 
 
+# Files of three kinds in one frame; cells with quotes, commas and line ends, blank rows, a broken file.
+@query("parse_documents", """
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('a | b', chr(10), text, ' | ', lang, chr(10), source, ' | "x" | ') WHEN 1 THEN concat('[', chr(10), '  {', chr(10), '    "lang": "', lang, '",', chr(10), '    "n": ', n_chars, chr(10), '  },', chr(10), '  null', chr(10), ']')
+  WHEN 2 THEN text ELSE '' END AS text, CASE WHEN doc_id % 4 = 0 THEN 3 END AS row_count, CASE WHEN doc_id % 4 = 1 THEN 2 END AS record_count, doc_id % 4 = 3 AS failed FROM documents""")
+def parse_documents(spark, d):
+    n, q = F.col("doc_id") % 4, lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = F.concat(F.lit("a,b\r\n"), q(F.col("text")), F.lit(","), "lang", F.lit("\r\n\r\n"), "source", F.lit(',"""x""",'))
+    docs = table(spark, d, "documents").withColumns({
+        "decoded": F.when(n == 0, rows).when(n == 1, F.concat(F.lit('[{"lang":"'), "lang", F.lit('","n":'), F.col("n_chars").cast("string"), F.lit("},null]"))).when(n == 2, F.col("text")).otherwise("{broken"),
+        "kind": F.when(n == 0, "csv").when(n == 2, "text").otherwise("json")}).drop("text")
+    return files.parse_documents(docs).select("doc_id", "text", "row_count", "record_count", F.col("error").isNotNull().alias("failed"))
+
+
 @query("envelope", """
 SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'failed' WHEN doc_id % 7 = 0 OR text = '' THEN 'ocr_required' ELSE 'processed' END AS status, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE length(text) END AS text_chars,
   CASE WHEN doc_id % 7 = 0 THEN '' ELSE substr(text, 1, 50) END AS text FROM documents""")

@@ -1,5 +1,7 @@
 """Operators against brute force on small frames, hot-key paths forced with low thresholds."""
 
+import csv
+import io
 import random
 import re
 
@@ -357,3 +359,15 @@ def test_staged_tables_go_with_their_owner(spark):
     assert not path_exists(spark, path)
     later = materialize(spark.range(3))
     assert path_exists(spark, later.inputFiles()[0])
+
+
+def test_csv_cells_as_a_csv_reader_has_them(spark):
+    rng = random.Random(8)
+    texts = ["", "a", "a\n", "\n\n", 'x,"y, ""z""",\r\n,\n"multi\nline",b', '"a"b,c"d"e', ",", '""', '"open, to the\nend', " , \nq", "a,b\n\n\nc"]
+    texts += ["".join(rng.choices(['a', 'é', '"', '""', ',', '\n', '\r\n', ' ', '"x",'], k=rng.randrange(0, 25))) for _ in range(300)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", files.csv_struct("t").alias("s")).select("i", "s.*")
+    want = {}
+    for i, t in enumerate(texts):
+        records = list(csv.reader(io.StringIO(t, newline="")))
+        want[i] = ("\n".join(" | ".join(r) for r in records if any(c.strip() for c in r)), max(0, len(records) - 1))
+    assert {r["i"]: (r["text"], r["row_count"]) for r in got.collect()} == want
