@@ -230,3 +230,17 @@ def test_filters_give_back_what_they_counted():
                 mine = of == g
                 again = packing.unpack(int(g), packing.pack(head[mine], tail[mine], counts[mine]))
                 assert all((x == y[mine]).all() for x, y in zip(again, (head, tail, counts)))
+
+
+def test_shards_as_sql_computes_them(spark):
+    """Jump hashing written as a recursive query."""
+    import duckdb
+
+    from conftest import SF
+    from policylake.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(f"SELECT doc_id, size, shard, grown_shard FROM ({queries.JUMP_SQL})").fetchall()
+    got = queries.QUERIES["op5_shards"](spark, SF).select("doc_id", "size", "shard", "grown_shard")
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want)
