@@ -77,3 +77,16 @@ def test_run_recorder(spark, tmp_path):
     got = {r["id"]: r for r in spark.read.parquet(f"{target}/0").collect()}
     assert got["1"]["last_run_status"] == "success" and (got["1"]["next_fetch_at"] - got["1"]["updated_at"]).total_seconds() == 3600
     assert got["2"]["last_error"] == "boom" and got["2"]["last_fetched_at"] is None
+
+
+def test_stream_throttle_over_batches_whose_windows_expire(spark, tmp_path):
+    """Three micro-batches hours apart: state of the first is gone, by its timer, when the third comes."""
+    rng = random.Random(5)
+    data = [(100 * batch + i, f"k{i % 3}", 1_700_000_000 + batch * 7_200 + rng.randrange(60)) for batch in range(3) for i in range(90)]
+    df = spark.createDataFrame(data, "id int, k string, s bigint").withColumn("ts", F.timestamp_seconds("s"))
+    for batch in range(3):
+        df.filter(F.col("id").between(100 * batch, 100 * batch + 99)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    drain(stream_throttle(stream, "k", "ts", "id", 3, 20, watermark="1 minute"), "expiring", "append")
+    names = ("id", "window_start_us", "request_no", "allowed", "retry_after")
+    assert rows(spark.table("expiring").select(*names).fillna(-1)) == rows(throttle(df, "k", "ts", "id", 3, 20).select(*names).fillna(-1))
