@@ -39,6 +39,26 @@ def policy_search(spark, d):
     return out.select("id", "rule_id", "title", "category", F.col("updated_at").cast("string").alias("updated_at"), "content_snippet")
 
 
+# All three levels at once: each is met by its own column or by the name or title that may hold it.
+_PLACED = """placed AS (SELECT * EXCLUDE (jurisdiction_city, jurisdiction_district, title), CASE WHEN n % 3 = 0 THEN '广州市' WHEN n % 3 = 1 THEN '深圳市' END AS jurisdiction_city,
+  CASE WHEN n % 4 = 0 THEN '天河区' END AS jurisdiction_district, concat(title, CASE WHEN n % 5 = 0 THEN ' 广州市' ELSE '' END, CASE WHEN n % 7 = 0 THEN ' 天河区' ELSE '' END) AS title
+  FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS n FROM policies))"""
+
+
+@query("policy_place_search", f"""
+WITH {cte('policies', 'subsidy_rules', 'evidence')}, {_PLACED}, snip AS (SELECT policy_id, min_by(quote, (created_at, id)) AS content_snippet FROM evidence GROUP BY policy_id)
+SELECT p.id, r.id AS rule_id, p.title, content_snippet FROM placed p LEFT JOIN subsidy_rules r ON r.policy_id = p.id LEFT JOIN snip s ON s.policy_id = p.id
+WHERE p.status = 'active' AND (p.jurisdiction_name = '广东省' OR contains(p.title, '广东省')) AND (coalesce(p.jurisdiction_city = '广州市', false) OR contains(p.jurisdiction_name, '广州市') OR contains(p.title, '广州市'))
+  AND (coalesce(p.jurisdiction_district = '天河区', false) OR contains(p.title, '天河区'))""")
+def policy_place_search(spark, d):
+    n = F.substr("id", F.lit(2)).cast("bigint")
+    policies = adapt(spark, d, "policies").withColumns({
+        "jurisdiction_city": F.when(n % 3 == 0, "广州市").when(n % 3 == 1, "深圳市"), "jurisdiction_district": F.when(n % 4 == 0, "天河区"),
+        "title": F.concat("title", F.when(n % 5 == 0, " 广州市").otherwise(""), F.when(n % 7 == 0, " 天河区").otherwise(""))})
+    out = search.search_policies(policies, adapt(spark, d, "subsidy_rules"), adapt(spark, d, "evidence"), province="广东省", city="广州市", district="天河区")
+    return out.select("id", "rule_id", "title", "content_snippet")
+
+
 @query("policy_rule_join", f"""
 WITH {cte('policies', 'subsidy_rules')} SELECT p.id, r.id AS rule_id, p.status, r.category, r.rate, r.cap_amount FROM policies p LEFT JOIN subsidy_rules r ON r.policy_id = p.id""")
 def policy_rule_join(spark, d):
