@@ -1,7 +1,9 @@
 """Toxicity as an ordinal grade: cumulative-link regression over sparse text features.
 
-A text's features are the hashed character sequences of its words (``GRAM`` bytes, the start of a
-word being one of them), present or not. One weight a feature and ordered thresholds give
+A text's features, present or not and hashed, are the character sequences of its words (``GRAM``
+bytes, the start of a word being one of them), its words that are too short for one, and its pairs of
+neighbouring words of at most ``GRAM`` bytes each. Features are chosen for speaking for toxicity, and no weight is negative: a text
+can't buy off a toxic word with harmless ones. One weight a feature and ordered thresholds give
 ``P(grade <= k) = 1 / (1 + exp(score - threshold[k]))``: the weights are shared by all thresholds.
 The expected grade is the sum of ``P(grade > k)``.
 
@@ -26,40 +28,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from policylake.llm.words import ALNUM, by_bytes, flat
+from policylake.llm.words import ALNUM, by_bytes, mix, split_words, word_keys
 
 GRAM = 5
-BITS = 20  # features are hashed to so many bits
+BITS = 22  # features are hashed to so many bits
+_BYTE, _SPACE = np.uint64(8), np.uint64(0x20)
 SUPPORT, ODDS = 8, 2.5  # labelled texts that hold a feature, and its log odds for toxic ones, at least
 
 
 def text_features(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each feature: its document and its number; the words of each document; each feature's word."""
-    data, offsets = flat(column)
-    data = ALNUM[data]
-    inside = data != 0x20
-    start = inside.copy()
-    start[1:] &= ~inside[:-1]
-    at = offsets[offsets < len(data)]
-    start[at] = inside[at]
-    word = np.cumsum(start) - 1
-    count = np.diff(np.concatenate([[0], np.cumsum(start)])[offsets])
-    padded = np.concatenate([np.full(1, 0x20, np.uint8), data, np.full(8, 0x20, np.uint8)])
-    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    """For each feature: its document and its number; the words of each document; each feature's word (of a pair, the first)."""
+    words = split_words(column, ALNUM)
+    lengths = words.ends - words.starts
+    padded = np.concatenate([words.data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))  # the 8 bytes from each place
     mask = np.uint64((1 << (8 * GRAM)) - 1)
-    last = GRAM - 1
-    same = np.zeros(len(data), bool)  # a whole sequence of one word begins here
-    if len(data) >= GRAM:
-        same[: len(data) - last] = inside[last:] & inside[: len(data) - last] & (word[last:] == word[: len(data) - last])
-    whole = np.flatnonzero(same)
-    short = np.zeros(len(data), bool)  # a word's start and its first bytes
-    if len(data) >= last:
-        short[: len(data) - last + 1] = start[: len(data) - last + 1] & inside[last - 1:] & (word[last - 1:] == word[: len(data) - last + 1])
-    head = np.flatnonzero(short)
-    keys = np.concatenate([eight[whole + 1] & mask, ((eight[head + 1] << np.uint64(8)) | np.uint64(0x20)) & mask])
-    numbers = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
-    places = np.concatenate([whole, head])
-    return np.searchsorted(offsets, places, side="right") - 1, numbers, count, word[places]
+    inner = np.maximum(lengths - GRAM + 1, 0)
+    of = np.repeat(np.arange(len(words)), inner)
+    grams = eight[words.starts[of] + np.arange(len(of)) - np.repeat(np.cumsum(inner) - inner, inner)] & mask
+    long, short = np.flatnonzero(lengths >= GRAM - 1), np.flatnonzero(lengths < GRAM - 1)
+    heads = ((eight[words.starts[long]] << _BYTE) | _SPACE) & mask
+    size = lengths[short].astype(np.uint64) * _BYTE
+    alone = ((eight[words.starts[short]] & ((np.uint64(1) << size) - np.uint64(1))) << _BYTE) | _SPACE | (_SPACE << (size + _BYTE))
+    follows = np.ones(len(words), bool)
+    follows[words.first[:-1][words.counts() > 0]] = False
+    follows[1:] &= (lengths[1:] <= GRAM) & (lengths[:-1] <= GRAM)
+    second = np.flatnonzero(follows)
+    known = word_keys(words)
+    pairs = mix(known[second - 1], known[second])
+    numbers = ((np.concatenate([grams, heads, alone, pairs]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
+    places = np.concatenate([of, long, short, second - 1])
+    return np.searchsorted(words.first, places, side="right") - 1, numbers, words.counts(), places
 
 
 @dataclass

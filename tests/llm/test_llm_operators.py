@@ -297,6 +297,65 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.severity(empty, model).collect() == [] and toxicity.learn(empty, labels).weights.sum() == 0
 
 
+def brute_features(text):
+    """Distinct features of a text, spelled out: ("gram", 5 bytes) or ("pair", two words)."""
+    found = [w.encode() for w in ALNUM.findall((text or "").translate(UPPER))]
+    out = set()
+    for w in found:
+        out |= {w[i: i + 5] for i in range(len(w) - 4)} | {b" " + w[:4] if len(w) > 3 else b" " + w + b" "}
+    return out | {(a, b) for a, b in zip(found, found[1:]) if len(a) <= 5 and len(b) <= 5}
+
+
+def feature_number(feature):
+    wrap = (1 << 64) - 1
+    if isinstance(feature, tuple):
+        a, b = (int(words.word_keys(words.split_words(pa.array([w.decode()])))[0]) for w in feature)
+        h = (a * 0x9E3779B97F4A7C15 + b) * 0xC2B2AE3D27D4EB4F & wrap
+        h = (h ^ h >> 29) * 0x9E3779B97F4A7C15 & wrap
+        key = h ^ h >> 32
+    else:
+        key = int.from_bytes(feature, "little")
+    return (key * 0x9E3779B97F4A7C15 & wrap) >> (64 - toxicity.BITS)
+
+
+def test_toxicity_scores_against_brute_force(spark, docs, rows):
+    wanted = sorted({f for r in rows[:45] for f in brute_features(r[1])} | {b" so ", (b"so", b"so"), (b"too", b"short")}, key=str)
+    telling = random.Random(9).sample(wanted, 300) + [b" so ", (b"so", b"so"), (b"too", b"short")]
+    weights = np.zeros(1 << toxicity.BITS)
+    for i, feature in enumerate(telling):
+        weights[feature_number(feature)] = (i % 7 + 1) / 8  # sums are exact
+    model = toxicity.Model(weights, np.array([1.0, 3.0, 9.0]))
+
+    def brute(text):
+        score = sum(weights[n] for n in {feature_number(f) for f in brute_features(text)})
+        above = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        return round(score, 6), sum(p >= 0.5 for p in above)
+
+    want = {t: brute(t) for t in {r[1] for r in rows}}
+    got = toxicity.severity(docs, model)
+    assert len({grade for _, grade in want.values()}) == 4
+    assert bag(got, "doc_id", "score", "grade", "toxic") == collections.Counter((r[0], *want[r[1]], want[r[1]][1] > 0) for r in rows)
+
+
+@pytest.mark.parametrize("bad", ["oaf", "x", "go eat rot", "you are it"])
+def test_toxic_short_words_and_phrases(bad):
+    rng = random.Random(6)
+    clean = ["go", "eat", "rot", "you", "are", "it"] + [f"w{i}" for i in range(40)]
+
+    def text(toxic):
+        while True:
+            found = rng.choices(clean, k=rng.randrange(8, 30))
+            at = rng.randrange(len(found))
+            out = " ".join(found[:at] + bad.split() * toxic + found[at:])
+            if toxic or not any(" ".join(p) in out for p in zip(bad.split(), bad.split()[1:])):
+                return out
+
+    data = [(text(i % 4 == 0), float(i % 4 == 0)) for i in range(1200)]
+    model = toxicity.fit(pa.array([t for t, _ in data[:600]]), np.array([y for _, y in data[:600]]))
+    grades = (model.above(model.scores(pa.array([t for t, _ in data[600:]]))) >= 0.5).sum(1)
+    assert np.mean((grades > 0) == [y > 0 for _, y in data[600:]]) > 0.97
+
+
 def test_ordinal_regression_recovers_order():
     rng = np.random.default_rng(3)
     grades = rng.integers(0, 4, 800)
