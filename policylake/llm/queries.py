@@ -63,16 +63,18 @@ MIX_SQL = """
 WITH sized AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS bytes FROM documents),
 sizes AS (SELECT source, CAST(sum(bytes) AS BIGINT) AS size FROM sized GROUP BY source),
 totals AS (SELECT sum(size) AS all_bytes, sum(pow(CAST(size AS DOUBLE), 0.5)) AS all_weights FROM sizes),
-rates AS (SELECT source, pow(CAST(size AS DOUBLE), 0.5) * (all_bytes / all_weights) / size AS rate FROM sizes, totals),
+means AS (SELECT source, pow(CAST(size AS DOUBLE), 0.5) * (all_bytes / all_weights) / size AS mean FROM sizes, totals),
+rates AS (SELECT source, draws, mean / draws AS rate FROM (SELECT *, CAST(greatest(1, ceil(mean / 32)) AS BIGINT) AS draws FROM means)),
 terms AS (SELECT source, k, exp(-rate + sum(CASE WHEN k = 0 THEN 0 ELSE ln(rate) - ln(CAST(k AS DOUBLE)) END) OVER (PARTITION BY source ORDER BY k)) AS p
           FROM (SELECT source, rate, unnest(generate_series(0, CAST(ceil(rate + 12 * sqrt(rate) + 30) AS BIGINT))) AS k FROM rates)),
 steps AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS step FROM terms),
 hashed AS (SELECT doc_id, text, lang, source, n_chars, md5(concat_ws('|', '1', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))) AS h FROM documents),
-drawn AS (SELECT *, CAST(concat('0x', substr(h, 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM hashed),
+draws AS (SELECT h.doc_id, h.source, h.h, unnest(generate_series(0, r.draws - 1)) AS k FROM hashed h JOIN rates r ON r.source IS NOT DISTINCT FROM h.source),
+drawn AS (SELECT doc_id, source, h, CAST(concat('0x', substr(CASE WHEN k = 0 THEN h ELSE md5(concat_ws('|', h, 'draw', CAST(k AS VARCHAR))) END, 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM draws),
 counted AS (SELECT d.doc_id, d.h, count(s.k) AS n FROM drawn d JOIN steps s ON s.source IS NOT DISTINCT FROM d.source AND s.step <= d.u GROUP BY d.doc_id, d.h),
 copies AS (SELECT doc_id, h, unnest(generate_series(0, n - 1)) AS replica FROM counted)
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, CAST(c.replica AS INTEGER) AS replica, md5(concat_ws('|', c.h, CAST(c.replica AS VARCHAR))) AS shuffle_key
-FROM copies c JOIN drawn d ON d.h = c.h AND d.doc_id IS NOT DISTINCT FROM c.doc_id
+FROM copies c JOIN hashed d ON d.h = c.h AND d.doc_id IS NOT DISTINCT FROM c.doc_id
 """
 
 

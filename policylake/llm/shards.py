@@ -1,8 +1,9 @@
 """Shards by jump consistent hashing: a stable key and the number of shards decide, without a table.
 
 With one more shard a row either stays or moves to the new one. Slots number the rows of a shard
-without gaps: blocks of a shard (other bits of the key) are numbered by themselves and start where
-the blocks before them end, so no task sees a whole shard.
+without gaps: blocks of a shard (a hash of key and text) are numbered by themselves and start where
+the blocks before them end, so no task sees a whole shard, nor all rows of one key. Rows that are
+equal in key, size and checksum are counted first and numbered as one run.
 
 Defined cases: a null key counts as the empty string; null texts have no bytes; equal keys land in
 one shard, and their rows are told apart by text only for the order of slots; an empty table gives
@@ -16,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+RUN = 4096  # equal rows that are numbered from one array
 STEP = np.uint64(2862933555777941757)  # fixed value: the generator of the published method
 
 
@@ -52,15 +54,18 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     if shards < 1:
         raise ValueError("at least one shard")
     blocks = max(1, -(-docs.count() // (shards * block_rows)) * 2)
-    base = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), stable_key(F.col(key)).alias("_hash"))
-    base = base.withColumns({"shard": shard_of(F.col("_hash"), shards), "grown_shard": shard_of(F.col("_hash"), shards + 1), "_block": F.pmod(F.xxhash64("_hash"), F.lit(blocks))})
-    sizes = base.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).alias("_key"), (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(F.encode(body, "utf-8")).alias("text_crc32"))
+    runs = rows.groupBy("_key", "size", "text_crc32").agg(F.count("*").alias("_n")).withColumn("_hash", stable_key(F.col("_key")))
+    runs = runs.withColumns({"shard": shard_of(F.col("_hash"), shards), "grown_shard": shard_of(F.col("_hash"), shards + 1), "_block": F.pmod(F.xxhash64("_hash", "text_crc32", "size"), F.lit(blocks))})
+    sizes = runs.groupBy("shard", "_block").agg(F.sum("_n").alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rows = base.select("_key", (F.octet_length("_text") + 1).cast("bigint").alias("size"), F.crc32(F.encode("_text", "utf-8")).alias("text_crc32"), "shard", "grown_shard", "_block")
-    inside = Window.partitionBy("shard", "_block").orderBy("_key", "text_crc32", "size")
-    numbered = rows.withColumn("_at", F.row_number().over(inside) - 1).join(offsets, ["shard", "_block"])
-    return numbered.select(F.col("_key").alias(key), "size", "text_crc32", "shard", (F.col("_before") + F.col("_at")).alias("slot"), "grown_shard")
+    offsets = sizes.select("shard", "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("shard", "_block").orderBy("_key", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = runs.withColumn("_at", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offsets, ["shard", "_block"])
+    pieces = placed.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / RUN))))
+    numbered = pieces.withColumn("_row", F.explode(F.sequence(F.col("_piece") * RUN, F.least(F.col("_n"), (F.col("_piece") + 1) * RUN) - 1)))
+    return numbered.select(F.col("_key").alias(key), "size", "text_crc32", "shard", (F.col("_before") + F.col("_at") + F.col("_row")).alias("slot"), "grown_shard")
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", shards: int = 16, files: int = 1) -> None:

@@ -250,6 +250,33 @@ def test_mixing(spark, docs, rows, empty):
     assert all(abs(m - 1) < 1e-9 for m in means.values()) and len(means) == 3
 
 
+def test_mixing_large_rates(spark):
+    rows = [(i, f"text {i}", "small" if i < 6 else "large") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = mixing.mix(docs, weights={"small": 9.0, "large": 1.0}, repeat=7.0)
+    size = collections.Counter()
+    for r in rows:
+        size[r[2]] += len(r[1]) + 1
+    want = collections.Counter()
+    for i, text, source in rows:
+        rate = {"small": 0.9, "large": 0.1}[source] * 7 * sum(size.values()) / size[source]
+        draws = max(1, math.ceil(rate / 32))
+        h = hashlib.md5(f"1|{i}|{hashlib.md5(text.encode()).hexdigest()}".encode()).hexdigest()
+        for d in range(draws):
+            u = int((hashlib.md5(f"{h}|draw|{d}".encode()).hexdigest() if d else h)[:13], 16) / 2**52
+            p = total = math.exp(-rate / draws)
+            k = 0
+            while u >= total:
+                k += 1
+                p *= rate / draws / k
+                total += p
+            want[i] += k
+    assert collections.Counter(r["doc_id"] for r in got.select("doc_id").collect()) == +want
+    assert bag(got, "doc_id", "replica") == collections.Counter((i, k) for i, n in want.items() for k in range(n))
+    steps = {r["_source"]: (r["_rate"], r["_draws"], len(r["_steps"])) for r in mixing.source_rates(docs, weights={"small": 1.0}, repeat=50_000.0).collect()}
+    assert steps["small"][0] > 900_000 and steps["small"][1] > 30_000 and steps["small"][2] < 160 and steps["large"][:2] == (0, 1)
+
+
 def test_poisson_steps(spark):
     for mean in (0.3, 4.0, 900.0):
         steps = spark.range(1).select(mixing.poisson_steps(F.lit(mean)).alias("s")).first()["s"]
@@ -275,6 +302,15 @@ def test_shards(docs, rows, empty):
     assert all(r["grown_shard"] in (r["shard"], 5) for r in got) and shards.assign(empty).collect() == []
 
 
+def test_shards_hot_key_and_equal_rows(spark):
+    rows = spark.range(30_000).selectExpr("IF(id % 3 = 0, NULL, id) AS doc_id", "IF(id % 2 = 0, 'same', concat('text ', id)) AS text", "id AS slot")
+    got = shards.assign(rows, shards=3, block_rows=100)
+    assert bag(got, "doc_id", "size", "text_crc32") == bag(rows.selectExpr("doc_id", "octet_length(text) + 1 AS size", "crc32(text) AS text_crc32"), "doc_id", "size", "text_crc32")
+    for s, n, least, most, distinct in got.groupBy("shard").agg(F.count("*"), F.min("slot"), F.max("slot"), F.countDistinct("slot")).collect():
+        assert (least, most, distinct) == (0, n - 1, n)
+    assert got.filter("doc_id IS NULL").agg(F.countDistinct("shard")).first()[0] == 1
+
+
 def test_write_shards(spark, docs, rows, tmp_path):
     shards.write_shards(docs, str(tmp_path / "s"), shards=4, files=2)
     assert bag(spark.read.parquet(str(tmp_path / "s")), *docs.columns) == collections.Counter(rows)
