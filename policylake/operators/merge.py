@@ -97,17 +97,15 @@ def mark_duplicates(df: DataFrame, key: str = "dedup_key", order: str = "created
                     hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds the earliest *other* row with the same key: the first row points at the second.
 
-    First and second row per key come from two mergeable aggregates (minimum, then minimum above
-    it); the lookups are salted for keys with very many rows. Rows with a blank key have no
-    duplicate and take no part in any of it.
+    A ranking limited to two sends at most the first two rows of a key from each task; the lookups
+    are salted for keys with very many rows. Rows with a blank key have no duplicate and take no part
+    in any of it.
     """
     blank = F.coalesce(F.col(key), F.lit("")) == ""
-    narrow = df.select(key, order, id_col).filter(~blank)
-    keyed = narrow.select(key, F.struct(F.col(order).alias("at"), F.col(id_col).alias("id")).alias("_s"))
-    firsts = keyed.groupBy(key).agg(F.min("_s").alias("_first"), F.count("*").alias("_n")).filter(F.col("_n") > 1).drop("_n")
-    rest = skew_join(keyed, firsts, [key], "inner", ["_s"], hot_rows).filter(F.col("_s") > F.col("_first"))
-    pairs = rest.groupBy(key).agg(F.first("_first").alias("_first"), F.min("_s").alias("_second"))
-    facts = pairs.select(key, F.col("_first.id").alias("_id1"), F.col("_second.id").alias("_id2"))
+    narrow = materialize(df.select(key, order, id_col).filter(~blank))  # the key may be costly and is read three times
+    at = F.dense_rank().over(Window.partitionBy(key).orderBy(order, id_col))
+    two = narrow.withColumn("_at", at).filter("_at <= 2")
+    facts = two.groupBy(key).agg(F.min_by(id_col, "_at").alias("_id1"), F.max_by(id_col, "_at").alias("_id2"), F.max("_at").alias("_n")).filter("_n > 1").drop("_n")
     kept = [c for c in df.columns if c != out]
     joined = skew_join(df.filter(~blank), facts, [key], "left", [id_col], hot_rows, keys_from=narrow)
     marked = joined.withColumn(out, F.when(F.col(id_col) == F.col("_id1"), F.col("_id2")).otherwise(F.col("_id1"))).select(*kept, out)
