@@ -171,3 +171,23 @@ def test_first_of_each_meta_and_title(spark):
     page = "<!-- <title>old</title> --><title>new</title><meta property=og:title><meta content='og' property='og:title'><meta content='' name=PubDate><meta name=publishdate content=d2><h1>He<b>l</b>lo"
     got = spark.createDataFrame([(page,)], "html string").select(page_struct("html").alias("p")).select("p.*").first()
     assert (got["title"], got["heading"], got["og_title"], got["published_at_meta"]) == ("new", "Hello", "og", "")
+
+
+def test_cells_evaluate_their_patterns_once(spark):
+    """``nullif`` in branches and lambdas ran nested patterns many times over; odd places keep the matches of the full patterns."""
+    from policylake.functions import extract as X
+
+    texts = ["商办〔2026〕12号", "文一二三四五六七八九十甲乙[2026] 第3 号", "自12026年1月2日起至2027年3月4日", "x自  　2026年1月2日至 2026年3月4日", "于\t2026年1月2日起施行，至2026年5月6日",
+             "税 7.5 %，按12.5%补贴", "每户3元", "补 5元", "国家发改委财政厅", "市场监管总局", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    full = lambda pattern, i=0: F.nullif(F.regexp_extract(t, pattern, i), F.lit(""))
+    dates = X.effective_dates(t)
+    start = F.when(full(X.DATE_RANGE).isNull(), full(X.DATE_FROM))
+    pairs = {"doc_no": (X.doc_number(t)["value"], full(X.DOC_NO, 1)), "issuer": (X.issuer(t)["value"], full(X.ISSUER, 1)), "fixed": (X.fixed_amount(t)["quote"], full(X.FIXED)),
+             "from": (dates["from"]["quote"], X.T.compact(F.coalesce(full(X.DATE_RANGE), start))), "rate": (X.percentage(t)["quote"], F.coalesce(full(X.RATE_PREFIX), full(X.RATE_SUFFIX)))}
+    for name, (got, want) in pairs.items():
+        rows = df.select("t", got.alias("got"), want.alias("want")).collect()
+        assert [r["got"] for r in rows] == [r["want"] for r in rows], name
+    plan = df.select(X.doc_number(t).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(t#") == 1
