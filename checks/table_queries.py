@@ -15,6 +15,7 @@ from policylake.functions.keys import dedup_key
 from policylake.functions.text import policy_level, policy_status
 from policylake.functions.urls import resolve_url
 from policylake.operators import dictionary, exports, imports, merge, ordering, reports, schedule, search, validation
+from policylake.session import materialize
 from policylake.sources.catalog import table_counts
 from policylake.sources.html import extract_links
 from policylake.sources.packs import lines_to_records
@@ -210,7 +211,8 @@ def dictionary_labels(spark, d):
     words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("keyword")).distinct()
     rules = words.select("keyword", F.length("keyword").alias("rule_no"), F.col("keyword").alias("keyword_no"), F.right("keyword", F.lit(3)).alias("label"), F.length("keyword").alias("points"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return dictionary.first_label(docs, "doc_id", "text", rules).join(dictionary.weighted_hits(docs, "doc_id", "text", rules), "doc_id").select("doc_id", "label", "keyword", "hits", "points")
+    found = materialize(dictionary.find_words(docs, "doc_id", "text", rules, "keyword"))
+    return dictionary.first_label(docs, "doc_id", "text", rules, found).join(dictionary.weighted_hits(docs, "doc_id", "text", rules, found), "doc_id").select("doc_id", "label", "keyword", "hits", "points")
 
 
 @query("dictionary_relevance", f"""

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,24 @@ def test_dictionary_of_any_size_equals_plain_search(spark):
     assert rows(dictionary.weighted_hits(df, "id", "t", table)) == sorted((i, len(h), sum(r[4] for r in h)) for i, h in held.items() if h)
 
 
+def test_long_words_meet_the_texts_that_hold_them(spark):
+    words = ["abcdefgh", "以旧换新", "bcd", "换新", "é"]
+    texts = ["abc bcd cde def efg fgh bcdefgh", "xabcdefghx", "以旧 旧换 换新", "x以旧换新", "", None]
+    body = spark.createDataFrame(list(enumerate(texts)), "_id int, _text string")
+    keys, sizes = dictionary._word_keys(spark.createDataFrame([(w,) for w in words], "word string"), "word")
+    assert sizes == [2, 3, 6, 7]
+    met = dictionary._key_rows(body, sizes).join(keys, "_gram").select("_id", "_word")
+    assert rows(met) == sorted((i, w) for i, t in enumerate(texts) for w in words if w in (t or ""))  # 3-grams alone meet more
+    column = pa.array([*texts, "ab" * 9, "éé"] * 3).slice(2, 20)
+    for size in dictionary.SIZES:
+        want = [sorted({int.from_bytes(t[i: i + size], "little") | size << 56 for i in range(len(t) - size + 1)}) for t in ((x.as_py() or "").encode() for x in column)]
+        assert dictionary._byte_keys(column, size).to_pylist() == want
+    found = dictionary.find_words(body, "_id", "_text", keys, "_word").withColumnRenamed("_word", "keyword")
+    rules = spark.createDataFrame([(i, 0, w, w, 2) for i, w in enumerate(words)], "rule_no int, keyword_no int, label string, keyword string, points int")
+    assert rows(dictionary.first_label(body, "_id", "_text", rules, found)) == rows(dictionary.first_label(body, "_id", "_text", rules))
+    assert rows(dictionary.weighted_hits(body, "_id", "_text", rules, found)) == [(0, 1, 2), (1, 2, 4), (2, 1, 2), (3, 2, 4)]
+
+
 def test_dictionary_table_equals_the_literal_form(spark):
     rng = random.Random(3)
     words = [w for rule in R.CATEGORY_RULES for w in rule.keywords]
