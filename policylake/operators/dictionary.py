@@ -158,7 +158,7 @@ def keyword_points(texts: DataFrame, id: str, title: str, text: str, words: Data
     met = _meetings(both, "_key", F.concat_ws("\n", "_title", "_body"), words, "word", ("_title", "_body")).join(words.withColumnRenamed("word", "_word"), "_word")
     rule = F.struct(F.col("_word").alias("word"), F.col("weight").alias("weight"))
     scored = met.withColumn("_points", let(F.struct(rule.alias("r"), "_title", "_body"), lambda b: rule_points(b["r"], b["_title"], b["_body"], b["_body"])))
-    return scored.filter("_points IS NOT NULL").groupBy(F.col("_id").alias(id)).agg(F.count("*").alias("hits"), F.sum("_points").alias("points"))
+    return scored.groupBy(F.col("_id").alias(id)).agg(F.count("_points").alias("hits"), F.sum("_points").alias("points")).filter("hits > 0")  # a filter on the points would find them twice
 
 
 def lookup_contains(needles: DataFrame, needle: str, dim: DataFrame, haystack: str, order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
