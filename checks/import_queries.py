@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.adapters import PROVINCES, S, _case, adapt, cte
-from checks.registry import query, table
+from checks.registry import query, table, write_files
 from policylake import rules as R
 from policylake import schemas
 from policylake.functions.extract import envelope
@@ -163,7 +163,7 @@ def export_files(spark, d):
 def read_files(spark, d):
     """Every page's URL as a file: listed, routed, hashed and decoded."""
     path = new_folder(spark, "files")
-    table(spark, d, "pages").select("page_id", "url").write.partitionBy("page_id").text(path)
+    write_files(table(spark, d, "pages"), "url", path)
     read = files.decode_bytes_df(files.route_documents(files.read_files(spark, path, "*.txt")))
     return read.select(content_hash("content").alias("content_hash"), F.col("length").cast("bigint").alias("length"), "kind", F.md5("decoded").alias("decoded_md5")).distinct()
 
