@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from checks.registry import write_files
 from policylake.operators.schedule import throttle
 from policylake.sources import files
 from policylake.streaming import documents as SD
@@ -90,3 +91,20 @@ def test_stream_throttle_over_batches_whose_windows_expire(spark, tmp_path):
     drain(stream_throttle(stream, "k", "ts", "id", 3, 20, watermark="1 minute"), "expiring", "append")
     names = ("id", "window_start_us", "request_no", "allowed", "retry_after")
     assert rows(spark.table("expiring").select(*names).fillna(-1)) == rows(throttle(df, "k", "ts", "id", 3, 20).select(*names).fillna(-1))
+
+
+def test_files_of_rows_share_folders(spark, tmp_path):
+    lines = [f"https://x{i % 9}.example.com/" for i in range(40)] + [None]
+    write_files(spark.createDataFrame([(t,) for t in lines], "url string").coalesce(2), "url", str(tmp_path / "out"), per_folder=15)
+    read = files.read_files(spark, str(tmp_path / "out"), "*.txt").collect()
+    assert sorted(bytes(r["content"]).decode() for r in read) == sorted(f"{t or ''}\n" for t in lines)  # equal rows are files of their own
+    assert 3 <= len({r["path"].rsplit("/", 1)[0] for r in read}) <= 4
+
+
+def test_a_batch_of_small_files_is_read_in_few_tasks(spark, tmp_path):
+    write_files(spark.range(300).select(F.col("id").cast("string").alias("t")), "t", str(tmp_path / "in"))
+    seen = []
+    write = lambda docs, batch: seen.append((docs.rdd.getNumPartitions(), docs.count()))
+    SD.stream_documents(SD.read_file_stream(spark, str(tmp_path / "in")), write, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert [n for _, n in seen] == [300] and seen[0][0] <= 2 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != str(SD.SMALL_FILE)  # only the stream's copy of the session has it
