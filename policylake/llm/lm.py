@@ -38,12 +38,39 @@ REPLY = "part int, grp int, n int, totals binary"
 ALL_WORDS = 0  # the "order" whose single key counts the corpus's words
 
 
+TEXT = "part int, _id {kind}, _text binary, _hash bigint"
+
+
+def _deflated(batches):
+    """Rows with their texts deflated, as they travel."""
+    for batch in batches:
+        texts = pa.array([zlib.compress(x) for x in batch.column(2).cast(pa.binary()).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts, batch.column(3)], ["part", "_id", "_text", "_hash"])
+
+
+def _texts(column: pa.ChunkedArray) -> pa.Array:
+    texts = [zlib.decompress(x) for x in column.to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts], dtype=np.int64)])
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(texts))])
+
+
+def _pack(keys: np.ndarray) -> bytes:
+    """``pack_sorted`` with the four high byte planes deflated: the highest one that isn't zero has a few bits a key."""
+    planes = pack_sorted(keys)
+    return planes[: 4 * len(keys)] + zlib.compress(planes[4 * len(keys):], 1) + len(keys).to_bytes(8, "little")
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    low = 4 * int.from_bytes(blob[-8:], "little")
+    return unpack_sorted(blob[:low] + zlib.decompress(blob[low:-8]))
+
+
 class _Part:
     """N-grams of a part's documents, and what the count tables say about them so far."""
 
     def __init__(self, table: pa.Table, replies: pa.Table | None, min_count: int):
         self.table = in_order(table)
-        self.words = split_words(self.table["_text"])
+        self.words = split_words(_texts(self.table["_text"]))
         self.keys = word_keys(self.words)
         self.min_count = min_count
         self.answers: dict[int, np.ndarray] = {}
@@ -78,9 +105,9 @@ class _Part:
         _, keys, first, sizes = self.grams(n)
         keys = keys[first]
         cuts = np.searchsorted(key_group(keys, groups), np.arange(groups + 1))
-        rows = [(g, n, pack_sorted(keys[a:b]), zlib.compress(varints(sizes[a:b])[0].tobytes(), 1)) for g, a, b in zip(range(groups), cuts[:-1], cuts[1:]) if b > a]
+        rows = [(g, n, _pack(keys[a:b]), zlib.compress(varints(sizes[a:b])[0].tobytes(), 1)) for g, a, b in zip(range(groups), cuts[:-1], cuts[1:]) if b > a]
         if n == 1:
-            rows.append((0, ALL_WORDS, pack_sorted(np.zeros(1, np.uint64)), zlib.compress(varints(np.array([len(self.words)]))[0].tobytes(), 1)))
+            rows.append((0, ALL_WORDS, _pack(np.zeros(1, np.uint64)), zlib.compress(varints(np.array([len(self.words)]))[0].tobytes(), 1)))
         return _message(self.table["part"][0].as_py(), rows)
 
     def scores(self, order: int, backoff: float) -> np.ndarray:
@@ -104,7 +131,7 @@ def _message(part: int, rows: list) -> pa.Table:
 
 def count_table(table: pa.Table) -> pa.Table:
     """Totals of a group's n-grams over all parts, for each part in the order of its keys."""
-    keys = [unpack_sorted(x) for x in table["keys"].to_pylist()]
+    keys = [_unpack(x) for x in table["keys"].to_pylist()]
     every, counts = np.concatenate(keys), np.concatenate([numbers(zlib.decompress(x)) for x in table["counts"].to_pylist()])
     order = np.argsort(every, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], np.diff(every[order]) != 0]))
@@ -119,7 +146,7 @@ def backoff_scores(docs: DataFrame, id: str = "doc_id", text: str = "text", orde
     kind = docs.schema[id].dataType.simpleString()
     parts = part_count(docs, text, part_bytes)
     groups = max(1, parts * 3 // 2)  # keeps a group's keys well below a part's memory
-    dealt = in_parts(docs, id, text, parts)
+    dealt = in_parts(docs, id, text, parts).mapInArrow(_deflated, TEXT.format(kind=kind))
 
     def first(table: pa.Table) -> pa.Table:
         return _Part(table, None, min_count).message(1, groups)

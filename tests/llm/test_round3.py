@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from policylake.llm import infill, jaccard
+from policylake.llm import infill, jaccard, lm, parts
 from test_llm_operators import SCHEMA, UPPER, WORD, bag, brute_components, docs, empty, rows  # noqa: F401  fixtures too
 
 TOKEN = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
@@ -244,3 +244,14 @@ def test_shards_as_sql_computes_them(spark):
     want = con.execute(f"SELECT doc_id, size, shard, grown_shard FROM ({queries.JUMP_SQL})").fetchall()
     got = queries.QUERIES["op5_shards"](spark, SF).select("doc_id", "size", "shard", "grown_shard")
     assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want)
+
+
+def test_texts_and_keys_travel_deflated():
+    texts = ["the same words again and again " * 40, "", "Grüße 江 \u0000", "x"]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 4, pa.int32()), pa.array(range(4)), pa.array(texts), pa.array(range(4))], ["part", "_id", "_text", "_hash"])
+    sent = pa.Table.from_batches(list(lm._deflated([batch])))
+    assert lm._texts(sent["_text"]).to_pylist() == texts and sent.nbytes < batch.nbytes / 5
+    for n in (0, 1, 5000):
+        keys = np.sort(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        assert (lm._unpack(lm._pack(keys)) == keys).all()
+    assert len(lm._pack(keys)) < 7 * len(keys) < len(parts.pack_sorted(keys))
