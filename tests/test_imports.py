@@ -3,7 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from policylake import rules as R
 from policylake import schemas as S
+from policylake.functions import geo as G
+from policylake.functions import text as T
 from policylake.operators import imports, merge, reports, validation
 from policylake.plans.corpus import files_to_policies, recognise_pages
 from policylake.sources import files
@@ -131,3 +134,38 @@ def test_recognise_pages_and_report(spark, tmp_path):
     report = reports.document_profile(docs)
     reports.write_report(report, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).count() == 2
+
+
+def test_import_stores_only_what_it_reads(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.html").write_text(PAGE)
+
+    class Stored(Exception):
+        pass
+
+    def stop(df):
+        raise Stored(df.columns)
+
+    monkeypatch.setattr(imports, "materialize", stop)
+    with pytest.raises(Stored) as stored:
+        files_to_policies(files.read_files(spark, str(tmp_path)), empty(spark, S.CONTRIBUTIONS), AS_OF)
+    columns = set(stored.value.args[0])
+    assert not {"fields", "text", "categories"} & columns and {"relevance", "evidence", "conditions", "rate"} <= columns
+
+
+def test_texts_cleaned_by_looking_first(spark):
+    """The forms that look before they trim, replace or collapse give what the plain ones give."""
+    ends = [w + "家电 补贴" + w for w in T.WHITESPACE] + [w * 3 for w in T.WHITESPACE] + ["a" + w + "b" + w + w + "c" for w in T.WHITESPACE]
+    odd = ["", "x", " ", "“a”  ‘b’", "广东／广州市", "广东 省", "​", "𠮷 𠮷 ", "a\n\n\n\nb", "a\r\n", "abc ", " abc", "全国范围", "上 海", "word " * 20_000, "word " * 20_000 + "e", None]
+    df = spark.createDataFrame([(x,) for x in [*ends, *odd]], "x string").repartition(2)
+    x, lit = F.col("x"), F.lit
+    full = lambda c: T.strip(F.when(F.replace(c, lit("　"), lit(" ")).rlike("\t|  |\n{3}"), F.regexp_replace(F.regexp_replace(F.replace(c, lit("　"), lit(" ")), "[ \t]+", " "), "\n{3,}", "\n\n"))
+                             .otherwise(F.replace(c, lit("　"), lit(" "))))
+    whole = lambda c: F.translate(T.squeeze(c), "／", "/")
+    pairs = {
+        "trimmed": (T.trimmed(x), T.strip(x)), "clean": (T.clean_text(x), full(x)), "line": (T.compact(x), F.replace(full(x), lit("\n"), lit(" "))),
+        "normal": (T.normalize_text(x), T.strip(T.straight_quotes(F.regexp_replace(F.coalesce(x, lit("")), T.WS + "+", " ")))),
+        "blank": (T.is_blank(x), x.isNull() | (T.strip(x) == "")), "place": (G._compact(x), whole(x)),
+        "province": (G.normalize_province(x), F.when(whole(x).rlike("全国|国家层面|全国范围"), "全国").otherwise(F.coalesce(*[F.when(whole(x).contains(s), f) for f, s in R.PROVINCES], lit("")))),
+    }
+    for name, (got, want) in pairs.items():
+        assert df.filter(~got.eqNullSafe(want)).count() == 0, name
