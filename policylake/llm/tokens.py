@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from policylake.llm.words import LOWER, by_bytes, flat
+from policylake.llm.words import LOWER, SAME, by_bytes, flat
 
 SAMPLE = 256
+BATCH_BYTES = 4 << 20  # of text, encoded at once; a row may be larger
 _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 _COUNT = _ONES.sum(1).astype(np.int64)
 _NTH = np.array([[*np.flatnonzero(row), *[0] * 8][:8] for row in _ONES], np.int64)  # place of a byte's n-th one
@@ -88,21 +89,25 @@ class EliasFano:
         return ((words[first >> 3] >> (first & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
 
 
-_LETTER, _POINT = np.zeros(256, bool), np.zeros(256, bool)
-_LETTER[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = True
-_POINT[[*b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = True  # not the apostrophe, nor what special tokens are made of
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = 1
+_KIND[[*b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = 2  # not the apostrophe, nor what special tokens are made of
+_MARK = b"~"
 
 
 class Encoder:
     """A tokenizers file with a memory of text pieces.
 
     The tokenizer drops white space and encodes what stands between on its own, so a text's ids are
-    those of its pieces in order. Where a letter or digit meets plain punctuation a space is put in,
-    as the tokenizer cuts there too. Texts with what may be a special token are encoded whole.
-    ``REMEMBER`` pieces are kept, then the memory starts anew.
+    those of its pieces in order. Where a letter or digit meets plain punctuation a piece ends too,
+    as the tokenizer cuts there. Texts with what may be a special token are encoded whole.
+    Pieces of at most ``SHORT`` bytes are kept: when more than ``REMEMBER`` have come or were used again, the
+    others are forgotten. So the memory holds about twice as many at most, and frequent ones stay.
     """
 
-    REMEMBER = 600_000
+    REMEMBER = 500_000
+    SHORT = 64
+    GROUP = 1024  # new pieces encoded as one text
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -111,40 +116,85 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.id_type = np.dtype("<u2" if self.code == "H" else "<u4")
+        self.mark = self.tokenizer.encode(_MARK.decode(), add_special_tokens=False).ids
         self.pieces: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in texts], add_special_tokens=False)
         return [array(self.code, e.ids).tobytes() for e in found]
 
-    def encode_column(self, column: pa.Array | pa.ChunkedArray) -> list[bytes]:
-        """Ids of each text, as bytes; new pieces of all of them are encoded in one call."""
+    def _piece_ids(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece; short ones are encoded many at once, with a mark between them that none of them holds."""
+        joined = [p for p in pieces if len(p) <= self.SHORT and _MARK not in p and b"<|" not in p]
+        groups = [joined[i: i + self.GROUP] for i in range(0, len(joined), self.GROUP)]
+        found: dict[bytes, bytes] = {}
+        for group, ids in zip(groups, self._ids([(b" " + _MARK + b" ").join(g) for g in groups])):
+            at = np.flatnonzero(np.frombuffer(ids, self.id_type) == self.mark[0]) if len(self.mark) == 1 else ()
+            if len(at) + 1 != len(group):  # not a tokenizer of which a mark can be told from all else
+                continue
+            at = np.array(at, np.int64) * self.id_type.itemsize
+            begins, ends = [0, *(at + self.id_type.itemsize).tolist()], [*at.tolist(), len(ids)]
+            found.update(zip(group, [ids[a:b] for a, b in zip(begins, ends)]))
+        alone = [p for p in pieces if p not in found]
+        found.update(zip(alone, self._ids(alone)))
+        return [found[p] for p in pieces]
+
+    def _remembered(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of different pieces, from the memory where it has them."""
         if len(self.pieces) > self.REMEMBER:
-            self.pieces = {}
+            self.pieces, self.older = {}, self.pieces
+        out = list(map(self.pieces.get, pieces))
+        missed = [i for i, ids in enumerate(out) if ids is None]
+        for i in missed:
+            out[i] = self.older.get(pieces[i])
+        new = [i for i in missed if out[i] is None]
+        for i, ids in zip(new, self._piece_ids([pieces[i] for i in new])):
+            out[i] = ids
+        self.pieces.update((pieces[i], out[i]) for i in missed if len(pieces[i]) <= self.SHORT)
+        return out
+
+    def encode_column(self, column: pa.Array | pa.ChunkedArray) -> list[bytes]:
+        """Ids of each text, as bytes; a piece is looked up once for the whole column."""
         data, offsets = flat(column)
         lower = LOWER[data]
         bare = np.flatnonzero(data[1:] > 127)  # what follows may be a mark that composes with the small letter only
-        lower[bare] = data[bare]
-        cut = np.zeros(len(data) + 1, bool)  # a space comes before this byte
-        if len(data):
-            cut[1:-1] = _LETTER[lower[:-1]] & _POINT[lower[1:]] | _POINT[lower[:-1]] & _LETTER[lower[1:]]
-        shift = np.cumsum(cut, dtype=np.int32)
-        spaced = np.full(len(data) + int(shift[-1]), 0x20, np.uint8)
-        spaced[np.arange(len(data), dtype=np.int32) + shift[:-1]] = lower
-        bounds = (offsets + shift[offsets]).tolist()
-        raw = spaced.tobytes()
-        split = [raw[a:b].split() for a, b in zip(bounds[:-1], bounds[1:])]
-        new = list({w: None for words in split for w in words if w not in self.pieces})
-        self.pieces.update(zip(new, self._ids(new)))
-        out = [b"".join(map(self.pieces.__getitem__, words)) for words in split]
-        if b"<|" in raw:
-            whole = data.tobytes()
+        lower[bare] = SAME[data[bare]]
+        inside, kind = lower != 0x20, _KIND[lower]
+        start = inside.copy()
+        start[1:] &= ~inside[:-1] | (kind[1:] ^ kind[:-1] == 3)
+        at = offsets[offsets < len(data)]
+        start[at] = inside[at]
+        first = np.searchsorted(np.flatnonzero(start), offsets)  # first piece of each text, and the number of pieces
+        pieces = _binary(np.flatnonzero(start[inside]), lower[inside]).dictionary_encode()
+        bounds, raw = _bytes_of(pieces.dictionary)
+        ids = self._remembered([raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())])
+        bounds, raw = _bytes_of(pa.array(ids, pa.large_binary()).take(pieces.indices))
+        ends = bounds[first].tolist()
+        out = [raw[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        whole = data.tobytes()
+        if b"<|" in whole:
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                 if b"<|" in whole[a:b]:
                     out[i] = self._ids([whole[a:b]])[0]
         return out
 
 
+def _binary(begins: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Values that lie one after the other in ``data``, each from its place to the next one's."""
+    offsets = np.append(begins, len(data)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _bytes_of(values: pa.Array) -> tuple[np.ndarray, bytes]:
+    """Where each value begins in the bytes of all, and these."""
+    _, offsets, data = values.buffers()
+    if not len(values):
+        return np.zeros(1, np.int64), b""
+    offsets = np.frombuffer(offsets, np.int64)[values.offset: values.offset + len(values) + 1]
+    return offsets, data.to_pybytes() if data is not None else b""
+
+
 _ENCODERS: dict[str, Encoder] = {}  # one in each Python worker
 
 
@@ -186,7 +236,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id",
             columns += [one(x, pa.binary()) for x in (bounds.low, bounds.high, bounds.samples, b"".join(pieces))]
             return pa.RecordBatch.from_arrays(columns, ["part", "seq", "id_bytes", "n_docs", "n_tokens", "doc_ids", "size", "width", "low", "high", "samples", "ids"])
 
-        for batch in (few for whole in batches for few in by_bytes(whole, 1)):
+        for batch in (few for whole in batches for few in by_bytes(whole, 1, BATCH_BYTES)):
             names_type = batch.column(0).type
             for name, ids in zip(batch.column(0).to_pylist(), known.encode_column(batch.column(1))):
                 ids += end

@@ -128,6 +128,44 @@ def test_encoder_memory_is_exact():
         assert np.frombuffer(mine.encode_column(pa.array([text]))[0], mine.id_type).tolist() == known.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_encodes_pieces_once_and_together():
+    from tokenizers import Tokenizer
+
+    known, mine = Tokenizer.from_file(queries.tokenizer()), tokens.Encoder(queries.tokenizer())
+    sent: list[int] = []
+    ids = mine._ids
+    mine._ids = lambda texts: sent.append(len(texts)) or ids(texts)
+    mine.REMEMBER = 500
+    for k in range(12):  # a memory that turns over keeps the words of every column
+        texts = [" ".join(f"{w}{chr(97 + k)}{chr(97 + i)}{chr(97 + j)}" for w in ("red", "blüe") for j in range(20)) + " the of" * 9 for i in range(10)]
+        got = mine.encode_column(pa.array(texts))
+        assert [np.frombuffer(x, mine.id_type).tolist() for x in got] == [known.encode(t, add_special_tokens=False).ids for t in texts]
+        assert b"the" in mine.pieces and b"of" in mine.pieces and len(mine.pieces) + len(mine.older) <= 2 * (500 + 402)
+    assert sum(sent) == 12  # 402 new words in the first column, 400 in the others, each time one text
+
+
+def test_encoder_marks_long_pieces_and_other_tokenizers(tmp_path):
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    known, rng = Tokenizer.from_file(queries.tokenizer()), random.Random(5)
+    alphabet = ["a", "B", "é", "1", "'s", ".", "~", " ~ ", "~~", "中" * 30, "x" * 70, "<|endoftext|>", "<|", "\u0301", "\u0338", " ", " ", "\n", "\u00a0", "\u3000", "\x1c", "\u0085", "\x00", "\n\u0308"]
+    words = Tokenizer(models.WordLevel({"the": 0, "?": 1}, unk_token="?"))  # the mark's id is that of all unknown pieces
+    words.normalizer, words.pre_tokenizer = normalizers.Lowercase(), pre_tokenizers.Whitespace()
+    words.save(str(tmp_path / "words.json"))
+    mine = tokens.Encoder(str(tmp_path / "words.json"))
+    texts = ["The end of the 9th.", "", "the ~ of it", "end. the"]
+    assert [np.frombuffer(x, mine.id_type).tolist() for x in mine.encode_column(pa.array(texts))] == [words.encode(t).ids for t in texts]
+    for single in (True, False):
+        mine = tokens.Encoder(queries.tokenizer())
+        mine.REMEMBER, mine.mark = 30, mine.mark if single else []
+        for _ in range(300):
+            mine.GROUP = rng.choice((1, 2, 3, 1024))
+            texts = [None if rng.random() < 0.1 else "".join(rng.choices(alphabet, k=rng.randrange(25))) for _ in range(rng.randrange(6))]
+            got = [np.frombuffer(x, mine.id_type).tolist() for x in mine.encode_column(pa.array(texts, pa.string()))]
+            assert got == [known.encode(t or "", add_special_tokens=False).ids for t in texts], texts
+        assert all(len(p) <= mine.SHORT for p in mine.pieces)  # the memory is bounded in bytes too
+
+
 def test_tokens_of_nothing(spark, empty, tmp_path):
     tokens.write_tokens(empty, str(tmp_path / "t"), queries.tokenizer())
     assert tokens.read_tokens(spark, str(tmp_path / "t")).collect() == []
