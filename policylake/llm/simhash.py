@@ -91,6 +91,7 @@ def links(prints: DataFrame, distance: int = 4, blocks: int = 7) -> DataFrame:
     Copies have collapsed before: only distinct fingerprints meet. More blocks give longer keys and
     more copies of each fingerprint: 7 for 4 bits means keys of 27 bits, 35 rows a fingerprint; from
     some 10**9 fingerprints on, take 9. The pair is verified in the join, so only links leave it.
+    The planner takes the copies for as small as the table they come from, so a merge join is asked for.
     """
     if not distance < blocks <= 16:
         raise ValueError("there must be more blocks than bits that may differ, and at most 16")
@@ -98,7 +99,7 @@ def links(prints: DataFrame, distance: int = 4, blocks: int = 7) -> DataFrame:
     left, right = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     same = (left["n"] == right["n"]) & (left["key"] == right["key"]) & (F.col("a") < F.col("b"))
-    return left.join(right, same & near).select("a", "b").distinct()
+    return left.join(right.hint("merge"), same & near).select("a", "b").distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
