@@ -160,5 +160,5 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: i
     key = lambda i, digest: F.concat_ws("|", F.col(i).cast("string"), digest)  # noqa: E731  a null id leaves the digest alone
     chosen = chosen.select(key("_id", F.col("_md5")).alias("_key"))
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), key(id, _digest(F.col(text))).alias("_key"))
-    kept = rows.join(chosen, "_key", "left_semi")
+    kept = rows.join(chosen.hint("merge"), "_key", "left_semi")  # a key a group is too much for the driver
     return kept.groupBy("_key").agg(F.first("_row").alias("_row")).select("_row.*")  # in the join's partitions

@@ -19,3 +19,10 @@ def test_copies_of_fingerprints_are_not_broadcast(spark):
     assert joins(links) == ["SortMergeJoin"]
     want = {(a, b) for a in prints for b in prints if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 4}
     assert len(want) == 20 and {tuple(r) for r in links.collect()} == want
+
+
+def test_keys_of_kept_documents_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, f"text number {i} of a few") for i in range(40)], "doc_id int, text string")
+    kept = simhash.keep_one(docs)
+    assert joins(kept) == ["SortMergeJoin"]
+    assert kept.count() == len({r["component_id"] for r in simhash.near_duplicates(docs).collect()})
