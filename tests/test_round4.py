@@ -8,6 +8,7 @@ from policylake import rules as R
 from policylake.functions import extract as X
 from policylake.functions import relevance as V
 from policylake.functions import text as T
+from policylake.streaming import documents as SD
 
 
 def calls(column, name):
@@ -55,3 +56,17 @@ def test_words_that_do_not_occur_get_no_points(spark):
     for r in df.select("t", "b", hits.alias("h")).collect():
         assert [tuple(h) for h in r["h"]] == brute(r["t"], r["b"])
     assert hits._jc.toString().startswith("transform(filter(")
+
+
+def test_a_batch_of_files_is_looked_up_by_few_tasks(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(40):  # more than the driver looks up by itself
+        (tmp_path / "in" / f"{i}.txt").write_text(f"content {i}")
+    name, seen = "spark.sql.sources.parallelPartitionDiscovery.parallelism", []
+    before = spark.conf.get(name)
+
+    def write(docs, batch):
+        seen.append((int(docs.sparkSession.conf.get(name)), docs.select("content_hash").distinct().count()))
+
+    SD.stream_documents(SD.read_file_stream(spark, str(tmp_path / "in")), write, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(max(64, 4 * spark.sparkContext.defaultParallelism), 40)] and spark.conf.get(name) == before
